@@ -1,0 +1,6 @@
+"""Queries of the general training-data operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
