@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrion.llm.spam import spam_pages
 from papyrion.llm.tokens import encode_documents
 from papyrion.session import table
 
@@ -13,7 +14,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 10: keyword, link and tag pages."""
+    return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 QUERIES = {
+    "p10_found": p10_found,
     "p8_ids": p8_ids,
 }
 
