@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from papyrion.llm.leak import leaked
 from papyrion.llm.spam import spam_pages
 from papyrion.llm.tokens import encode_documents
 from papyrion.session import table
@@ -14,12 +15,18 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: documents that contain test items."""
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id").distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 10: keyword, link and tag pages."""
     return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 QUERIES = {
+    "p9_found": p9_found,
     "p10_found": p10_found,
     "p8_ids": p8_ids,
 }
