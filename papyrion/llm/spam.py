@@ -43,6 +43,8 @@ LIST_SHARE = 0.5
 REPEATED = 0.5
 #: Share of the language's median share of function words below which a repeating segment is no prose.
 FUNCTION_SHARE = 0.6
+#: The median taken for a language none of whose documents holds a function word.
+USUAL = 0.2
 
 
 def measure(text: str) -> tuple[int, int, list[tuple[int, float, float]], str | None, float]:
@@ -132,11 +134,10 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     m = cut(measure_documents(docs, id_col, text_col, lang_col).withColumn("lang", F.coalesce("guess", F.lower("lang"), F.lit("und"))))
     usual = m.filter("fw > 0").groupBy("lang").agg(F.percentile_approx("fw", 0.5, 1000).alias("usual"))
-    everywhere = m.filter("fw > 0").agg(F.percentile_approx("fw", 0.5, 1000).alias("overall"))
     # one row a language: some dozens at any size, still left to Spark's own size check
-    j = m.join(usual, "lang", "left").join(everywhere)
+    j = m.join(usual, "lang", "left")
     keywords = F.aggregate(
-        F.filter("soft", lambda s: (s.fw <= F.lit(FUNCTION_SHARE) * F.coalesce("usual", "overall", F.lit(0.2))) | (s.rep >= 0.8)),
+        F.filter("soft", lambda s: (s.fw <= F.lit(FUNCTION_SHARE) * F.coalesce("usual", F.lit(USUAL))) | (s.rep >= 0.8)),
         F.lit(0),
         lambda a, s: a + s.n,
     )
