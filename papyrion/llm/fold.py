@@ -18,11 +18,11 @@ LOOKALIKE = {
 }
 
 #: Characters that leave no mark: joiners, marks of direction, variation selectors, soft hyphen.
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0000-\U000e0fff]+")
+INVISIBLE = re.compile("[\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e0fff]+")
 #: Blanks of any width; line breaks are none.
-BLANKS = re.compile("[\t   -   　]")
+BLANKS = re.compile("[\t\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 #: Hyphens that print alike.
-HYPHENS = re.compile("[‐‑﹣－]")
+HYPHENS = re.compile("[\u2010\u2011\ufe63\uff0d]")
 
 
 def _plain(ch: str) -> str | None:

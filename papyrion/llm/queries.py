@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyrion.llm.leak import leaked
+from papyrion.llm.lookalike import same_looking
 from papyrion.llm.spam import spam_pages
 from papyrion.llm.tokens import encode_documents
 from papyrion.session import table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, id, text) of the passages and the memory's sources."""
+    chunk = table(spark, sf_dir, "chunk").select(F.lit("chunk").alias("tbl"), "id", "text")
+    return chunk.unionByName(table(spark, sf_dir, "tm").select(F.lit("tm").alias("tbl"), F.col("key").alias("id"), F.col("src").alias("text")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 1: pairs of records whose texts look the same but differ in their characters."""
+    return same_looking(_texts(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 8: token ids of every document in byte_bpe_50k."""
     return encode_documents(table(spark, sf_dir, "documents"))
@@ -26,6 +39,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p8_ids": p8_ids,
