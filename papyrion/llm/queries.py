@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrion.llm.leak import leaked
 from papyrion.llm.lookalike import same_looking
+from papyrion.llm.pairs import broken_answers
 from papyrion.llm.spam import spam_pages
 from papyrion.llm.tokens import encode_documents
 from papyrion.session import table
@@ -23,6 +24,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking(_texts(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 6: broken answers of the translation memory and their defects."""
+    return broken_answers(table(spark, sf_dir, "tm"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 8: token ids of every document in byte_bpe_50k."""
     return encode_documents(table(spark, sf_dir, "documents"))
@@ -40,6 +46,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p6_found": p6_found,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p8_ids": p8_ids,
