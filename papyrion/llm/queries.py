@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrion.llm.leak import leaked
 from papyrion.llm.lookalike import same_looking
 from papyrion.llm.pairs import broken_answers
+from papyrion.llm.scan import repaired, scan_noise
 from papyrion.llm.spam import spam_pages
 from papyrion.llm.tokens import encode_documents
 from papyrion.session import table
@@ -29,6 +30,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_answers(table(spark, sf_dir, "tm"))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, rec_id, text, title, kind) of the passages and the parsed documents."""
+    chunk = table(spark, sf_dir, "chunk").select(F.lit("chunk").alias("tbl"), F.col("id").alias("rec_id"), "text", "title", "kind")
+    cache = table(spark, sf_dir, "parse_cache").select(F.lit("parse_cache").alias("tbl"), F.col("sha256").alias("rec_id"), F.col("blocks").alias("text"), "title", F.lit(None).cast("string").alias("kind"))
+    return chunk.unionByName(cache)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: the kinds of scan noise in each passage and block."""
+    return scan_noise(_scanned(spark, sf_dir))
+
+
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: the repaired paragraphs, empty for blocks that are furniture."""
+    return repaired(_scanned(spark, sf_dir)).select("tbl", "rec_id", "block_id", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 8: token ids of every document in byte_bpe_50k."""
     return encode_documents(table(spark, sf_dir, "documents"))
@@ -47,6 +65,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_text": p7_text,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p8_ids": p8_ids,
