@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrion.llm.align import sentence_pairs
 from papyrion.llm.leak import leaked
 from papyrion.llm.lookalike import same_looking
 from papyrion.llm.pairs import broken_answers
@@ -25,6 +26,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking(_texts(spark, sf_dir))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: sentences of passages and documents and of their translations that translate each other."""
+    none = F.lit(None).cast("string")
+    chunk = table(spark, sf_dir, "chunk").filter("vi is not null").select(F.lit("chunk").alias("tbl"), F.col("id").alias("rec_id"), "text", "vi", none.alias("blocks"))
+    docs = table(spark, sf_dir, "documents").filter("translations is not null").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text", none.alias("vi"), F.col("translations").alias("blocks"))
+    return sentence_pairs(chunk.unionByName(docs))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 6: broken answers of the translation memory and their defects."""
     return broken_answers(table(spark, sf_dir, "tm"))
@@ -64,6 +73,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_text": p7_text,
