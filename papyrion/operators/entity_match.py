@@ -1,0 +1,471 @@
+"""Problem 4: match records of two sources that share no key.
+
+Titles, authors and years are typed by different people. The q-grams of each title are encoded as a
+fixed bit vector. Pairs of close vectors are found by multi-index Hamming hashing: the vector is cut
+into ``CHUNKS`` sub-vectors, and two vectors that differ in fewer bits than there are chunks agree
+in at least one of them, so an equi-join on (chunk number, chunk) is exact up to that radius and
+finds most of what lies somewhat beyond. Further vectors cover what typing does to whole ends of a
+title: a name before a colon that only one side has, and a title that was cut off. An identifier
+in a bibliographic line is one more partial attribute.
+
+Candidates get field-weighted Dice scores (title, authors, year, identifier), turned into a
+confidence by a logistic calibration fitted on a bounded sample of candidates whose identifiers
+agree or differ.
+
+Titles are encoded once per distinct string, so that copies of one record meet the join once; they
+are expanded only after a pair of titles is verified. No side is broadcast by hand, nothing but the
+calibration sample reaches the driver.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import unicodedata
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BITS, CHUNKS, Q = 256, 12, 3
+#: Least Dice similarity of two bit vectors that is worth a closer look.
+NEAR = 0.6
+#: Characters of a title that stand for one that was cut off.
+HEAD = 32
+#: Pairs on which the calibration is fitted.
+SAMPLE_PAIRS = 4000
+#: Score at which a match is as likely as not: least, without labels, most. Few labels must not move it far.
+MIDDLE = (0.74, 0.79, 0.83)
+#: Least confidence of a match.
+MATCH = 0.5
+
+#: What people put around a title (fixed values).
+_WRAP = re.compile(r"^(?:(?:draft|preprint|final|submitted|accepted|title|re|fwd?)\s+)+|(?:\s+(?:draft|preprint|final|version|extended version|short version|camera ready|pdf|docx?|arxiv|v\d+|rev\d*|copy))+$")
+_PART = re.compile(r"\b(?:part\s+(?:[ivx]+|\d+)|vol(?:ume)?\s+(?:[ivx]+|\d+)|i{2,3}|iv|supplement(?:ary)?(?: material)?(?: to)?|appendix|revisited|a second look|second look|erratum|corrigendum|addendum|comments? on|a reply|sequel|follow up|extended abstract of)\b")
+_FILE = re.compile(r"\.(?:pdf|docx?|txt|tex)$", re.I)
+_CUT = re.compile(r"(?:…|\.\.\.+)\s*$")
+_DOI = re.compile(r"10\.\s?(\d{4,5})\s*/\s*([a-z0-9][\w.\-]*\w)", re.I)
+_DOI_LINE = re.compile(r"^\W*(?:doi|https?)?\W*(?:[\w.\-]+/)?\s*10\.\s?\d{4,5}\s*/\s*[a-z0-9][\w.\-]*\W*$", re.I)
+
+
+def fold(text: str) -> str:
+    """Lower case, no accents, words of letters and digits between single blanks."""
+    t = unicodedata.normalize("NFKD", text.lower())
+    t = "".join(c for c in t if not unicodedata.combining(c)).replace("đ", "d").replace("ı", "i").replace("ø", "o")
+    return " ".join(re.findall(r"[^\W_]+", t))
+
+
+def strip_wraps(folded: str) -> str:
+    prev = None
+    while prev != folded:
+        prev = folded
+        folded = _WRAP.sub("", folded).strip()
+    return folded
+
+
+def forms(title: str) -> tuple[str, str, bool]:
+    """(full form, form after a name before a colon or '', whether the title was cut off)."""
+    t = _FILE.sub("", title.strip())
+    cut = _CUT.search(t) is not None
+    t = _CUT.sub("", t)
+    full = strip_wraps(fold(t))
+    left, colon, right = t.partition(":")
+    core = ""
+    if colon:
+        name, rest = strip_wraps(fold(left)), strip_wraps(fold(right))
+        if rest and name and " " not in name:
+            core = rest
+        elif rest and not name:
+            core = strip_wraps(fold(right.partition(":")[2])) if ":" in right else ""
+    return full, core, cut
+
+
+_BIT: dict[str, int] = {}
+
+
+def bits(text: str) -> int:
+    """The q-grams of a text in a vector of BITS bits."""
+    t = f" {text} "
+    v = 0
+    for i in range(len(t) - Q + 1):
+        g = t[i : i + Q]
+        b = _BIT.get(g)
+        if b is None:
+            if len(_BIT) > 200_000:
+                _BIT.clear()
+            b = _BIT[g] = 1 << (zlib.crc32(g.encode()) * 2654435761 >> 7) % BITS
+        v |= b
+    return v
+
+
+_MASKS = [sum(1 << b for b in range(c, BITS, CHUNKS)) for c in range(CHUNKS)]
+
+
+def chunk_keys(tag: str, v: int) -> list[int]:
+    """One 64-bit key for each sub-vector."""
+    return [hash((tag_number(tag), c, v & m)) for c, m in enumerate(_MASKS)]
+
+
+def tag_number(tag: str) -> int:
+    return "ABCHJ".index(tag)
+
+
+def words64(v: int) -> list[int]:
+    out = []
+    for k in range(BITS // 64):
+        x = (v >> (64 * k)) & 0xFFFFFFFFFFFFFFFF
+        out.append(x - (1 << 64) if x >> 63 else x)
+    return out
+
+
+#: Titles no longer than this may have been cut off without a mark.
+SHORT = 41
+
+
+def form_of(title: str | None) -> str | None:
+    """The forms of a title as one string (whole, tab, after a name, tab, marks); null where nothing is left."""
+    if not title:
+        return None
+    full, core, cut = forms(title)
+    return f"{full}\t{core}\t{'c' if cut else ''}{':' if ':' in title else ''}" if full else None
+
+
+def vectors(form: str, left: bool) -> list[tuple[str, str, int]]:
+    """(tag, text, vector) under which a title of the left or right source is looked up.
+
+    A: whole titles. B: a left name before a colon is missing on the right; C: the other way round.
+    H: right titles that were cut off; J: left titles that were.
+    """
+    full, core, marks = form.split("\t")
+    out = [("A", full)]
+    if core:
+        out.append(("B" if left else "C", core))
+    elif ":" not in marks and "c" not in marks:
+        out.append(("C" if left else "B", full))
+    cut = "c" in marks or len(full) <= SHORT
+    for text in (full, core):
+        if len(text) >= 20 and (len(text) > HEAD or cut):
+            if left or cut:
+                out.append(("H", text[:HEAD]))
+            if not left or cut:
+                out.append(("J", text[:HEAD]))
+    return [(tag, text, bits(text)) for tag, text in out]
+
+
+def _osa(a: str, b: str, most: int) -> int:
+    """Edit distance with transpositions, or most + 1."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    p2: list[int] = []
+    p1 = list(range(len(b) + 1))
+    for i in range(1, len(a) + 1):
+        row = [i] + [0] * len(b)
+        for j in range(1, len(b) + 1):
+            row[j] = min(p1[j] + 1, row[j - 1] + 1, p1[j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                row[j] = min(row[j], p2[j - 2] + 1)
+        if min(row) > most:
+            return most + 1
+        p2, p1 = p1, row
+    return p1[-1]
+
+
+def _typo(a: str, b: str) -> bool:
+    """One word mistyped, not another word."""
+    if a == b:
+        return True
+    if a.isdigit() or b.isdigit():
+        return False
+    n = min(len(a), len(b))
+    return n >= 2 and _osa(a, b, 2) <= (1 if n < 5 else 2)
+
+
+def _same_words(a: list[str], b: list[str]) -> bool:
+    """Equal but for mistyped, joined, split or lost short words."""
+    if a == b:
+        return True
+    i = j = bad = 0
+    while i < len(a) and j < len(b):
+        if _typo(a[i], b[j]):
+            bad += a[i] != b[j]
+            i += 1
+            j += 1
+        elif i + 1 < len(a) and _typo(a[i] + a[i + 1], b[j]):
+            i, j, bad = i + 2, j + 1, bad + 1
+        elif j + 1 < len(b) and _typo(a[i], b[j] + b[j + 1]):
+            i, j, bad = i + 1, j + 2, bad + 1
+        elif len(a[i]) <= 2 and i + 1 < len(a) and _typo(a[i + 1], b[j]):
+            i, bad = i + 1, bad + 1
+        elif len(b[j]) <= 2 and j + 1 < len(b) and _typo(a[i], b[j + 1]):
+            j, bad = j + 1, bad + 1
+        else:
+            return False
+    rest = [w for w in a[i:] + b[j:] if len(w) > 1]
+    return not rest and bad <= max(2, 0.5 * max(len(a), len(b)))
+
+
+def title_score(a: str, b: str) -> float:
+    """Dice of the q-grams where two title forms are the same but for typing, else 0.
+
+    Parts, sequels and supplements are other works: what marks them must stand on both sides. Of a
+    title that was cut off the share that is left counts.
+    """
+    fa, ca, ma = a.split("\t")
+    fb, cb, mb = b.split("\t")
+    cut_a, cut_b = "c" in ma, "c" in mb
+    wa, wb = fa.split(), fb.split()
+    same_parts = sorted(_PART.findall(fa)) == sorted(_PART.findall(fb))
+    if same_parts:
+        if _same_words(wa, wb):
+            return dice(bits(fa), bits(fb))
+        if ca and not cb and ":" not in mb and _same_words(ca.split(), wb):
+            return 0.95 * dice(bits(ca), bits(fb))
+        if cb and not ca and ":" not in ma and _same_words(cb.split(), wa):
+            return 0.95 * dice(bits(cb), bits(fa))
+    best = 0.0
+    for marked, short, long in ((cut_a, fa, fb), (cut_a, fa, cb), (cut_b, fb, fa), (cut_b, fb, ca)):
+        x, y = short.split(), long.split()
+        if (marked or len(short) <= SHORT) and 4 <= len(x) <= len(y) and len(short) < len(long) and _PART.findall(short) == _PART.findall(long):
+            if _same_words(x[:-1], y[: len(x) - 1]) and y[len(x) - 1].startswith(x[-1][: max(1, len(x[-1]) - 1)]):
+                best = max(best, min(0.9, 0.5 + 0.6 * len(short) / len(long)) - (0.0 if marked else 0.1))
+    return best
+
+
+def dice(a: int, b: int) -> float:
+    n = a.bit_count() + b.bit_count()
+    return 2 * (a & b).bit_count() / n if n else 0.0
+
+
+def surnames(authors: str | None) -> tuple[list[str], bool]:
+    """(surnames, whether the list ends in 'et al.'), from the usual ways to write a list of authors."""
+    if not authors or not authors.strip():
+        return [], False
+    t, open_end = re.subn(r"[,;]?\s*\b(?:et\s+al|and\s+others|u\.\s?a)\b\.?", "", authors.strip(), flags=re.I)
+    parts = [p for p in re.split(r"\s*(?:;|·|\||&|\band\b)\s*", t, flags=re.I) if p.strip()]
+    out = []
+    for p in parts:
+        pieces = [x.strip() for x in p.split(",") if x.strip()]
+        if len(pieces) == 2 and " " not in pieces[0] and (len(parts) > 1 or not re.fullmatch(r".*\b[^\W\d_]\.?", pieces[0])) and (re.fullmatch(r"(?:[^\W\d_]\.?[\s-]?)+", pieces[1]) or " " not in pieces[1]):
+            pieces = [pieces[0]]  # Surname, Given
+        for x in pieces:
+            w = fold(x).split()
+            long = [y for y in w if len(y) > 1]
+            if not long:
+                continue
+            if len(w) > 1 and len(w[-1]) == 1:
+                out.append(long[0])  # Surname G
+            else:
+                out.append(long[-1])  # G. Surname, Given Surname
+    return out, bool(open_end)
+
+
+def author_score(a: tuple[list[str], bool], b: tuple[list[str], bool]) -> float | None:
+    """Share of the shorter list found in the longer but for typing; None where a list says nothing."""
+    (x, open_x), (y, open_y) = a, b
+    if not x or not y:
+        return None
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    left = list(long)
+    hits = 0
+    for s in short:
+        k = next((k for k, t in enumerate(left) if s == t), None)
+        if k is None:
+            k = next((k for k, t in enumerate(left) if len(s) > 3 and _osa(s, t, 2) <= 2 and (s[:2] == t[:2] or s[-4:] == t[-4:])), None)
+        if k is not None:
+            left.pop(k)
+            hits += 1
+    if not hits and (open_x and open_y or (open_x and len(x) == 1 and open_y)):
+        return None  # first authors of two shortened lists may differ
+    if (open_x or open_y) and not hits:
+        return 0.15
+    return hits / len(short) if open_x or open_y else 2 * hits / (len(x) + len(y))
+
+
+def doi_of(text: str | None) -> str | None:
+    m = _DOI.search(text or "")
+    return f"10.{m[1]}/{m[2].lower().rstrip('.')}" if m else None
+
+
+def line_dois(text: str | None) -> list[str]:
+    """Identifiers that stand alone in a line: the text's own, not those of its references."""
+    if not text or "10." not in text:
+        return []
+    return list(dict.fromkeys(d for line in text.split("\n") if len(line) < 120 and _DOI_LINE.match(line) and (d := doi_of(line))))
+
+
+_AUTHOR_LINE = re.compile(r"^(?:[^\W\d_][\w.'’-]*[\s,;·&]*){1,40}(?:et al\.?)?$")
+
+
+def line_title(text: str | None) -> tuple[str | None, str | None]:
+    """(title, authors) printed as the first lines of a text, where they are."""
+    if not text:
+        return None, None
+    lines = [x.strip() for x in text.split("\n")[:4]]
+    lines = [x for x in lines if x and not _DOI_LINE.match(x)]
+    if len(lines) < 2 or not 20 <= len(lines[0]) <= 180 or lines[0].endswith((".", "!")) and not _CUT.search(lines[0]):
+        return None, None
+    second = lines[1]
+    authors = second if len(second) < 200 and not second.endswith((".", "?", "!")) or "et al" in second else None
+    if authors and (len(authors.split()) < 1 or not any(c in authors for c in ",;·.&") and " and " not in authors and len(authors.split()) > 3 or sum(w[:1].isupper() for w in authors.split()) < 0.6 * len(authors.split())):
+        authors = None
+    return lines[0], authors
+
+
+WEIGHTS = {"title": 0.55, "authors": 0.3, "year": 0.15}
+
+
+def weighted(title: float, authors: float | None, years: int | None) -> float:
+    """Field-weighted score over the fields that say something."""
+    s, w = WEIGHTS["title"] * title, WEIGHTS["title"]
+    if authors is not None:
+        s, w = s + WEIGHTS["authors"] * authors, w + WEIGHTS["authors"]
+    if years is not None:
+        s, w = s + WEIGHTS["year"] * max(0.0, 1 - max(0, years - 1) / 3), w + WEIGHTS["year"]
+    return s / w
+
+
+def fit_logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
+    """(slope, intercept) of a one-variable logistic fit; a fixed curve where one class is missing."""
+    good = sum(y for _, y in points)
+    if good < 10 or len(points) - good < 10:
+        return 30.0, -30.0 * MIDDLE[1]
+    k, c = 10.0, -6.0
+    for _ in range(60):
+        g = [k * 1e-3, c * 1e-3]
+        h = [1e-3, 0.0, 1e-3]
+        for x, y in points:
+            p = 1 / (1 + math.exp(-max(-30, min(30, k * x + c))))
+            r, q = p - y, max(p * (1 - p), 1e-6)
+            g[0] += r * x
+            g[1] += r
+            h[0] += q * x * x
+            h[1] += q * x
+            h[2] += q
+        det = h[0] * h[2] - h[1] * h[1]
+        if abs(det) < 1e-12:
+            break
+        k, c = k - (h[2] * g[0] - h[1] * g[1]) / det, c - (h[0] * g[1] - h[1] * g[0]) / det
+        k, c = max(2.0, min(60.0, k)), max(-60.0, min(0.0, c))
+    return k, -k * max(MIDDLE[0], min(MIDDLE[2], -c / k))
+
+
+def _encode(left: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.list_(pa.int64())]
+        for b in batches:
+            out: tuple[list, ...] = tuple([] for _ in kinds)
+            for t in b.column(0).to_pylist():
+                for tag, text, v in vectors(t, left):
+                    for col, x in zip(out, (t, tag, text, *words64(v), chunk_keys(tag, v))):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["form", "tag", "text", "v0", "v1", "v2", "v3", "keys"])
+
+    return run
+
+
+_ENCODED = "form string, tag string, text string, v0 long, v1 long, v2 long, v3 long, keys array<long>"
+#: Edits between whole titles and between heads beyond which no closer look is taken.
+EDITS, HEAD_EDITS = 12, 6
+
+
+def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(form_l, form_r, score): verified pairs of distinct title forms of the two sources."""
+
+    def side(df: DataFrame, is_left: bool, s: str) -> DataFrame:
+        e = df.select("form").filter("form is not null").distinct().mapInArrow(_encode(is_left), _ENCODED)
+        renamed = e.select(*(F.col(c).alias(f"{c}_{s}") for c in ("form", "text", "v0", "v1", "v2", "v3")), *([F.col("tag")] if is_left else []), F.posexplode("keys").alias("chunk" if is_left else "chunk_r", "key"))
+        return renamed if is_left else renamed.drop("chunk_r")
+
+    a, b = side(left, True, "l"), side(right, False, "r")
+    j = a.join(b, "key")
+    quads = range(BITS // 64)
+    both = sum((F.bit_count(F.col(f"v{k}_l").bitwiseAND(F.col(f"v{k}_r"))) for k in quads), F.lit(0))
+    ones = sum((F.bit_count(f"v{k}_{s}") for k in quads for s in "lr"), F.lit(0))
+    # a pair that agrees in several chunks counts at the first of them: no distinct, no further shuffle
+    first = F.lit(CHUNKS)
+    for c in reversed(range(CHUNKS)):
+        differ = None
+        for k, m in zip(quads, words64(_MASKS[c])):
+            x = F.col(f"v{k}_l").bitwiseXOR(F.col(f"v{k}_r")).bitwiseAND(F.lit(m))
+            differ = x if differ is None else differ.bitwiseOR(x)
+        first = F.when(differ == 0, c).otherwise(first)
+    near = j.filter(2 * both >= NEAR * ones).filter(F.col("chunk") == first)
+    near = near.filter(F.levenshtein("text_l", "text_r", EDITS) >= 0).filter((F.levenshtein("text_l", "text_r", HEAD_EDITS) >= 0) | ~F.col("tag").isin("H", "J"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            s = [title_score(p, q) for p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(s, pa.float64())], names=["form_l", "form_r", "score"])
+
+    ok = near.select("form_l", "form_r").mapInArrow(verify, "form_l string, form_r string, score double").filter("score > 0")
+    return ok.groupBy("form_l", "form_r").agg(F.max("score").alias("score"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each way a record names itself: its columns, and the first lines of its text."""
+    for b in batches:
+        rows = []
+        for side, i, title, authors, year, doi, text in zip(*(c.to_pylist() for c in b.columns)):
+            dois = [d] if (d := doi_of(doi)) else line_dois(text)
+            lt, la = line_title(text)
+            for t, a in dict.fromkeys([(form_of(title), authors or la), (form_of(lt), la or authors)]):
+                if t or dois:
+                    rows.append((side, i, t, a, year, dois))
+        c = list(zip(*rows)) if rows else [[]] * 6
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["side", "id", "form", "authors", "year", "dois"])
+
+
+_PARTS = "side string, id string, form string, authors string, year int, dois array<string>"
+_PAIR = "id_l string, id_r string, title double, authors double, years int, same_doi boolean, score double"
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for il, ir, tl, tr, al, ar, yl, yr, dl, dr, score in zip(*(c.to_pylist() for c in b.columns)):
+            same = bool(set(dl) & set(dr)) if dl and dr else None
+            t = score if score is not None else (title_score(tl, tr) if tl and tr else None)
+            if t == 0.0 and same:
+                fl, fr = tl.split("\t")[0], tr.split("\t")[0]
+                if sorted(_PART.findall(fl)) == sorted(_PART.findall(fr)) and (dice(bits(fl), bits(fr)) >= 0.45 or fl.startswith(fr[:20]) or fr.startswith(fl[:20])):
+                    t = 0.6  # one identifier, titles far apart in typing
+            a = author_score(surnames(al), surnames(ar))
+            y = abs(yl - yr) if yl is not None and yr is not None else None
+            rows.append((il, ir, t, a, y, same, weighted(t, a, y) if t is not None else weighted(0.6, a, y)))
+        c = list(zip(*rows)) if rows else [[]] * 7
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["id_l", "id_r", "title", "authors", "years", "same_doi", "score"])
+
+
+def match_records(left: DataFrame, right: DataFrame, *, sample_pairs: int = SAMPLE_PAIRS) -> DataFrame:
+    """(id_l, id_r, confidence) of the matching records of two (id, title, authors, year, doi, text) sources.
+
+    Null fields say nothing and leave the weight to the others; a record without a title (column or
+    first line) and without an identifier matches nothing. Records that come in several rows are
+    matched by each row's values and count once, with the best confidence. Ids come back as strings.
+    """
+
+    def parts(df: DataFrame, side: str) -> DataFrame:
+        cols = [F.lit(side).alias("side"), F.col("id").cast("string"), "title", "authors", F.col("year").cast("int"), "doi", "text"]
+        return df.select(*cols).mapInArrow(_parts, _PARTS).distinct()
+
+    l, r = parts(left, "l"), parts(right, "r")
+    titles = close_titles(l, r)
+    cols = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "form", "authors", "year", "dois")))
+    L, R = cols(l, "l"), cols(r, "r")
+    wanted = ["id_l", "id_r", "form_l", "form_r", "authors_l", "authors_r", "year_l", "year_r", "dois_l", "dois_r"]
+    by_title = L.join(titles, "form_l").join(R, "form_r").select(*wanted, F.col("score").alias("title_score"))
+    by_doi = L.withColumn("doi", F.explode("dois_l")).join(R.withColumn("doi", F.explode("dois_r")), "doi").select(*wanted, F.lit(None).cast("double").alias("title_score"))
+    scored = by_title.unionByName(by_doi).mapInArrow(_score, _PAIR)
+    # labels for the calibration: identifiers that agree or differ
+    sample = by_title.filter("size(dois_l) > 0 and size(dois_r) > 0").orderBy(F.xxhash64("id_l", "id_r"), "id_l", "id_r").limit(sample_pairs).mapInArrow(_score, _PAIR)
+    k, c = fit_logistic([(x.score, int(x.same_doi)) for x in sample.select("score", "same_doi").collect() if x.same_doi is not None])
+    # an equal identifier stands for itself unless the titles are of other works
+    conf = F.lit(1.0) / (1 + F.exp(-(k * F.col("score") + c)))
+    doi = F.coalesce(F.col("same_doi"), F.lit(False))
+    apart = F.coalesce((F.col("authors") < 0.2) | (F.col("years") > 3), F.lit(False))
+    conf = F.when(doi & ((F.col("title") > 0) | F.col("title").isNull()), F.greatest(conf, F.lit(0.97))).when(F.col("title") > 0, F.when(apart, F.least(conf, F.lit(0.3))).otherwise(conf)).otherwise(0.0)
+    return scored.withColumn("confidence", conf).groupBy("id_l", "id_r").agg(F.max("confidence").alias("confidence")).filter(F.col("confidence") >= MATCH)

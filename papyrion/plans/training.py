@@ -1,6 +1,27 @@
-"""Queries of the general training-data operators."""
+"""Queries of the general training-data operators, each over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papyrion.operators.entity_match import match_records
+from papyrion.session import table
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: matching papers and documents with a confidence."""
+    none = F.lit(None).cast("string")
+    papers = table(spark, sf_dir, "paper").select("id", "title", "authors", "year", "doi", none.alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "title", "authors", "year", none.alias("doi"), "text")
+    m = match_records(papers, docs)
+    return m.select(F.col("id_l").alias("paper_id"), F.col("id_r").cast("long").alias("doc_id"), F.round("confidence", 4).alias("confidence"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: pairs of a paper and a document that are the same work."""
+    return p4_pairs(spark, sf_dir).select("paper_id", "doc_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs}
+SQL: dict[str, str] = {}
