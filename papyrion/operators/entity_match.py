@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.session import cut
+
 BITS, CHUNKS, Q = 256, 12, 3
 #: Least Dice similarity of two bit vectors that is worth a closer look.
 NEAR = 0.6
@@ -125,33 +127,43 @@ SHORT = 41
 
 
 def form_of(title: str | None) -> str | None:
-    """The forms of a title as one string (whole, tab, after a name, tab, marks); null where nothing is left."""
+    """The forms of a title as one string: whole, tab, start of what follows a name (0: no name), tab, marks.
+
+    Null where nothing is left of the title.
+    """
     if not title:
         return None
     full, core, cut = forms(title)
-    return f"{full}\t{core}\t{'c' if cut else ''}{':' if ':' in title else ''}" if full else None
+    at = len(full) - len(core) if core and full.endswith(core) else 0
+    return f"{full}\t{at}\t{'c' if cut else ''}{':' if ':' in title else ''}" if full else None
+
 
+def parts_of(form: str) -> tuple[str, str, str]:
+    """(whole, after a name or '', marks)."""
+    full, at, marks = form.split("\t")
+    return full, full[int(at) :] if at != "0" else "", marks
 
-def vectors(form: str, left: bool) -> list[tuple[str, str, int]]:
-    """(tag, text, vector) under which a title of the left or right source is looked up.
+
+def vectors(form: str, left: bool) -> list[tuple[str, bool, int]]:
+    """(tag, whether it is of what follows a name, vector) under which a title of a source is looked up.
 
     A: whole titles. B: a left name before a colon is missing on the right; C: the other way round.
     H: right titles that were cut off; J: left titles that were.
     """
-    full, core, marks = form.split("\t")
-    out = [("A", full)]
+    full, core, marks = parts_of(form)
+    out = [("A", False, full)]
     if core:
-        out.append(("B" if left else "C", core))
+        out.append(("B" if left else "C", True, core))
     elif ":" not in marks and "c" not in marks:
-        out.append(("C" if left else "B", full))
+        out.append(("C" if left else "B", False, full))
     cut = "c" in marks or len(full) <= SHORT
-    for text in (full, core):
+    for of_core, text in ((False, full), (True, core)):
         if len(text) >= 20 and (len(text) > HEAD or cut):
             if left or cut:
-                out.append(("H", text[:HEAD]))
+                out.append(("H", of_core, text[:HEAD]))
             if not left or cut:
-                out.append(("J", text[:HEAD]))
-    return [(tag, text, bits(text)) for tag, text in out]
+                out.append(("J", of_core, text[:HEAD]))
+    return [(tag, of_core, bits(text)) for tag, of_core, text in out]
 
 
 def _osa(a: str, b: str, most: int) -> int:
@@ -212,8 +224,8 @@ def title_score(a: str, b: str) -> float:
     Parts, sequels and supplements are other works: what marks them must stand on both sides. Of a
     title that was cut off the share that is left counts.
     """
-    fa, ca, ma = a.split("\t")
-    fb, cb, mb = b.split("\t")
+    fa, ca, ma = parts_of(a)
+    fb, cb, mb = parts_of(b)
     cut_a, cut_b = "c" in ma, "c" in mb
     wa, wb = fa.split(), fb.split()
     same_parts = sorted(_PART.findall(fa)) == sorted(_PART.findall(fb))
@@ -353,19 +365,19 @@ def fit_logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
 
 def _encode(left: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 3 + [pa.int64()] * 4 + [pa.list_(pa.int64())]
+        kinds = [pa.string(), pa.string(), pa.bool_()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
         for b in batches:
             out: tuple[list, ...] = tuple([] for _ in kinds)
             for t in b.column(0).to_pylist():
-                for tag, text, v in vectors(t, left):
-                    for col, x in zip(out, (t, tag, text, *words64(v), chunk_keys(tag, v))):
+                for tag, core, v in vectors(t, left):
+                    for col, x in zip(out, (t, tag, core, *words64(v), chunk_keys(tag, v))):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["form", "tag", "text", "v0", "v1", "v2", "v3", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["form", "tag", "core", "v0", "v1", "v2", "v3", "keys"])
 
     return run
 
 
-_ENCODED = "form string, tag string, text string, v0 long, v1 long, v2 long, v3 long, keys array<long>"
+_ENCODED = "form string, tag string, core boolean, v0 long, v1 long, v2 long, v3 long, keys array<long>"
 #: Edits between whole titles and between heads beyond which no closer look is taken.
 EDITS, HEAD_EDITS = 12, 6
 
@@ -375,7 +387,7 @@ def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def side(df: DataFrame, is_left: bool, s: str) -> DataFrame:
         e = df.select("form").filter("form is not null").distinct().mapInArrow(_encode(is_left), _ENCODED)
-        renamed = e.select(*(F.col(c).alias(f"{c}_{s}") for c in ("form", "text", "v0", "v1", "v2", "v3")), *([F.col("tag")] if is_left else []), F.posexplode("keys").alias("chunk" if is_left else "chunk_r", "key"))
+        renamed = e.select(*(F.col(c).alias(f"{c}_{s}") for c in ("form", "core", "v0", "v1", "v2", "v3")), *([F.col("tag")] if is_left else []), F.posexplode("keys").alias("chunk" if is_left else "chunk_r", "key"))
         return renamed if is_left else renamed.drop("chunk_r")
 
     a, b = side(left, True, "l"), side(right, False, "r")
@@ -392,7 +404,15 @@ def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
             differ = x if differ is None else differ.bitwiseOR(x)
         first = F.when(differ == 0, c).otherwise(first)
     near = j.filter(2 * both >= NEAR * ones).filter(F.col("chunk") == first)
-    near = near.filter(F.levenshtein("text_l", "text_r", EDITS) >= 0).filter((F.levenshtein("text_l", "text_r", HEAD_EDITS) >= 0) | ~F.col("tag").isin("H", "J"))
+    head = F.col("tag").isin("H", "J")
+
+    def text(s: str):
+        full = F.substring_index(f"form_{s}", "\t", 1)
+        at = F.element_at(F.split(f"form_{s}", "\t"), 2).cast("int") + 1
+        t = F.when(F.col(f"core_{s}"), F.substr(full, at)).otherwise(full)
+        return F.when(head, F.left(t, F.lit(HEAD))).otherwise(t)
+
+    near = near.withColumn("edits", F.levenshtein(text("l"), text("r"), EDITS)).filter((F.col("edits") >= 0) & (~head | (F.col("edits") <= HEAD_EDITS)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -450,10 +470,10 @@ def match_records(left: DataFrame, right: DataFrame, *, sample_pairs: int = SAMP
 
     def parts(df: DataFrame, side: str) -> DataFrame:
         cols = [F.lit(side).alias("side"), F.col("id").cast("string"), "title", "authors", F.col("year").cast("int"), "doi", "text"]
-        return df.select(*cols).mapInArrow(_parts, _PARTS).distinct()
+        return cut(df.select(*cols).mapInArrow(_parts, _PARTS).distinct())
 
     l, r = parts(left, "l"), parts(right, "r")
-    titles = close_titles(l, r)
+    titles = cut(close_titles(l, r))
     cols = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "form", "authors", "year", "dois")))
     L, R = cols(l, "l"), cols(r, "r")
     wanted = ["id_l", "id_r", "form_l", "form_r", "authors_l", "authors_r", "year_l", "year_r", "dois_l", "dois_r"]

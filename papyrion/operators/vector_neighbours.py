@@ -1,0 +1,241 @@
+"""Problem 5: the k most similar vectors of every vector, through learned partitions.
+
+Fit (driver, on a bounded sample per group): the neighbour graph of the sample is cut into balanced
+partitions by recursive bisection, and a small softmax classifier learns to tell a vector's
+partition. Index (cluster): every vector goes to its most probable partition. Search: every vector
+is a query in its few most probable partitions; each partition is one block product per block of
+queries, and the candidates of a query are merged.
+
+Balanced partitions split dense regions, and equal vectors are searched once: a group of copies is
+one entry of the index, its members are each other's first neighbours and are put back by equi-joins
+afterwards. So no task ever sees an unbounded group, whatever its copies.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from papyrion.session import cut
+
+#: Vectors of the fit for each group, entries of a partition, partitions a query looks into.
+SAMPLE, PART_ROWS, PROBES = 12_000, 2000, 4
+#: Least sample vectors of a partition: bounds the number of partitions the sample can teach.
+PART_SAMPLE = 24
+GRAPH_K, EPOCHS, QUERY_BLOCK = 12, 12, 2048
+DIGITS = 6
+
+
+def neighbour_graph(x: np.ndarray, k: int = GRAPH_K) -> np.ndarray:
+    """Row numbers of the k nearest rows of each unit row, by blocks."""
+    n = len(x)
+    k = min(k, n - 1)
+    out = np.empty((n, k), np.int32)
+    for a in range(0, n, 512):
+        s = x[a : a + 512] @ x.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
+        out[a : a + 512] = np.argpartition(-s, k - 1, 1)[:, :k]
+    return out
+
+
+def balanced_partition(x: np.ndarray, depth: int, seed: int = 5) -> np.ndarray:
+    """Partition number (0 .. 2**depth - 1) of each row: halves of equal size that cut few graph edges.
+
+    Each part is split at the median of a smoothed eigenvector of its neighbour graph.
+    """
+    graph = neighbour_graph(x)
+    part = np.zeros(len(x), np.int64)
+    rng = np.random.default_rng(seed)
+    place = np.full(len(x), -1, np.int64)
+    for _ in range(depth):
+        new = np.zeros(len(x), np.int64)
+        for p in np.unique(part):
+            rows = np.flatnonzero(part == p)
+            place[rows] = np.arange(len(rows))
+            near = place[graph[rows]]
+            place[rows] = -1
+            inside = near >= 0
+            near = np.where(inside, near, np.arange(len(rows))[:, None])
+            y = x[rows] @ rng.standard_normal(x.shape[1])
+            if len(rows) > 2:  # start along the main direction of the part
+                c = x[rows] - x[rows].mean(0)
+                v = rng.standard_normal(x.shape[1])
+                for _ in range(8):
+                    v = c.T @ (c @ v)
+                    v /= np.linalg.norm(v) + 1e-12
+                y = c @ v
+            for _ in range(12):
+                y = 0.5 * y + 0.5 * y[near].mean(1)
+                y = y - y.mean()
+                y /= np.abs(y).max() + 1e-12
+            order = np.argsort(y, kind="stable")
+            side = np.zeros(len(rows), np.int64)
+            side[order[len(rows) // 2 :]] = 1
+            new[rows] = 2 * p + side
+        part = new
+    return part
+
+
+def fit_router(x: np.ndarray, part: np.ndarray, parts: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax over partitions, by mini-batch descent from the partitions' means."""
+    d = x.shape[1]
+    rng = np.random.default_rng(seed)
+    w = np.zeros((d, parts), np.float32)
+    np.add.at(w.T, part, x)
+    w /= np.maximum(np.linalg.norm(w, axis=0), 1e-9)
+    w *= 8.0
+    b = np.zeros(parts, np.float32)
+    rate = 2.0
+    for _ in range(EPOCHS):
+        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
+            z = x[rows] @ w + b
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+            z[np.arange(len(rows)), part[rows]] -= 1
+            z /= len(rows)
+            w -= rate * (x[rows].T @ z)
+            b -= rate * z.sum(0)
+        rate *= 0.85
+    return w, b
+
+
+def fit_groups(vectors: DataFrame, counts: dict[str, int], *, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
+    """A router for each group of vectors; None for a group that fits into one partition.
+
+    The sample are the vectors with the smallest hash; it is bounded by ``sample`` for each group.
+    """
+    out: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+    for g, n in counts.items():
+        depth = max(0, min(math.ceil(math.log2(max(n, 1) / part_rows)), math.floor(math.log2(max(min(n, sample) / PART_SAMPLE, 1)))))
+        if not depth:
+            out[g] = None
+            continue
+        rate = min(1.0, 1.3 * sample / n)
+        rows = vectors.filter((F.col("grp") == g) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000))).orderBy("key").limit(sample).select("vec")
+        x = np.array([r.vec for r in rows.collect()], np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        part = balanced_partition(x, depth)
+        out[g] = fit_router(x, part, 2**depth)
+    return out
+
+
+def _unit(col: pa.Array, n: int) -> np.ndarray:
+    x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(n, -1)
+    return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+
+
+def usable(vectors: DataFrame, id_col: str, vec_col: str, group_col: str, dim_col: str | None) -> DataFrame:
+    """(id, grp, vec): distinct rows whose vector is whole, finite and not zero."""
+    v = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vec_col).cast("array<float>").alias("vec"), (F.col(dim_col) if dim_col else F.lit(None)).cast("int").alias("dim"))
+    v = v.filter("id is not null and vec is not null and size(vec) > 0")
+    v = v.filter(F.col("dim").isNull() | (F.size("vec") == F.col("dim")))
+    v = v.filter(F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    return v.select("id", F.coalesce("grp", F.lit("")).alias("grp"), "vec").distinct()
+
+
+def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, probes: int = PROBES, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+    """(grp, id, neighbour, rank, cosine): the k most similar other ids of the same group for every usable vector.
+
+    Cosines are rounded to six digits and ties broken by id, so that equal vectors order alike at any
+    size. Null, zero, short and non-finite vectors are left out; an id that comes with several
+    different vectors keeps the smallest; fewer than k others give fewer rows. Approximate: with more than
+    one partition a neighbour outside the ``probes`` partitions looked into is missed; README has the recall.
+    """
+    u = usable(vectors, id_col, vec_col, group_col, dim_col)
+    u = cut(u.groupBy("grp", "id").agg(F.min("vec").alias("vec")).withColumn("key", F.xxhash64("grp", F.size("vec").cast("string"), "vec")))
+    # one entry for equal vectors: the group's size and its first k + 1 ids, never the whole group
+    sizes = u.withColumn("grp", F.concat_ws("\t", "grp", F.size("vec"))).select("grp", "key", "id", "vec")
+    entries = cut(sizes.groupBy("grp", "key").agg(F.any_value("vec").alias("vec"), F.min("id").alias("first"), F.count("*").alias("n")))
+    counts = {r.grp: r.n for r in entries.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    routers = fit_groups(entries, counts, sample=sample, part_rows=part_rows)
+    shared = vectors.sparkSession.sparkContext.broadcast(routers)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each entry once as a base of its partition and as a query of the partitions it looks into."""
+        for b in batches:
+            groups = np.array(b.column(0).to_pylist(), object)
+            for g in dict.fromkeys(groups):
+                rows = np.flatnonzero(groups == g)
+                part_b = b.take(pa.array(rows))
+                x = _unit(part_b.column(2), len(rows))
+                router = shared.value[g]
+                if router is None:
+                    top = np.zeros((len(rows), 1), np.int64)
+                else:
+                    z = x @ router[0] + router[1]
+                    m = min(probes, z.shape[1])
+                    top = np.argpartition(-z, m - 1, 1)[:, :m]
+                    s = np.take_along_axis(z, top, 1)
+                    top = np.take_along_axis(top, np.argsort(-s, 1), 1)
+                m = top.shape[1]
+                vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
+                for c in range(m):
+                    yield pa.RecordBatch.from_arrays([part_b.column(0), pa.array(top[:, c], pa.int32()), part_b.column(1), vec, pa.array(np.full(len(rows), c == 0))], names=["grp", "part", "key", "vec", "base"])
+
+    routed = entries.select("grp", "key", "vec").mapInArrow(route, "grp string, part int, key long, vec array<float>, base boolean")
+
+    def search(table: pa.Table) -> pa.Table:
+        base = np.asarray(table.column("base").to_numpy(zero_copy_only=False), bool)
+        keys = table.column("key").to_numpy()
+        vec = table.column("vec").combine_chunks()
+        vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
+        x = np.asarray(vec.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(table.num_rows, -1)
+        bx, bk = x[base], keys[base]
+        out_q, out_n, out_c = [], [], []
+        m = min(k + 1, len(bk))
+        if m:
+            for a in range(0, len(x), QUERY_BLOCK):
+                s = x[a : a + QUERY_BLOCK] @ bx.T
+                top = np.argpartition(-s, m - 1, 1)[:, :m]
+                q = np.repeat(keys[a : a + QUERY_BLOCK], m)
+                n = bk[top].ravel()
+                rows = np.repeat(np.arange(a, min(a + QUERY_BLOCK, len(x))), m)
+                c = np.einsum("ij,ij->i", x[rows].astype(np.float64), bx[top.ravel()].astype(np.float64))
+                ok = q != n
+                out_q.append(q[ok])
+                out_n.append(n[ok])
+                out_c.append(c[ok])
+        g = table.column("grp")[0].as_py() if table.num_rows else ""
+        q = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
+        return pa.table({"grp": pa.array([g] * len(q), pa.string()), "key": pa.array(q, pa.int64()), "near": pa.array(np.concatenate(out_n) if out_n else np.empty(0, np.int64), pa.int64()), "cosine": pa.array(np.round(np.concatenate(out_c), DIGITS) if out_c else np.empty(0), pa.float64())})
+
+    found = routed.groupBy("grp", "part").applyInArrow(search, "grp string, key long, near long, cosine double")
+    # a query meets each entry in one partition only; the best k + 1 entries of all its partitions
+    best = found.groupBy("grp", "key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "near"))), 1, k + 1).alias("best"))
+    # the first ids of each entry in order: enough to fill k places with ties by id
+    ranked = sizes.select("grp", "key", "id")
+    heads = first_ids(ranked, entries, k + 1)
+    near = best.select("grp", "key", F.explode("best").alias("b")).select("grp", "key", F.col("b.near").alias("near"), (-F.col("b.c")).alias("cosine"))
+    near = near.join(heads.select("grp", F.col("key").alias("near"), "ids"), ["grp", "near"]).select("grp", "key", "cosine", "ids")
+    own = heads.filter(F.size("ids") > 1).select("grp", "key", F.lit(1.0).alias("cosine"), "ids")
+    lists = near.unionByName(own).groupBy("grp", "key").agg(F.collect_list(F.struct("cosine", "ids")).alias("lists"))
+    flat = F.flatten(F.transform("lists", lambda x: F.transform(x.ids, lambda i: F.struct((-x.cosine).alias("c"), i.alias("id")))))
+    lists = lists.select("grp", "key", F.slice(F.sort_array(flat), 1, 2 * (k + 1)).alias("all"))
+    every = sizes.select("grp", "key", "id").join(lists, ["grp", "key"])
+    top = F.slice(F.filter("all", lambda x: x.id != F.col("id")), 1, k)
+    out = every.select("grp", "id", F.posexplode(top).alias("p", "x"))
+    return out.select(F.element_at(F.split("grp", "\t"), 1).alias("grp"), "id", F.col("x.id").alias("neighbour"), (F.col("p") + 1).alias("rank"), (-F.col("x.c")).alias("cosine"))
+
+
+def first_ids(members: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(grp, key, ids): the k smallest ids of each entry; large groups are pre-ranked in salted parts."""
+    alone = entries.filter("n = 1").select("grp", "key", F.array("first").alias("ids"))
+    several = members.join(entries.filter("n > 1").select("grp", "key", "n"), ["grp", "key"])
+    salted = several.withColumn("salt", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("n") / 2000))))
+    small = salted.groupBy("grp", "key", "salt").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k).alias("ids"))
+    merged = small.groupBy("grp", "key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k).alias("ids"))
+    return alone.unionByName(merged)
+
+
+def mutual(neighbours: DataFrame, least: float = 0.9) -> DataFrame:
+    """(id_a, id_b): ids that are each among the other's neighbours with a cosine of at least ``least``; id_a < id_b."""
+    n = neighbours.filter(F.col("cosine") >= least)
+    pair = n.select("grp", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"), (F.col("id") < F.col("neighbour")).alias("up"))
+    both = pair.groupBy("grp", "id_a", "id_b").agg(F.count_if("up").alias("a"), F.count_if(~F.col("up")).alias("b")).filter("a > 0 and b > 0")
+    return both.select("id_a", "id_b").distinct()
