@@ -24,6 +24,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ from papyrion.session import cut
 
 BITS, CHUNKS, Q = 256, 12, 3
 #: Least Dice similarity of two bit vectors that is worth a closer look.
-NEAR = 0.6
+NEAR = 0.75
 #: Characters of a title that stand for one that was cut off.
 HEAD = 32
 #: Pairs on which the calibration is fitted.
@@ -84,11 +85,13 @@ def forms(title: str) -> tuple[str, str, bool]:
     return full, core, cut
 
 
+#: Bits of one sub-vector; three of them lie in each 64-bit word.
+FIELD = BITS // CHUNKS
 _BIT: dict[str, int] = {}
 
 
 def bits(text: str) -> int:
-    """The q-grams of a text in a vector of BITS bits."""
+    """The q-grams of a text in a vector of CHUNKS fields of FIELD bits, three fields a 64-bit word."""
     t = f" {text} "
     v = 0
     for i in range(len(t) - Q + 1):
@@ -97,17 +100,20 @@ def bits(text: str) -> int:
         if b is None:
             if len(_BIT) > 200_000:
                 _BIT.clear()
-            b = _BIT[g] = 1 << (zlib.crc32(g.encode()) * 2654435761 >> 7) % BITS
+            c, f = divmod((zlib.crc32(g.encode()) * 2654435761 >> 7) % (CHUNKS * FIELD), FIELD)
+            b = _BIT[g] = 1 << (64 * (c // 3) + FIELD * (c % 3) + f)
         v |= b
     return v
 
 
-_MASKS = [sum(1 << b for b in range(c, BITS, CHUNKS)) for c in range(CHUNKS)]
+_MASKS = [((1 << FIELD) - 1) << (64 * (c // 3) + FIELD * (c % 3)) for c in range(CHUNKS)]
+#: Heads are short: their sub-vectors are two fields wide.
+_HEAD_MASKS = [_MASKS[c] | _MASKS[c + 1] for c in range(0, CHUNKS, 2)]
 
 
 def chunk_keys(tag: str, v: int) -> list[int]:
     """One 64-bit key for each sub-vector."""
-    return [hash((tag_number(tag), c, v & m)) for c, m in enumerate(_MASKS)]
+    return [hash((tag_number(tag), c, v & m)) for c, m in enumerate(_HEAD_MASKS if tag in "HJ" else _MASKS)]
 
 
 def tag_number(tag: str) -> int:
@@ -144,26 +150,26 @@ def parts_of(form: str) -> tuple[str, str, str]:
     return full, full[int(at) :] if at != "0" else "", marks
 
 
-def vectors(form: str, left: bool) -> list[tuple[str, bool, int]]:
-    """(tag, whether it is of what follows a name, vector) under which a title of a source is looked up.
+def vectors(form: str, left: bool) -> list[tuple[str, int]]:
+    """(tag, vector) under which a title of a source is looked up.
 
     A: whole titles. B: a left name before a colon is missing on the right; C: the other way round.
     H: right titles that were cut off; J: left titles that were.
     """
     full, core, marks = parts_of(form)
-    out = [("A", False, full)]
+    out = [("A", full)]
     if core:
-        out.append(("B" if left else "C", True, core))
+        out.append(("B" if left else "C", core))
     elif ":" not in marks and "c" not in marks:
-        out.append(("C" if left else "B", False, full))
+        out.append(("C" if left else "B", full))
     cut = "c" in marks or len(full) <= SHORT
-    for of_core, text in ((False, full), (True, core)):
+    for text in (full, core):
         if len(text) >= 20 and (len(text) > HEAD or cut):
             if left or cut:
-                out.append(("H", of_core, text[:HEAD]))
+                out.append(("H", text[:HEAD]))
             if not left or cut:
-                out.append(("J", of_core, text[:HEAD]))
-    return [(tag, of_core, bits(text)) for tag, of_core, text in out]
+                out.append(("J", text[:HEAD]))
+    return [(tag, bits(text)) for tag, text in out]
 
 
 def _osa(a: str, b: str, most: int) -> int:
@@ -191,6 +197,8 @@ def _typo(a: str, b: str) -> bool:
     if a.isdigit() or b.isdigit():
         return False
     n = min(len(a), len(b))
+    if abs(len(a) - len(b)) > 2 or len(set(a) ^ set(b)) > 4:
+        return False
     return n >= 2 and _osa(a, b, 2) <= (1 if n < 5 else 2)
 
 
@@ -218,29 +226,31 @@ def _same_words(a: list[str], b: list[str]) -> bool:
     return not rest and bad <= max(2, 0.5 * max(len(a), len(b)))
 
 
+@lru_cache(100_000)
+def _parsed(form: str) -> tuple[str, str, str, list[str], list[str], list[str]]:
+    full, core, marks = parts_of(form)
+    return full, core, marks, full.split(), core.split(), sorted(_PART.findall(full))
+
+
 def title_score(a: str, b: str) -> float:
     """Dice of the q-grams where two title forms are the same but for typing, else 0.
 
     Parts, sequels and supplements are other works: what marks them must stand on both sides. Of a
     title that was cut off the share that is left counts.
     """
-    fa, ca, ma = parts_of(a)
-    fb, cb, mb = parts_of(b)
-    cut_a, cut_b = "c" in ma, "c" in mb
-    wa, wb = fa.split(), fb.split()
-    same_parts = sorted(_PART.findall(fa)) == sorted(_PART.findall(fb))
-    if same_parts:
+    fa, ca, ma, wa, xa, pa_ = _parsed(a)
+    fb, cb, mb, wb, xb, pb_ = _parsed(b)
+    if pa_ == pb_:
         if _same_words(wa, wb):
             return dice(bits(fa), bits(fb))
-        if ca and not cb and ":" not in mb and _same_words(ca.split(), wb):
+        if ca and not cb and ":" not in mb and _same_words(xa, wb):
             return 0.95 * dice(bits(ca), bits(fb))
-        if cb and not ca and ":" not in ma and _same_words(cb.split(), wa):
+        if cb and not ca and ":" not in ma and _same_words(xb, wa):
             return 0.95 * dice(bits(cb), bits(fa))
     best = 0.0
-    for marked, short, long in ((cut_a, fa, fb), (cut_a, fa, cb), (cut_b, fb, fa), (cut_b, fb, ca)):
-        x, y = short.split(), long.split()
+    for marked, short, long, x, y in (("c" in ma, fa, fb, wa, wb), ("c" in ma, fa, cb, wa, xb), ("c" in mb, fb, fa, wb, wa), ("c" in mb, fb, ca, wb, xa)):
         if (marked or len(short) <= SHORT) and 4 <= len(x) <= len(y) and len(short) < len(long) and _PART.findall(short) == _PART.findall(long):
-            if _same_words(x[:-1], y[: len(x) - 1]) and y[len(x) - 1].startswith(x[-1][: max(1, len(x[-1]) - 1)]):
+            if y[len(x) - 1].startswith(x[-1][: max(1, len(x[-1]) - 1)]) and _same_words(x[:-1], y[: len(x) - 1]):
                 best = max(best, min(0.9, 0.5 + 0.6 * len(short) / len(long)) - (0.0 if marked else 0.1))
     return best
 
@@ -365,21 +375,19 @@ def fit_logistic(points: list[tuple[float, int]]) -> tuple[float, float]:
 
 def _encode(left: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.bool_()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
+        kinds = [pa.string(), pa.string()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
         for b in batches:
             out: tuple[list, ...] = tuple([] for _ in kinds)
             for t in b.column(0).to_pylist():
-                for tag, core, v in vectors(t, left):
-                    for col, x in zip(out, (t, tag, core, *words64(v), chunk_keys(tag, v))):
+                for tag, v in vectors(t, left):
+                    for col, x in zip(out, (t, tag, *words64(v), chunk_keys(tag, v))):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["form", "tag", "core", "v0", "v1", "v2", "v3", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["form", "tag", "v0", "v1", "v2", "v3", "keys"])
 
     return run
 
 
-_ENCODED = "form string, tag string, core boolean, v0 long, v1 long, v2 long, v3 long, keys array<long>"
-#: Edits between whole titles and between heads beyond which no closer look is taken.
-EDITS, HEAD_EDITS = 12, 6
+_ENCODED = "form string, tag string, v0 long, v1 long, v2 long, v3 long, keys array<long>"
 
 
 def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -387,7 +395,7 @@ def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
 
     def side(df: DataFrame, is_left: bool, s: str) -> DataFrame:
         e = df.select("form").filter("form is not null").distinct().mapInArrow(_encode(is_left), _ENCODED)
-        renamed = e.select(*(F.col(c).alias(f"{c}_{s}") for c in ("form", "core", "v0", "v1", "v2", "v3")), *([F.col("tag")] if is_left else []), F.posexplode("keys").alias("chunk" if is_left else "chunk_r", "key"))
+        renamed = e.select(*(F.col(c).alias(f"{c}_{s}") for c in ("form", "v0", "v1", "v2", "v3")), *([F.col("tag")] if is_left else []), F.posexplode("keys").alias("chunk" if is_left else "chunk_r", "key"))
         return renamed if is_left else renamed.drop("chunk_r")
 
     a, b = side(left, True, "l"), side(right, False, "r")
@@ -396,23 +404,14 @@ def close_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     both = sum((F.bit_count(F.col(f"v{k}_l").bitwiseAND(F.col(f"v{k}_r"))) for k in quads), F.lit(0))
     ones = sum((F.bit_count(f"v{k}_{s}") for k in quads for s in "lr"), F.lit(0))
     # a pair that agrees in several chunks counts at the first of them: no distinct, no further shuffle
-    first = F.lit(CHUNKS)
+    x = [F.col(f"v{k}_l").bitwiseXOR(F.col(f"v{k}_r")) for k in quads]
+    same = [x[c // 3].bitwiseAND(F.lit(words64(m)[c // 3])) == 0 for c, m in enumerate(_MASKS)]
+    first, first_head = F.lit(CHUNKS), F.lit(CHUNKS)
     for c in reversed(range(CHUNKS)):
-        differ = None
-        for k, m in zip(quads, words64(_MASKS[c])):
-            x = F.col(f"v{k}_l").bitwiseXOR(F.col(f"v{k}_r")).bitwiseAND(F.lit(m))
-            differ = x if differ is None else differ.bitwiseOR(x)
-        first = F.when(differ == 0, c).otherwise(first)
-    near = j.filter(2 * both >= NEAR * ones).filter(F.col("chunk") == first)
-    head = F.col("tag").isin("H", "J")
-
-    def text(s: str):
-        full = F.substring_index(f"form_{s}", "\t", 1)
-        at = F.element_at(F.split(f"form_{s}", "\t"), 2).cast("int") + 1
-        t = F.when(F.col(f"core_{s}"), F.substr(full, at)).otherwise(full)
-        return F.when(head, F.left(t, F.lit(HEAD))).otherwise(t)
-
-    near = near.withColumn("edits", F.levenshtein(text("l"), text("r"), EDITS)).filter((F.col("edits") >= 0) & (~head | (F.col("edits") <= HEAD_EDITS)))
+        first = F.when(same[c], c).otherwise(first)
+        if c % 2 == 0:
+            first_head = F.when(same[c] & same[c + 1], c // 2).otherwise(first_head)
+    near = j.filter(2 * both >= NEAR * ones).filter(F.col("chunk") == F.when(F.col("tag").isin("H", "J"), first_head).otherwise(first))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

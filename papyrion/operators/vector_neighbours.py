@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 
 from papyrion.session import cut
 
-#: Vectors of the fit for each group, entries of a partition, partitions a query looks into.
-SAMPLE, PART_ROWS, PROBES = 12_000, 2000, 4
+#: Vectors of the fit for each group, entries of a partition, least partitions a query looks into.
+SAMPLE, PART_ROWS, PROBES = 12_000, 2000, 3
+#: Share of the sample's true neighbours that the partitions looked into must hold.
+RECALL = 0.93
+#: Queries and least neighbours from which that share is measured.
+MEASURED, LEAST_MEASURED = 2000, 50
 #: Least sample vectors of a partition: bounds the number of partitions the sample can teach.
 PART_SAMPLE = 24
 GRAPH_K, EPOCHS, QUERY_BLOCK = 12, 12, 2048
@@ -105,12 +109,33 @@ def fit_router(x: np.ndarray, part: np.ndarray, parts: int, seed: int = 5) -> tu
     return w, b
 
 
-def fit_groups(vectors: DataFrame, counts: dict[str, int], *, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
-    """A router for each group of vectors; None for a group that fits into one partition.
+def probes_for(x: np.ndarray, w: np.ndarray, b: np.ndarray, k: int, recall: float, least: float | None) -> int:
+    """How many of the most probable partitions hold ``recall`` of the sample's true neighbours.
 
-    The sample are the vectors with the smallest hash; it is bounded by ``sample`` for each group.
+    Neighbours within a sample are farther apart than in the whole, so the share there is no less.
+    With ``least`` only neighbours at least that similar count.
     """
-    out: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+    z = x @ w + b
+    home = z.argmax(1)
+    q = np.arange(min(len(x), MEASURED))
+    s = x[q] @ x.T
+    s[q, q] = -np.inf
+    near = np.argpartition(-s, k - 1, 1)[:, :k]
+    counts = np.take_along_axis(s, near, 1) >= (least if least is not None else -1.0)
+    place = np.empty_like(z[q], np.int64)
+    np.put_along_axis(place, np.argsort(-z[q], 1), np.arange(z.shape[1])[None, :], 1)
+    ranks = np.take_along_axis(place, home[near], 1)[counts]
+    if len(ranks) < LEAST_MEASURED:
+        return min(PROBES, z.shape[1])
+    return int(min(z.shape[1], max(PROBES, np.quantile(ranks, recall) + 1)))
+
+
+def fit_groups(vectors: DataFrame, counts: dict[str, int], *, k: int = 5, recall: float = RECALL, least: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray, int] | None]:
+    """(weights, bias, partitions to look into) for each group of vectors; None for a group of one partition.
+
+    The sample are vectors chosen by their hash; it is bounded by ``sample`` for each group.
+    """
+    out: dict[str, tuple[np.ndarray, np.ndarray, int] | None] = {}
     for g, n in counts.items():
         depth = max(0, min(math.ceil(math.log2(max(n, 1) / part_rows)), math.floor(math.log2(max(min(n, sample) / PART_SAMPLE, 1)))))
         if not depth:
@@ -121,7 +146,8 @@ def fit_groups(vectors: DataFrame, counts: dict[str, int], *, sample: int = SAMP
         x = np.array([r.vec for r in rows.collect()], np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         part = balanced_partition(x, depth)
-        out[g] = fit_router(x, part, 2**depth)
+        w, b = fit_router(x, part, 2**depth)
+        out[g] = w, b, probes_for(x, w, b, k, recall, least)
     return out
 
 
@@ -139,13 +165,17 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, group_col: str, dim_co
     return v.select("id", F.coalesce("grp", F.lit("")).alias("grp"), "vec").distinct()
 
 
-def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, probes: int = PROBES, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, least: float | None = None, recall: float = RECALL, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """(grp, id, neighbour, rank, cosine): the k most similar other ids of the same group for every usable vector.
 
+    With ``least`` only neighbours of at least that cosine are wanted: they stand close in few
+    partitions, so far fewer are looked into.
+
     Cosines are rounded to six digits and ties broken by id, so that equal vectors order alike at any
     size. Null, zero, short and non-finite vectors are left out; an id that comes with several
     different vectors keeps the smallest; fewer than k others give fewer rows. Approximate: with more than
-    one partition a neighbour outside the ``probes`` partitions looked into is missed; README has the recall.
+    one partition a neighbour outside the partitions looked into is missed; their number is set so that
+    they hold ``recall`` of the sample's neighbours, and README has the recall measured by brute force.
     """
     u = usable(vectors, id_col, vec_col, group_col, dim_col)
     u = cut(u.groupBy("grp", "id").agg(F.min("vec").alias("vec")).withColumn("key", F.xxhash64("grp", F.size("vec").cast("string"), "vec")))
@@ -153,7 +183,7 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
     sizes = u.withColumn("grp", F.concat_ws("\t", "grp", F.size("vec"))).select("grp", "key", "id", "vec")
     entries = cut(sizes.groupBy("grp", "key").agg(F.any_value("vec").alias("vec"), F.min("id").alias("first"), F.count("*").alias("n")))
     counts = {r.grp: r.n for r in entries.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-    routers = fit_groups(entries, counts, sample=sample, part_rows=part_rows)
+    routers = fit_groups(entries, counts, k=k, recall=recall, least=least, sample=sample, part_rows=part_rows)
     shared = vectors.sparkSession.sparkContext.broadcast(routers)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +199,7 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
                     top = np.zeros((len(rows), 1), np.int64)
                 else:
                     z = x @ router[0] + router[1]
-                    m = min(probes, z.shape[1])
+                    m = router[2]
                     top = np.argpartition(-z, m - 1, 1)[:, :m]
                     s = np.take_along_axis(z, top, 1)
                     top = np.take_along_axis(top, np.argsort(-s, 1), 1)
@@ -180,6 +210,8 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
 
     routed = entries.select("grp", "key", "vec").mapInArrow(route, "grp string, part int, key long, vec array<float>, base boolean")
 
+    floor = None if least is None else least - 1e-5
+
     def search(table: pa.Table) -> pa.Table:
         base = np.asarray(table.column("base").to_numpy(zero_copy_only=False), bool)
         keys = table.column("key").to_numpy()
@@ -197,7 +229,7 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
                 n = bk[top].ravel()
                 rows = np.repeat(np.arange(a, min(a + QUERY_BLOCK, len(x))), m)
                 c = np.einsum("ij,ij->i", x[rows].astype(np.float64), bx[top.ravel()].astype(np.float64))
-                ok = q != n
+                ok = (q != n) if floor is None else (q != n) & (c >= floor)
                 out_q.append(q[ok])
                 out_n.append(n[ok])
                 out_c.append(c[ok])
@@ -220,6 +252,8 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
     every = sizes.select("grp", "key", "id").join(lists, ["grp", "key"])
     top = F.slice(F.filter("all", lambda x: x.id != F.col("id")), 1, k)
     out = every.select("grp", "id", F.posexplode(top).alias("p", "x"))
+    if least is not None:
+        out = out.filter(-F.col("x.c") >= least)
     return out.select(F.element_at(F.split("grp", "\t"), 1).alias("grp"), "id", F.col("x.id").alias("neighbour"), (F.col("p") + 1).alias("rank"), (-F.col("x.c")).alias("cosine"))
 
 

@@ -36,15 +36,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select("paper_id", "doc_id")
 
 
-def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 5: the 5 most similar passages of the same model for every usable vector."""
-    n = most_similar(table(spark, sf_dir, "emb"))
-    return n.select(F.col("id").alias("chunk_id"), F.col("grp").alias("model"), "rank", "neighbour", F.round("cosine", 4).alias("cosine"))
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 5: pairs that are each among the other's 5 most similar, with a cosine of at least 0.9."""
-    return mutual(most_similar(table(spark, sf_dir, "emb"))).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
+    return mutual(most_similar(table(spark, sf_dir, "emb"), least=0.9)).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
 QUERIES = {
@@ -53,7 +47,6 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
-    "p5_neighbours": p5_neighbours,
 }
 
 _USABLE = """
