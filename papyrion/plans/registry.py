@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("training",)
+MODULES = ("training", "relational", "ranking", "graphs", "structure", "checks")
 
 
 def _all(attr: str) -> dict:

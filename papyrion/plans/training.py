@@ -51,7 +51,7 @@ QUERIES = {
 
 _USABLE = """
 u AS (SELECT DISTINCT chunk_id, model, vec FROM emb
-      WHERE vec IS NOT NULL AND len(vec) = dim AND list_bool_or(list_transform(vec, x -> x <> 0)))
+      WHERE vec IS NOT NULL AND len(vec) = dim AND list_bool_or(list_transform(vec, lambda x: x <> 0)))
 """
 
 SQL: dict[str, str] = {
