@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from papyrion.functions.text import tokens
+from papyrion.session import cut, spread
 
 #: BM25 parameters and the weight of each column (fixed values).
 K1, B = 1.2, 0.75
@@ -25,26 +26,28 @@ WEIGHTS = {"text": 4.0, "ctx": 2.0, "vi": 2.0, "title": 6.0, "section": 1.0}
 RRF_K, PER_PAPER, POOL = 60, 3, 60
 
 
-def doc_terms(chunk: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """(id, tf: map of term to weighted frequency, len): one pass, no shuffle.
+def doc_terms(chunk: DataFrame, weights: dict[str, float] = WEIGHTS, only: list[str] | None = None) -> DataFrame:
+    """(id, len, terms: array of (t, w)): one pass, no shuffle; ``only`` keeps the terms asked for.
 
-    The terms of a passage are counted inside its row; a posting list is an explode away.
+    The tokens of each column are one projection that the others read, so no text is cut twice.
     """
-    every = [tokens(F.col(c)) for c in weights]
-    length = sum((F.size(t) for t in every), F.lit(0))
 
-    def weighted(t: Column, w: float) -> Column:
-        return F.transform(t, lambda x: F.struct(x.alias("t"), F.lit(w).alias("w")))
+    def weighted(c: str, w: float) -> Column:
+        wanted = F.col(c) if only is None else F.filter(c, lambda x: x.isin(only))
+        return F.transform(wanted, lambda x: F.struct(x.alias("t"), F.lit(w).alias("w")))
 
-    flat = F.concat(*(weighted(t, w) for t, w in zip(every, weights.values())))
-    return chunk.select("id", length.alias("len"), flat.alias("terms"))
+    cut_up = spread(chunk.select("id", *weights)).select("id", *(tokens(F.col(c)).alias(f"_{c}") for c in weights))
+    length = sum((F.size(f"_{c}") for c in weights), F.lit(0))
+    return cut_up.select("id", length.alias("len"), F.concat(*(weighted(f"_{c}", w) for c, w in weights.items())).alias("terms"))
 
 
-def postings(chunk: DataFrame, weights: dict[str, float] = WEIGHTS, only: DataFrame | None = None) -> DataFrame:
-    """(id, term, f, len): weighted frequency of each term in each passage; ``only``: terms wanted."""
-    p = doc_terms(chunk, weights).select("id", "len", F.explode("terms").alias("x")).select("id", "len", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
-    if only is not None:
-        p = p.join(only.select("term").distinct(), "term", "left_semi")
+def postings(terms: DataFrame) -> DataFrame:
+    """(id, term, f, len): weighted frequency of each term in each passage.
+
+    A passage's terms are counted where its row is: the grouping by id and term of exploded rows of
+    one partition is pre-aggregated before anything moves.
+    """
+    p = terms.select("id", "len", F.explode("terms").alias("x")).select("id", "len", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
     return p.groupBy("id", "term").agg(F.sum("w").alias("f"), F.first("len").alias("len"))
 
 
@@ -55,16 +58,25 @@ def query_terms(questions: DataFrame, id_col: str = "qid", text_col: str = "q")
     return t.groupBy("qid", "term").agg(F.count("*").alias("n"))
 
 
+#: Distinct terms of the questions up to which they travel as a list; beyond, by a join.
+LISTED_TERMS = 10_000
+
+
 def bm25(chunk: DataFrame, questions: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """(qid, id, score): passages that hold a term of the question; higher is better."""
     q = query_terms(questions)
-    post = postings(chunk, weights, only=q)
-    stats = doc_terms(chunk, weights).agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
+    listed = [r.term for r in q.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    small = len(listed) <= LISTED_TERMS
+    terms = cut(doc_terms(chunk, weights, listed if small else None))
+    post = postings(terms if small else terms.filter("size(terms) > 0"))
+    if not small:
+        post = post.join(q.select("term").distinct(), "term", "left_semi")
+    stats = terms.agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     s = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     # the statistics are one row: a scalar for every posting
-    j = post.join(df, "term").join(q, "term").withColumn("_1", F.lit(1)).join(stats.withColumn("_1", F.lit(1)), "_1")
+    j = post.join(df, "term").join(q, "term").withColumn("_1", F.lit(1)).join(F.broadcast(stats.withColumn("_1", F.lit(1))), "_1")
     return j.groupBy("qid", "id").agg(F.sum(idf * s * F.col("n")).alias("score"))
 
 

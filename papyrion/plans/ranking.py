@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyrion.operators import biblio as Bib
 from papyrion.operators import search as S
 from papyrion.plans.relational import CHUNKS, PAPERS, chunks, papers
-from papyrion.session import table
+from papyrion.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,7 +62,7 @@ def _bm25_hits(spark, d):
     c = chunks(spark, d)
     scope = papers(spark, d).filter("survey_id is not null").select(F.col("id").alias("paper_id"))
     s = S.bm25(c, questions(spark)).join(c.select("id", "paper_id").join(scope, "paper_id"), "id")
-    return S.ranked(s.select("qid", "id", "paper_id", F.round("score", 6).alias("score")))
+    return cut(S.ranked(s.select("qid", "id", "paper_id", F.round("score", 6).alias("score"))))
 
 
 @query(f"WITH {BM25} SELECT qid, id, score, rank FROM hit WHERE rank <= 30")

@@ -46,12 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, rows_bytes: str = "4m") -> DataFrame:
-    """Rows spread evenly over all cores before Python-heavy work.
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where the input comes in fewer parts than half of them.
 
-    A file of a few MB is one split and so one task; the round-robin exchange moves only the
-    pruned columns once and lets every core work. Nothing is dropped.
+    A small file is one split and so one task. With as many splits as cores, as in any large input,
+    nothing is moved.
     """
-    sc = df.sparkSession.sparkContext
-    parts = max(sc.defaultParallelism * 2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
