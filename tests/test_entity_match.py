@@ -1,0 +1,72 @@
+import random
+
+from papyrion.operators import entity_match as E
+from papyrion.operators.entity_match import author_score, form_of, line_dois, match_records, surnames, title_score
+
+SCHEMA = "id string, title string, authors string, year int, doi string, text string"
+
+
+def same(a, b):
+    return title_score(form_of(a), form_of(b))
+
+
+def test_titles():
+    assert same("Sokos: Frozen planner modules for code search", "sokos_frozen_planner_modules_for_code_search_final.pdf") > 0.95
+    assert same("Sokos: Frozen planner modules for code search", "Sokos: Frzoen planer modules for code saerch") > 0.7
+    assert same("Sokos: Frozen planner modules for code search", "Frozen planner modules for code search") > 0.8
+    assert same("Sokos: Frozen planner modules for code search", "Sokos: Frozen planner modules fo…") > 0.7
+    assert same("[Preprint] Frozen planner modules (extended version)", "Frozen planner modules") > 0.95
+    for other in ("Sokos: Frozen planner modules for code search II", "Supplement to Sokos: Frozen planner modules for code search", "Sokos: Sparse planner modules for code search", "Frozen planner modules for slide drafting", "Sokos: Frozen planner modules for code search Revisited"):
+        assert same("Sokos: Frozen planner modules for code search", other) == 0
+
+
+def test_authors():
+    lists = ["Rakesk, S.; Trumolla, F.", "S. Rakesk and F. Trumolla", "Trumolla F, Rakesk S", "F. TRUMOLLA · S. RAKESK", "Rakesk, Sona and Trumolla, Fila", "Fila Trumolla, Sona Rakesk"]
+    for x in lists:
+        assert set(surnames(x)[0]) == {"rakesk", "trumolla"}, x
+    assert surnames("Rakesk et al.") == (["rakesk"], True)
+    assert author_score(surnames(lists[0]), surnames("Rakseks S et al.")) > 0.9
+    assert author_score(surnames(lists[0]), surnames("A. Bebek; C. Dodek")) == 0
+    assert author_score(surnames(None), surnames(lists[0])) is None
+
+
+def test_identifiers_in_lines():
+    assert line_dois("doi:10.9926/leba.86120751\nText 10.1111/zzz.1 inside a sentence.") == ["10.9926/leba.86120751"]
+    assert line_dois("DOI 10.9933 / sunu.34957798") == line_dois("https://x.example/10.9933/SUNU.34957798") == ["10.9933/sunu.34957798"]
+
+
+def test_hamming_search_is_exact_below_the_number_of_fields():
+    rng = random.Random(3)
+    for _ in range(300):
+        v = rng.getrandbits(63) | rng.getrandbits(63) << 64 | rng.getrandbits(63) << 128 | rng.getrandbits(63) << 192
+        w = v
+        for b in rng.sample([64 * k + i for k in range(4) for i in range(63)], E.CHUNKS - 1):
+            w ^= 1 << b
+        assert set(E.chunk_keys("A", v)) & set(E.chunk_keys("A", w))
+
+
+def test_match_and_edges(spark):
+    left = [
+        ("p1", "Sokos: Frozen planner modules for code search", "Rakesk, S.; Trumolla, F.", 2020, "10.9999/abc.123", None),
+        ("p1", "Sokos: Frozen planner modules for code search", "Rakesk, S.; Trumolla, F.", 2020, "10.9999/abc.123", None),
+        ("p2", "Learning sparse summary trees with Vodek for court rulings", None, None, None, None),
+        ("p3", None, None, None, None, None),
+        ("p4", "", "X", 2000, "10.9999/def.7", None),
+        ("p5", "The same long title of two different works", "A. Bebek; C. Dodek", 2011, None, None),
+    ]
+    right = [
+        (1, "SOKOS: FROZEN PLANNER MODULES FOR CODE SEARCH", "S. Rakesk et al.", 2021, None, "Some text."),
+        (2, None, None, None, None, "Learning sparse summary trees with Vodek for court rulings\nA. Bebek, C. Dodek\nText goes on."),
+        (3, None, None, None, None, "doi: 10.9999/DEF.7\nText."),
+        (4, "Sokos: Frozen planner modules for code search II", "Rakesk, S.", 2021, None, "t"),
+        (5, None, None, None, None, None),
+        (6, "The same long title of two different works", "E. Fifek; G. Hohek", 2019, None, "t"),
+        (7, "x" * 5000, "y" * 5000, 1, None, "z" * 100_000),
+    ]
+    L = spark.createDataFrame(left, SCHEMA).withColumn("form", E.F.lit("clash"))
+    R = spark.createDataFrame([(str(i), *r) for i, *r in right], SCHEMA).withColumn("score", E.F.lit(1))
+    got = match_records(L, R).collect()
+    assert sorted((r.id_l, r.id_r) for r in got) == [("p1", "1"), ("p2", "2"), ("p4", "3")]
+    assert all(0.5 <= r.confidence <= 1 for r in got)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert match_records(empty, R).count() == 0 and match_records(L, empty).count() == 0

@@ -1,0 +1,65 @@
+import numpy as np
+
+from papyrion.operators.vector_neighbours import balanced_partition, most_similar, mutual
+
+SCHEMA = "chunk_id string, model string, dim int, vec array<float>"
+
+
+def frame(spark, x, model="m"):
+    return spark.createDataFrame([(f"c{i:05d}", model, x.shape[1], [float(v) for v in r]) for i, r in enumerate(x)], SCHEMA)
+
+
+def clusters(n, d=16, seed=0):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 8, d))
+    return (centres[rng.integers(0, len(centres), n)] + 0.3 * rng.standard_normal((n, d))) * rng.uniform(0.5, 2, (n, 1))
+
+
+def brute(x, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    return np.argsort(-s, 1)[:, :k]
+
+
+def test_one_partition_is_exact(spark):
+    x = clusters(300)
+    want = {(f"c{i:05d}", f"c{j:05d}") for i, js in enumerate(brute(x, 5)) for j in js}
+    got = {(r.id, r.neighbour) for r in most_similar(frame(spark, x)).collect()}
+    assert len(got & want) >= 0.999 * len(want) and len(got) == len(want)
+
+
+def test_recall_with_many_partitions(spark):
+    x = clusters(3000)
+    want = {(f"c{i:05d}", f"c{j:05d}") for i, js in enumerate(brute(x, 5)) for j in js}
+    got = {(r.id, r.neighbour) for r in most_similar(frame(spark, x), part_rows=200, sample=1500).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert len(got) == len(want)
+
+
+def test_partitions_are_balanced():
+    x = clusters(1024)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = np.bincount(balanced_partition(x, 4))
+    assert len(n) == 16 and n.min() == n.max() == 64
+
+
+def test_copies_and_unusable_vectors(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((40, 8))
+    x = np.concatenate([np.repeat(base[:1], 30, 0), base[1:]])
+    rows = [(f"c{i:05d}", "m", 8, [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += rows[:5] + [("z", "m", 8, [0.0] * 8), ("n", "m", 8, None), ("s", "m", 8, [1.0] * 7), ("q", "m", 8, [float("nan")] * 8), (None, "m", 8, [1.0] * 8), ("other", "m2", 8, [1.0] * 8), ("d", "m2", None, [2.0] * 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = most_similar(df.withColumn("key", df.chunk_id).withColumn("grp", df.model)).collect()
+    ids = {r.id for r in got}
+    assert not ids & {"z", "n", "s", "q"} and {"other", "d"} <= ids
+    mine = sorted((r.rank, r.neighbour, r.cosine) for r in got if r.id == "c00010")
+    assert mine == [(k + 1, f"c{k:05d}", 1.0) for k in range(5)]
+    assert all(r.id != r.neighbour for r in got)
+    pairs = {(r.id_a, r.id_b) for r in mutual(most_similar(df, least=0.9)).collect()}
+    assert ("c00000", "c00001") in pairs and ("d", "other") in pairs
+
+
+def test_empty(spark):
+    assert most_similar(spark.createDataFrame([], SCHEMA)).count() == 0
