@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from papyrion.llm.fold import latin
+from papyrion.session import spread
 
 #: Least item words of a leaked stretch, item words per error, and the exact run each such stretch holds.
 LEAST, PER_ERROR, RUN, MOST_ERRORS = 18, 8, 6, 4
@@ -205,7 +206,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     leaves the executors.
     """
     spark = docs.sparkSession
-    kept = docs.select(docs[doc_id], docs[text])
+    kept = spread(docs.select(docs[doc_id], docs[text]))
     types = (dict(kept.dtypes)[doc_id], dict(items.dtypes)[item_id])
     schema = f"`{doc_id}` {types[0]}, `{item_id}` {types[1]}, first_word int, n_words int"
     parts = []

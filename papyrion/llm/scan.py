@@ -169,7 +169,8 @@ class Editor:
 
     def joins(self, left: str, right: str) -> bool:
         f = self.join_features(left, right)
-        return self.score(f, "J") > self.score(f, "K")
+        s = self.score(f, "J") - self.score(f, "K")
+        return s > 0 or (s == 0 and "jTrue" in f and "wFalse" in f)  # nothing learned: the vocabulary decides
 
     def correct(self, word: str) -> str | None:
         """The vocabulary word that a lower-case token was misread from; None where it is none."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.session import cut
+from papyrion.session import cut, spread
 
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
@@ -35,6 +35,7 @@ _TAG = re.compile(r"[#@][^\W_][\w-]*")
 _SEP = re.compile(r"\s[/|•·»>]\s|;\s|\t")
 _SHOP = re.compile(r"\b(?:sku|art\.?-?nr|ref)\W{0,3}\d+|[$€£₫]\s?\d|\d\s?(?:[$€£₫]|usd|eur|vnd)\b", re.I)
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
+_ENTRY = re.compile(r"^\s*\[\d{1,3}\]\s.*\b(?:19|20)\d\d\b[^\n]*$", re.M)
 _LISTED = re.compile(r"\s*\[?\d{1,3}[\].]\s")
 
 #: A segment of which this share is links, tags or separators is a list.
@@ -43,6 +44,8 @@ LIST_SHARE = 0.5
 REPEATED = 0.5
 #: Share of the language's median share of function words below which a repeating segment is no prose.
 FUNCTION_SHARE = 0.6
+#: The same for segments that hardly hold anything else than repeated pairs.
+OFTEN_SHARE = 0.8
 #: The median taken for a language none of whose documents holds a function word.
 USUAL = 0.2
 
@@ -68,6 +71,9 @@ def measure(text: str) -> tuple[int, int, list[tuple[int, float, float]], str |
         # too little of any of it for half of the characters, whatever the segments
         return len(text), 0, [], guess, sum([counts[x] for x in _ANY if x in counts]) / len(words) if words else 0.0
     hot = {p for p, n in pairs.items() if n >= 3}
+    entries = sum(map(len, _ENTRY.findall(low))) if "[" in low else 0
+    if entries:  # bibliographic entries are prose here, however alike they look
+        low = _ENTRY.sub("", low)
     total = hard = shops = rows = prose_words = prose_function = 0
     soft = []
     for s in _CUT.split(low):
@@ -99,7 +105,7 @@ def measure(text: str) -> tuple[int, int, list[tuple[int, float, float]], str |
             prose_function += function
     if rows >= 3:
         hard += shops
-    return total, hard, soft, guess, prose_function / prose_words if prose_words else 0.0
+    return total + entries, hard, soft, guess, prose_function / prose_words if prose_words else 0.0
 
 
 MEASURES = "n int, hard int, soft array<struct<n:int,rep:float,fw:float>>, guess string, fw float"
@@ -122,7 +128,7 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             arrays = [pa.array(ids, b.schema.field(0).type), pa.array(langs, pa.string()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), soft, pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float32())]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "lang", "n", "hard", "soft", "guess", "fw"])
 
-    kept = docs.select(docs[id_col], docs[text_col], docs[lang_col])
+    kept = spread(docs.select(docs[id_col], docs[text_col], docs[lang_col]))
     return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, lang string, {MEASURES}")
 
 
@@ -137,7 +143,7 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one row a language: some dozens at any size, still left to Spark's own size check
     j = m.join(usual, "lang", "left")
     keywords = F.aggregate(
-        F.filter("soft", lambda s: (s.fw <= F.lit(FUNCTION_SHARE) * F.coalesce("usual", F.lit(USUAL))) | (s.rep >= 0.8)),
+        F.filter("soft", lambda s: s.fw <= F.when(s.rep >= 0.8, OFTEN_SHARE).otherwise(FUNCTION_SHARE) * F.coalesce("usual", F.lit(USUAL))),
         F.lit(0),
         lambda a, s: a + s.n,
     )

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from papyrion.session import spread
+
 #: Entries of a worker's memo before it is emptied; keeps a worker below some 200 MB.
 MEMO = 400_000
 
@@ -167,6 +169,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[id_col, "ids"])
 
-    kept = docs.select(docs[id_col], docs[text_col])
+    kept = spread(docs.select(docs[id_col], docs[text_col]))
     kind = dict(kept.dtypes)[id_col]
     return kept.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
