@@ -54,3 +54,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
+def sample_by_hash(df: DataFrame, key: str, n: int, total: int | None = None) -> DataFrame:
+    """At most ``n`` rows, chosen by the hash of a key: the same at any partitioning.
+
+    A threshold from the number of rows comes first, so that each part sends but its share to the
+    sort; the sort then settles the exact rows.
+    """
+    from pyspark.sql import functions as F
+
+    total = df.count() if total is None else total
+    rate = min(1.0, 1.5 * n / max(total, 1) + 100 / max(total, 1))
+    h = F.xxhash64(key)
+    few = df if rate >= 1 else df.filter(F.pmod(h, F.lit(1_000_000)) < max(1, int(rate * 1_000_000)))
+    return few.orderBy(h, key).limit(n)
