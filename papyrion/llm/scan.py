@@ -291,37 +291,30 @@ def word_counts(text: str) -> set[str]:
 
 
 def find_words(text: str, editor: Editor) -> tuple[str, bool]:
-    """The text with misread words corrected, and whether there were any."""
+    """The text with misread words corrected, and whether there were any.
+
+    Only the text's distinct words outside the vocabulary are looked at; most texts have none to correct.
+    """
     vocab = editor.vocab
-    hit = False
-
-    def fix(m: re.Match) -> str:
-        nonlocal hit
-        w = m[0]
-        low = w.lower()
-        if w in vocab or low in vocab or not any(c.isalpha() for c in w):
-            return w
-        if w[0] in "!@|$" and (low[1:] in vocab and w[0] == "!"):
-            if not (text[m.start() - 1 : m.start()].isspace() or m.start() == 0):
-                return w
-        if "-" in w[1:]:
-            whole = editor.correct(low)
-            if whole:
-                hit = True
-                return whole.capitalize() if w[0].isupper() else whole
-            parts = w.split("-")
-            new = [p if i and "-" + p in vocab else _fix_word(p, vocab, editor) or p for i, p in enumerate(parts)]
-            if new != parts:
-                hit = True
-                return "-".join(new)
-            return w
-        new = _fix_word(w, vocab, editor)
-        if new:
-            hit = True
-            return new
-        return w
-
-    return _TOKEN.sub(fix, text), hit
+    fixes = {}
+    for w in set(_TOKEN.findall(text)):
+        if w not in vocab and (low := w.lower()) not in vocab and (new := _fix_token(w, low, vocab, editor)):
+            fixes[w] = new
+    if not fixes:
+        return text, False
+    return _TOKEN.sub(lambda m: fixes.get(m[0], m[0]), text), True
+
+
+def _fix_token(w: str, low: str, vocab: dict[str, int], editor: Editor) -> str | None:
+    if not any(c.isalpha() for c in w):
+        return None
+    if "-" not in w[1:]:
+        return _fix_word(w, vocab, editor)
+    if (whole := editor.correct(low)) is not None:
+        return whole.capitalize() if w[0].isupper() else whole
+    parts = w.split("-")
+    new = [p if i and "-" + p in vocab else _fix_word(p, vocab, editor) or p for i, p in enumerate(parts)]
+    return "-".join(new) if new != parts else None
 
 
 def _fix_word(w: str, vocab: dict[str, int], editor: Editor) -> str | None:
