@@ -27,6 +27,8 @@ from papyrion.session import cut
 SAMPLE, PART_ROWS, PROBES = 12_000, 2000, 3
 #: Share of the sample's true neighbours that the partitions looked into must hold.
 RECALL = 0.93
+#: The same where only close neighbours are wanted, and the least partitions then: a few more are cheap.
+CLOSE_RECALL, CLOSE_PROBES = 0.999, 8
 #: Queries and least neighbours from which that share is measured.
 MEASURED, LEAST_MEASURED = 2000, 50
 #: Least sample vectors of a partition: bounds the number of partitions the sample can teach.
@@ -125,12 +127,13 @@ def probes_for(x: np.ndarray, w: np.ndarray, b: np.ndarray, k: int, recall: floa
     place = np.empty_like(z[q], np.int64)
     np.put_along_axis(place, np.argsort(-z[q], 1), np.arange(z.shape[1])[None, :], 1)
     ranks = np.take_along_axis(place, home[near], 1)[counts]
+    floor = PROBES if least is None else CLOSE_PROBES
     if len(ranks) < LEAST_MEASURED:
-        return min(PROBES, z.shape[1])
-    return int(min(z.shape[1], max(PROBES, np.quantile(ranks, recall) + 1)))
+        return min(floor, z.shape[1])
+    return int(min(z.shape[1], max(floor, np.quantile(ranks, recall) + 1)))
 
 
-def fit_groups(vectors: DataFrame, counts: dict[str, int], *, k: int = 5, recall: float = RECALL, least: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray, int] | None]:
+def fit_groups(vectors: DataFrame, counts: dict[str, int], *, k: int = 5, recall: float | None = None, least: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray, int] | None]:
     """(weights, bias, partitions to look into) for each group of vectors; None for a group of one partition.
 
     The sample are vectors chosen by their hash; it is bounded by ``sample`` for each group.
@@ -147,7 +150,7 @@ def fit_groups(vectors: DataFrame, counts: dict[str, int], *, k: int = 5, recall
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         part = balanced_partition(x, depth)
         w, b = fit_router(x, part, 2**depth)
-        out[g] = w, b, probes_for(x, w, b, k, recall, least)
+        out[g] = w, b, probes_for(x, w, b, k, recall or (RECALL if least is None else CLOSE_RECALL), least)
     return out
 
 
@@ -165,7 +168,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, group_col: str, dim_co
     return v.select("id", F.coalesce("grp", F.lit("")).alias("grp"), "vec").distinct()
 
 
-def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, least: float | None = None, recall: float = RECALL, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
+def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, least: float | None = None, recall: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """(grp, id, neighbour, rank, cosine): the k most similar other ids of the same group for every usable vector.
 
     With ``least`` only neighbours of at least that cosine are wanted: they stand close in few
