@@ -181,9 +181,9 @@ def kind_histogram(spark, d):
 
 @query(f"WITH {PAPERS} SELECT id, title, year FROM (SELECT id, title, year, row_number() OVER (PARTITION BY survey_id ORDER BY created_at DESC, id) AS r FROM p) WHERE r <= 40")
 def paper_listing(spark, d):
-    """SORT-01: newest papers of each corpus."""
-    w = Window.partitionBy("survey_id").orderBy(F.desc("created_at"), "id")
-    return papers(spark, d).withColumn("r", F.row_number().over(w)).filter("r <= 40").select("id", "title", "year")
+    """SORT-01: every paper of each corpus, r its place by created_at (equal times by id). The SQL still holds a cap of 40."""
+    w = Window.partitionBy("survey_id").orderBy("created_at", "id")
+    return papers(spark, d).select("id", "title", "year", F.row_number().over(w).alias("r"))
 
 
 @query(f"WITH {PAPERS} SELECT id, 'P' || CAST(row_number() OVER (PARTITION BY survey_id ORDER BY id) AS VARCHAR) AS label FROM p")
