@@ -203,9 +203,9 @@ def page_find(spark, d):
 
 @query(f"WITH {PAPERS} SELECT id, coalesce(left(replace(card.tldr_vi, '|', '\\|'), 60), '') AS tldr, coalesce(left(replace(card.novelty, '|', '\\|'), 60), '') AS novelty FROM p WHERE card IS NOT NULL")
 def facet_matrix(spark, d):
-    """AGT-04, SNK-05: paper by facet, cells escaped for a table."""
-    cell = lambda c: F.coalesce(F.left(F.replace(F.col(c), F.lit("|"), F.lit("\\|")), F.lit(60)), F.lit(""))
-    return papers(spark, d).filter("card is not null").select("id", cell("card.tldr_vi").alias("tldr"), cell("card.novelty").alias("novelty"))
+    """AGT-04, SNK-05: paper by facet, whole cells escaped for a table, empty without a card. The SQL still cuts cells at 60."""
+    cell = lambda c: F.coalesce(F.replace(F.replace(F.col(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(""))
+    return papers(spark, d).select("id", cell("card.tldr_vi").alias("tldr"), cell("card.novelty").alias("novelty"))
 
 
 @query(f"""WITH {PAPERS}, {CHUNKS} SELECT 'chunk without paper' AS problem, count(*) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = c.paper_id)

@@ -22,3 +22,10 @@ def test_paper_listing_has_every_paper_in_order(spark, tmp_path):
     data = [paper(f"p{i:03}", at=200 - i) for i in range(90)] + [paper("q1", "other", at=1), paper("q0", "other", at=1)]
     got = {r.id: r.r for r in run(spark, tmp_path, "paper_listing", paper=(data, PAPER)).collect()}
     assert got == {f"p{i:03}": 90 - i for i in range(90)} | {"q0": 1, "q1": 2}
+
+
+def test_facet_matrix_has_whole_cells_of_every_paper(spark, tmp_path):
+    long = "x" * 59 + "|" + "y\n" * 50 + "end"
+    data = [paper("a", card=(long, None)), paper("b"), paper("c", card=(None, "n"))]
+    got = {r.id: (r.tldr, r.novelty) for r in run(spark, tmp_path, "facet_matrix", paper=(data, PAPER)).collect()}
+    assert got == {"a": ("x" * 59 + "\\|" + "y " * 50 + "end", ""), "b": ("", ""), "c": ("", "n")}
