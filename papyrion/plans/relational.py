@@ -267,9 +267,16 @@ def context_fallback(spark, d):
 @query(f"""WITH {PAPERS}, {CHUNKS}, x AS (SELECT p.survey_id, p.id, p.title, c.ord, c.text FROM c JOIN p ON p.id = c.paper_id WHERE c.level = 0 AND c.kind = 'abstract' AND c.text IS NOT NULL)
 SELECT survey_id, sha256(string_agg(id || ' ' || coalesce(title, '') || ': ' || left(text, 200), chr(10) ORDER BY id, ord)) AS digest FROM x GROUP BY survey_id""")
 def corpus_digest(spark, d):
-    """AGG-18: deterministic ordered text of a corpus (hashed here), one short part a passage."""
-    p = papers(spark, d).select(F.col("id").alias("paper_id"), "survey_id", F.col("title").alias("pt"))
-    x = chunks(spark, d, 0).filter("kind = 'abstract' and text is not null").join(p, "paper_id")
-    part = F.struct("paper_id", "ord", F.concat(F.col("paper_id"), F.lit(" "), F.coalesce("pt", F.lit("")), F.lit(": "), F.left("text", F.lit(200))).alias("t"))
-    parts = x.groupBy("survey_id").agg(F.array_sort(F.collect_list(part)).alias("l"))
-    return parts.select("survey_id", F.sha2(F.array_join(F.transform("l", lambda s: s.t), "\n"), 256).alias("digest"))
+    """AGG-18: deterministic ordered text of a corpus (hashed here): the whole card of each paper in id order.
+
+    Labels count all papers of the corpus, as in the reference; its constant head is left out, novelty is added. A corpus
+    without cards has the hash of the empty text. The SQL still reads abstracts, cut at 200 characters.
+    """
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    line = lambda c, label: F.when(filled(c), F.concat(F.lit(f"\n  {label}: "), c)).otherwise(F.lit(""))
+    year = F.when(F.coalesce("year", F.lit(0)) != 0, F.col("year").cast("string")).otherwise(F.lit("n.d."))
+    head = F.concat(F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" ("), year, F.when(filled(F.col("venue")), F.concat(F.lit(", "), F.col("venue"))).otherwise(F.lit("")), F.lit(")"))
+    part = F.when(F.col("card").isNotNull(), F.concat(head, line(F.col("card.tldr_vi"), "Chốt"), line(F.col("card.novelty"), "Điểm mới")))
+    parts = papers(spark, d).groupBy("survey_id").agg(F.array_sort(F.collect_list(F.struct("id", part.alias("t")))).alias("l"))
+    labelled = F.transform("l", lambda s, i: F.concat(F.lit("[P"), (i + 1).cast("string"), s.t))
+    return parts.select("survey_id", F.sha2(F.array_join(labelled, "\n\n"), 256).alias("digest"))

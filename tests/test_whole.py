@@ -1,6 +1,7 @@
 """Queries that return every row and whole texts, on small tables of their own."""
 
 import datetime as dt
+import hashlib
 
 from papyrion.plans import registry
 
@@ -29,3 +30,13 @@ def test_facet_matrix_has_whole_cells_of_every_paper(spark, tmp_path):
     data = [paper("a", card=(long, None)), paper("b"), paper("c", card=(None, "n"))]
     got = {r.id: (r.tldr, r.novelty) for r in run(spark, tmp_path, "facet_matrix", paper=(data, PAPER)).collect()}
     assert got == {"a": ("x" * 59 + "\\|" + "y " * 50 + "end", ""), "b": ("", ""), "c": ("", "n")}
+
+
+def test_corpus_digest_reads_whole_cards(spark, tmp_path):
+    same = "w" * 300
+    data = [paper("b", "s1", (same + "1", "n"), year=None, venue="V"), paper("a", "s1"), paper("b2", "s2", (same + "2", "")), paper("c", "s3")]
+    chunk = [(p + "c0", p, 0, "abstract", same, 0) for p in ("b", "b2", "c")]
+    df = run(spark, tmp_path, "corpus_digest", paper=(data, PAPER), chunk=(chunk, "id string, paper_id string, ord int, kind string, text string, level int"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {"s1": f"[P2] T (n.d., V)\n  Chốt: {same}1\n  Điểm mới: n", "s2": f"[P1] T (2020)\n  Chốt: {same}2", "s3": ""}
+    assert {r.survey_id: r.digest for r in df.collect()} == {k: sha(t) for k, t in want.items()}
