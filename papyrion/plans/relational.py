@@ -80,8 +80,8 @@ def strip_markup(spark, d):
 m AS (SELECT id, regexp_replace(regexp_replace(tok, '[.,%]+$', ''), '^[%+-]+', '') AS tok FROM n)
 SELECT id, count(*) AS n FROM (SELECT DISTINCT id, tok FROM m WHERE regexp_full_match(tok, '[0-9]+([.,][0-9]+)*')) GROUP BY id""")
 def number_extract(spark, d):
-    """2.9 numbers of a passage: tokens of a superset class, then an anchored filter (no look-around needed)."""
-    c = table(spark, d, "chunk").filter("text is not null and kind = 'para'").select("id", "text").distinct()
+    """2.9 numbers of a passage of any kind: tokens of a superset class, then an anchored filter (no look-around needed). The SQL still reads paragraphs only."""
+    c = table(spark, d, "chunk").filter("text is not null").select("id", "text").distinct()
     tok = F.explode(F.regexp_extract_all(F.regexp_replace("text", "[^0-9A-Za-zÀ-ỹ_.,%+-]+", " "), F.lit("[^ ]+"), F.lit(0)))
     t = c.select("id", tok.alias("tok")).withColumn("tok", F.regexp_replace(F.regexp_replace("tok", "[.,%]+$", ""), "^[%+-]+", ""))
     return t.filter(F.col("tok").rlike(r"^[0-9]+([.,][0-9]+)*$")).distinct().groupBy("id").agg(F.count("*").alias("n"))

@@ -40,3 +40,10 @@ def test_corpus_digest_reads_whole_cards(spark, tmp_path):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = {"s1": f"[P2] T (n.d., V)\n  Chốt: {same}1\n  Điểm mới: n", "s2": f"[P1] T (2020)\n  Chốt: {same}2", "s3": ""}
     assert {r.survey_id: r.digest for r in df.collect()} == {k: sha(t) for k, t in want.items()}
+
+
+def test_number_extract_reads_every_kind(spark, tmp_path):
+    kinds = ["para", "abstract", "summary", "table", "figcap", "equation", "list", None]
+    data = [(f"c{k}", k_, "a 1,5 b 7 and 7, x2") for k, k_ in enumerate(kinds)] + [("none", "table", "words"), ("null", "para", None)]
+    got = {r.id: r.n for r in run(spark, tmp_path, "number_extract", chunk=(data + data[:2], "id string, kind string, text string")).collect()}
+    assert got == {f"c{k}": 2 for k in range(len(kinds))}
