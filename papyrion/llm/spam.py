@@ -2,9 +2,10 @@
 
 One narrow pass measures every document: its text is cut into sentences and lines, and each is
 measured by link-text ratio, tag share, separator density, the share of word pairs that the
-document repeats, and the share of function words. The function-word threshold is calibrated per
-language from all documents (a grouped median over a handful of languages); a second, JVM-side
-step sums the characters of the segments that are no prose and keeps documents with more than half.
+document repeats, the share of its top words (words other than function words standing three times
+or more), whether it is a repeated line, and the share of function words. The thresholds of function
+words, top words and repeated lines are calibrated per language from all documents (grouped medians
+over a handful of languages); a second, JVM-side step sums the characters of the segments that are no prose and keeps documents with more than half.
 The shuffle carries one small row per document into a grouped median, pre-aggregated map-side.
 """
 
@@ -42,6 +43,12 @@ _LISTED = re.compile(r"\s*\[?\d{1,3}[\].]\s")
 LIST_SHARE = 0.5
 #: Share of a segment's word pairs that the document repeats.
 REPEATED = 0.5
+#: Share of a segment's words that are top words of the document; at least so many times the language's median share, and at most the last.
+TOP, TOP_TIMES, TOP_MOST = 0.5, 1.5, 0.9
+#: Share of top words, or of characters in repeated lines, below which a document can't be half keywords.
+EARLY_TOP, EARLY_LINES = 0.25, 0.2
+#: Times that a line stands from which it counts as repeated; times the language's median share of such lines that the document's must exceed.
+LINES, LINES_TIMES = 2, 1.5
 #: Share of the language's median share of function words below which a repeating segment is no prose.
 FUNCTION_SHARE = 0.6
 #: The same for segments that hardly hold anything else than repeated pairs.
@@ -50,11 +57,23 @@ OFTEN_SHARE = 0.8
 USUAL = 0.2
 
 
-def measure(text: str) -> tuple[int, int, list[tuple[int, float, float]], str | None, float]:
-    """(characters, characters of lists, [(characters, repeated share, function share)], language, function share).
+def _top_words(counts: Counter) -> set[str]:
+    """Words of a document, no function words and no numbers, that stand three times or more."""
+    return {x for x, n in counts.items() if n >= 3 and x not in _ANY and not x.isdigit()}
 
-    The third part holds only segments with noticeable repetition; the others are prose whatever the
-    calibration says. The function share of the document leaves list segments out.
+
+def _line_share(parts: list[str]) -> float:
+    """Share of the characters that stand in repeated parts."""
+    n = Counter([x for p in parts if (x := p.strip())])
+    return sum([len(x) * k for x, k in n.items() if k >= LINES]) / max(1, sum([len(x) * k for x, k in n.items()]))
+
+
+def measure(text: str) -> tuple[int, int, list[tuple[int, float, float, float, bool]], str | None, float, float, float]:
+    """(characters, characters of lists, segments, language, function share, top-word share, repeated-line share).
+
+    Segments are (characters, repeated share, function share, top-word share, whether repeated as a line) and
+    only those with noticeable repetition; the others are prose whatever the calibration says. The
+    function share of the document leaves them and lists out.
     """
     low = text.lower()
     words = _WORD.findall(low)
@@ -67,16 +86,21 @@ def measure(text: str) -> tuple[int, int, list[tuple[int, float, float]], str |
     links = sum(map(len, _LINK.findall(low))) if "://" in low or "www." in low or "](" in low else 0
     tags = sum(map(len, _TAG.findall(low))) if "#" in low or "@" in low else 0
     shop = _SHOP.search(low) is not None
-    if not shop and repeats < 0.15 * len(words) and links + tags < 0.2 * len(low):
+    tops = _top_words(counts)
+    top_share = sum([counts[x] for x in tops]) / len(words) if words else 0.0
+    line_share = _line_share(low.split("\n"))
+    if not shop and repeats < 0.15 * len(words) and links + tags < 0.2 * len(low) and top_share < EARLY_TOP and line_share < EARLY_LINES:
         # too little of any of it for half of the characters, whatever the segments
-        return len(text), 0, [], guess, sum([counts[x] for x in _ANY if x in counts]) / len(words) if words else 0.0
+        return len(text), 0, [], guess, sum([counts[x] for x in _ANY if x in counts]) / len(words) if words else 0.0, top_share, line_share
     hot = {p for p, n in pairs.items() if n >= 3}
     entries = sum(map(len, _ENTRY.findall(low))) if "[" in low else 0
     if entries:  # bibliographic entries are prose here, however alike they look
         low = _ENTRY.sub("", low)
     total = hard = shops = rows = prose_words = prose_function = 0
     soft = []
-    for s in _CUT.split(low):
+    parts = _CUT.split(low)
+    often = {x for x, n in Counter([p.strip() for p in parts]).items() if n >= LINES}
+    for s in parts:
         if not s or s.isspace():
             continue
         n = len(s)
@@ -97,36 +121,40 @@ def measure(text: str) -> tuple[int, int, list[tuple[int, float, float]], str |
             rows += 1
             continue
         rep = sum([p in hot for p in zip(w, w[1:])]) / (k - 1) if k >= 2 and hot else 0.0
+        top = sum([x in tops for x in w]) / k if k else 0.0
+        line = k > 0 and s.strip() in often
         # items between separators need less repetition to count as a keyword list
-        if rep >= (REPEATED if len(_SEP.findall(s)) < 0.15 * k else 0.7 * REPEATED):
-            soft.append((n, rep, function / k))
+        if rep < (REPEATED if len(_SEP.findall(s)) < 0.15 * k else 0.7 * REPEATED):
+            rep = 0.0
+        if rep or top >= TOP or line:
+            soft.append((n, rep, function / k, top, line))
         else:
             prose_words += k
             prose_function += function
     if rows >= 3:
         hard += shops
-    return total + entries, hard, soft, guess, prose_function / prose_words if prose_words else 0.0
+    return total + entries, hard, soft, guess, prose_function / prose_words if prose_words else 0.0, top_share, line_share
 
 
-MEASURES = "n int, hard int, soft array<struct<n:int,rep:float,fw:float>>, guess string, fw float"
+MEASURES = "n int, hard int, soft array<struct<n:int,rep:float,fw:float,top:float,line:boolean>>, guess string, fw float, top float, lines float"
 
 
 def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The measures of every document with a text that is not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        soft_type = pa.list_(pa.struct([("n", pa.int32()), ("rep", pa.float32()), ("fw", pa.float32())]))
+        soft_type = pa.list_(pa.struct([("n", pa.int32()), ("rep", pa.float32()), ("fw", pa.float32()), ("top", pa.float32()), ("line", pa.bool_())]))
         for b in batches:
-            ids, langs, cols = [], [], ([], [], [], [], [])
+            ids, langs, cols = [], [], ([], [], [], [], [], [], [])
             for i, text, lang in zip(*(c.to_pylist() for c in b.columns)):
                 if text and not text.isspace():
                     ids.append(i)
                     langs.append(lang)
                     for c, v in zip(cols, measure(text)):
                         c.append(v)
-            soft = pa.array([[{"n": n, "rep": r, "fw": f} for n, r, f in x] for x in cols[2]], soft_type)
-            arrays = [pa.array(ids, b.schema.field(0).type), pa.array(langs, pa.string()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), soft, pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "lang", "n", "hard", "soft", "guess", "fw"])
+            soft = pa.array([[{"n": n, "rep": r, "fw": f, "top": t, "line": d} for n, r, f, t, d in x] for x in cols[2]], soft_type)
+            arrays = [pa.array(ids, b.schema.field(0).type), pa.array(langs, pa.string()), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), soft, pa.array(cols[3], pa.string()), *(pa.array(c, pa.float32()) for c in cols[4:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "lang", "n", "hard", "soft", "guess", "fw", "top", "lines"])
 
     kept = spread(docs.select(docs[id_col], docs[text_col], docs[lang_col]))
     return kept.mapInArrow(run, f"`{id_col}` {dict(kept.dtypes)[id_col]}, lang string, {MEASURES}")
@@ -139,12 +167,18 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``lang`` column in lower case. Null, empty and blank texts give no row. Repeated rows count once.
     """
     m = cut(measure_documents(docs, id_col, text_col, lang_col).withColumn("lang", F.coalesce("guess", F.lower("lang"), F.lit("und"))))
-    usual = m.filter("fw > 0").groupBy("lang").agg(F.percentile_approx("fw", 0.5, 1000).alias("usual"))
+    median = lambda c: F.percentile_approx(c, 0.5, 1000).alias(f"usual_{c}")
+    usual = m.filter("fw > 0").groupBy("lang").agg(median("fw"), median("top"), median("lines"))
     # one row a language: some dozens at any size, still left to Spark's own size check
     j = m.join(usual, "lang", "left")
-    keywords = F.aggregate(
-        F.filter("soft", lambda s: s.fw <= F.when(s.rep >= 0.8, OFTEN_SHARE).otherwise(FUNCTION_SHARE) * F.coalesce("usual", F.lit(USUAL))),
-        F.lit(0),
-        lambda a, s: a + s.n,
-    )
+    fw = F.coalesce("usual_fw", F.lit(USUAL))
+    top = F.least(F.greatest(F.lit(TOP), TOP_TIMES * F.coalesce("usual_top", F.lit(0.0))), F.lit(TOP_MOST))
+    lines = F.col("lines") > LINES_TIMES * F.coalesce("usual_lines", F.lit(0.0))
+
+    def keyword(s):
+        """Repeated pairs, top words or repeated lines, and few function words for the language."""
+        pairs = (s.rep > 0) & (s.fw <= F.when(s.rep >= 0.8, OFTEN_SHARE).otherwise(FUNCTION_SHARE) * fw)
+        return pairs | (((s.top >= top) | (s.line & lines)) & (s.fw <= FUNCTION_SHARE * fw))
+
+    keywords = F.aggregate(F.filter("soft", keyword), F.lit(0), lambda a, s: a + s.n)
     return j.withColumn("share", (F.col("hard") + keywords) / F.col("n")).filter(F.col("share") > over).select(id_col, "share").distinct()

@@ -31,3 +31,14 @@ def test_kinds(spark):
 
 def test_empty(spark):
     assert spam_pages(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_single_keywords_in_any_order(spark):
+    r = random.Random(3)
+    words = [a + b for a in ("lamp", "sofa", "rug", "desk", "vase", "shelf") for b in ("shop", "deal", "sale", "mart", "land", "box", "kit", "set", "pro", "max")]
+    spam = {k: " ".join(r.choice(ws) for _ in range(n)) for k, (ws, n) in enumerate(((words, 300), (words, 600), (words, 1500), (words[:12], 80)))}
+    lines = words[:20] + [f"{a} {b}" for a, b in zip(words[20:40], words[40:60])]
+    spam[4] = "\n".join(r.sample(lines, len(lines)) + r.sample(lines, len(lines)))  # each line twice
+    fine = {10: prose(200), 11: prose(12) + "\n" + " ".join(words[:12] * 4), 12: "\n".join([prose(1)] * 2 + [prose(3)]), 13: "\n".join(f"{w}: a thing that we use in the house when it is needed for {k}." for k, w in enumerate(words)), 14: " ".join(words)}
+    df = spark.createDataFrame([(i, t, "en") for i, t in {**spam, **fine}.items()], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in spam_pages(df).collect()) == sorted(spam)
