@@ -9,8 +9,10 @@ word within two edits (a bounded sample), and frequent words broken at line ends
 counts only if the result is in the corpus vocabulary.
 
 The vocabulary holds the words of at least ``SHARE`` of all texts, so at most (mean words of a
-text / SHARE) entries at any corpus size; that bound is what makes its broadcast safe. Counting is
-pre-aggregated per batch. The repair itself is one narrow pass over the texts.
+text / SHARE) entries at any corpus size; that bound is what makes its broadcast safe. A word that is
+a misreading of a far more frequent one is refused. Rarer words stay in a distributed table: unknown
+words are resolved against it by a join on their candidate corrections, and each record gets its own.
+Counting is pre-aggregated per batch. The repair itself is one narrow pass over the texts.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ SHARE, LEAST = 1e-3, 3
 #: Rare tokens from which training pairs are mined, and words broken for the line-join examples.
 MINED, BROKEN = 3000, 1500
 EPOCHS = 4
+#: Times that a word stands more often than a vocabulary word that is refused as its misreading.
+FAR_MORE = 50
+#: Times that a word outside the vocabulary stands more often than its misreadings; their shortest length.
+RARE_MORE, RARE_LENGTH = 3, 5
 
 _TOKEN = re.compile(r"[!@|$]?[^\W_]+(?:[!@|$'’-][^\W_]+)*")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -114,6 +120,8 @@ class Editor:
         self.weights = weights or {}
         self.outputs = outputs or {}
         self.memo: dict[str, str | None] = {}
+        #: Corrections to words outside the vocabulary, of the record at hand.
+        self.rare: dict[str, str] = {}
 
     @staticmethod
     def features(w: str, i: int) -> tuple[str, ...]:
@@ -173,24 +181,38 @@ class Editor:
         return s > 0 or (s == 0 and "jTrue" in f and "wFalse" in f)  # nothing learned: the vocabulary decides
 
     def correct(self, word: str) -> str | None:
-        """The vocabulary word that a lower-case token was misread from; None where it is none."""
-        if word in self.memo:
-            return self.memo[word]
+        """The word, of the vocabulary or a rarer one, that a lower-case token was misread from; None where it is none."""
+        if word not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[word] = self.known(word, self.readings(word))
+        return self.memo[word] or self.rare.get(word)
+
+    def known(self, word: str, readings: list[str]) -> str | None:
+        """The first reading of a token that is in the vocabulary."""
+        for t in readings:
+            if (f := self.vocab.get(t) or self.vocab.get(t.capitalize())) and misread(word, t) and (len(word) > 3 or _ODD.search(word) or f >= self.vocab.get("", 0) * 0.01):
+                return t
+        return None
+
+    def readings(self, word: str) -> list[str]:
+        """What a lower-case token may be a misreading of, known or not, the likeliest first."""
         beam = [(0.0, 0, "")]
         for i, c in enumerate(word):
             f = self.features(word, i)
             keep = self.score(f, c)
             options = [(0.0, c, 0)] + [(self.score(f, o) - keep, o, 1) for o in self.outputs.get(c, [])]
             beam = sorted(((s + d, n + k, t + o) for s, n, t in beam for d, o, k in options if n + k <= 5), reverse=True)[:48]
-        found = None
-        for _, n, t in beam:
-            if n and t != word and (f := self.vocab.get(t) or self.vocab.get(t.capitalize())) and misread(word, t) and (len(word) > 3 or _ODD.search(word) or f >= self.vocab.get("", 0) * 0.01):
-                found = t
-                break
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[word] = found
-        return found
+        return [t for _, n, t in beam if n and t != word]
+
+    def refused(self) -> set[str]:
+        """Vocabulary words that are a misreading of a far more frequent one."""
+        out = set()
+        for w, n in self.vocab.items():
+            if len(w) >= 5 and w.isalpha() and w.islower():
+                if any(self.vocab.get(t, 0) >= FAR_MORE * n and _distance(w, t) <= 2 and misread(w, t) for t in self.readings(w)):
+                    out.add(w)
+        return out
 
 
 def edits(a: str, b: str) -> list[str]:
@@ -468,14 +490,62 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
-def fit(records: DataFrame, *, share: float = SHARE, mined: int = MINED) -> Editor:
-    """Vocabulary of all texts and the editor trained on it."""
+def _fit(records: DataFrame, share: float = SHARE, mined: int = MINED) -> tuple[Editor, DataFrame]:
+    """The editor, and the (word, n) table of all words."""
     counts = cut(records.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = (counts.filter("word = ''").agg(F.sum("n")).collect()[0][0]) or 0
     # bounded: a text has some dozens of different words, and each entry stands in `share` of all texts
     vocab = {r.word: r.n for r in counts.filter(F.col("n") >= max(LEAST, share * total)).collect()}
     rare = counts.filter((F.col("n") < max(LEAST, share * total)) & F.col("word").rlike(r"^[a-z@!][a-z0-9@!]{4,}$")).orderBy(F.xxhash64("word"), "word").limit(mined)
-    return fit_editor({w: n for w, n in vocab.items() if w == "" or w[0] == "-" or _WORD.fullmatch(w)}, [r.word for r in rare.collect()])
+    vocab, unknown = {w: n for w, n in vocab.items() if w == "" or w[0] == "-" or _WORD.fullmatch(w)}, [r.word for r in rare.collect()]
+    editor = fit_editor(vocab, unknown)
+    if bad := editor.refused():
+        editor = fit_editor({w: n for w, n in vocab.items() if w not in bad}, unknown + sorted(bad))
+    return editor, counts
+
+
+def fit(records: DataFrame, *, share: float = SHARE, mined: int = MINED) -> Editor:
+    """Vocabulary of all texts and the editor trained on it."""
+    return _fit(records, share, mined)[0]
+
+
+def _unknown(text: str, vocab: dict[str, int]) -> set[str]:
+    """Lower-case words of a text, and of its hyphenated words, that the vocabulary does not know."""
+    words = {p for w in _TOKEN.findall(latin(text)) for p in (w, *w.split("-"))}
+    low = {w.lower() for w in words if w not in vocab}
+    return {w for w in low if len(w) >= RARE_LENGTH and w not in vocab and any(c.isalpha() for c in w)}
+
+
+def rare_corrections(counts: DataFrame, shared) -> DataFrame:
+    """(word, fix): unknown words and the clean word outside the vocabulary that each was misread from.
+
+    Both sides stay distributed: candidates of every unknown word meet the rarer words in a join. A
+    target stands in ``LEAST`` texts in small letters (one letter may tell two names apart), ``RARE_MORE``
+    times as many as the unknown word, and is itself no misreading of a vocabulary word.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Editor(*shared.value)
+        for b in batches:
+            rows = []
+            for w, n, small in zip(*(c.to_pylist() for c in b.columns)):
+                if w in e.vocab or w.capitalize() in e.vocab or e.known(w, read := e.readings(w)) is not None:
+                    continue
+                if small >= LEAST and w.isalpha():
+                    rows.append((w, small, None))
+                rows += [(w, n, t) for t in dict.fromkeys(read) if t.isalpha() and t not in e.vocab and misread(w, t)]
+            if rows:
+                c = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=["word", "n", "to"])
+
+    words = counts.filter(F.col("word").rlike(r"^[\p{L}@!|$][\p{L}0-9@!|$]{4,}$")).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("small"))
+    # a few MB of words are much work: a set number of parts, which is not coalesced to one
+    spark = counts.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cut(words.repartition(parts).mapInArrow(run, "word string, n long, to string"))
+    clean = found.filter("to is null").select(F.col("word").alias("to"), F.col("n").alias("m"))
+    met = found.filter("to is not null").join(clean, "to").filter(F.col("m") >= RARE_MORE * F.col("n"))
+    return met.groupBy("word").agg(F.max_by("to", F.struct("m", "to")).alias("fix"))
 
 
 def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
@@ -486,7 +556,7 @@ def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
     noise. Records that come in several rows count once.
     """
     recs = records.select("tbl", "rec_id", "text", "title", "kind").filter("rec_id is not null and text is not null").distinct()
-    editor = editor or fit(recs)
+    editor, counts = (editor, None) if editor else _fit(recs)
     shared = records.sparkSession.sparkContext.broadcast((editor.vocab, editor.weights, editor.outputs))
     held: dict[int, Editor] = {}
 
@@ -496,7 +566,8 @@ def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
         e = held[0]
         for b in batches:
             rows = []
-            for tbl, rec, text, title, kind in zip(*(c.to_pylist() for c in b.columns)):
+            for tbl, rec, text, title, kind, fixes in zip(*(c.to_pylist() for c in b.columns)):
+                e.rare = dict(fixes or ())
                 if tbl == "chunk":
                     t, noise = repair_lines(text, _words(latin(title or "")), kind, e)
                     rows.append((tbl, rec, "", t, sorted(noise)))
@@ -511,7 +582,19 @@ def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[:4]] + [pa.array(c[4], pa.list_(pa.string()))], names=["tbl", "rec_id", "block_id", "text", "noise"])
 
-    return recs.mapInArrow(run, _OUT)
+    if counts is None:
+        return recs.withColumn("fixes", F.lit(None).cast("map<string,string>")).mapInArrow(run, _OUT)
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value[0]
+        for b in batches:
+            rows = [(k, w) for k, tbl, text in zip(*(c.to_pylist() for c in b.columns)) for w in set().union(*(_unknown(t, vocab) for t in _texts(tbl, text, None, None)))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["rec", "word"])
+
+    recs = recs.withColumn("rec", F.sha2(F.concat_ws("\n", "tbl", "rec_id", "text"), 256))
+    held_by = recs.select("rec", "tbl", "text").mapInArrow(unknown, "rec string, word string").distinct()
+    fixes = held_by.join(rare_corrections(counts, shared), "word").groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
+    return recs.join(fixes, "rec", "left").select("tbl", "rec_id", "text", "title", "kind", "fixes").mapInArrow(run, _OUT)
 
 
 def scan_noise(records: DataFrame) -> DataFrame:

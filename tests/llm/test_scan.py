@@ -71,3 +71,21 @@ def test_records(spark, rows):
 
 def test_editor_without_training():
     assert Editor({}).correct("word") is None
+
+
+def test_frequent_misreadings_and_rare_words(spark):
+    from papyrion.llm.scan import fit
+
+    rng = random.Random(5)
+    say = lambda n=12: " ".join(rng.choice(WORDS) for _ in range(n))
+    data = [("chunk", f"c{i}", say(), None, "para") for i in range(6000)]
+    noisy = [(w, w.replace(a, b, 1)) for w in WORDS for a, b in (("e", "c"), ("t", "f"), ("o", "0")) if a in w]
+    data += [("chunk", f"n{i}", say() + " " + noisy[i % len(noisy)][1], None, "para") for i in range(150)]
+    data += [("chunk", f"m{i}", "covcrage " + say(5), None, "para") for i in range(20)]  # in more than 1/1000 of the texts
+    data += [("chunk", f"r{i}", "branches " + say(5), None, "para") for i in range(6)]  # in less
+    data += [("chunk", "x", "these branchcs", None, "para"), ("chunk", "y", "Branchcs", None, "para")]
+    df = spark.createDataFrame(data, "tbl string, rec_id string, text string, title string, kind string")
+    editor = fit(df)
+    assert "covcrage" not in editor.vocab and "coverage" in editor.vocab and "branches" not in editor.vocab
+    got = {r.rec_id for r in scan_noise(df).filter("noise = 'ocr'").collect()}
+    assert {f"m{i}" for i in range(20)} | {"x", "y"} <= got and not [g for g in got if g[0] in "cr"]
