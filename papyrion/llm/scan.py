@@ -1,7 +1,8 @@
 """Problem 7: noise in text from scanned pages.
 
-Furniture (running headers, page numbers) is found by line or block with features of its place on
-the page, of the title it repeats and of the sentence it interrupts. What remains is edited by an
+Furniture (running headers, page numbers) is found by line or block with features of its form, of the
+title it repeats and of its place after the first body block; page edges, repetition over pages and
+interrupted sentences are left out. What remains is edited by an
 averaged-perceptron character editor, trained here: for each character it predicts an output that
 is a keep, a replacement, a deletion or an insertion, and for a hyphen at a line end whether the
 lines join. Its training pairs are mined from the corpus itself: rare tokens with the one frequent
