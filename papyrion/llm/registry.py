@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries",)
+MODULES = ("queries", "training")
 
 
 def _all(attr: str) -> dict:
