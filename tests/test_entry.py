@@ -15,7 +15,7 @@ def test_names_match():
 
 
 def test_core_runs_without_text_operators():
-    code = "import sys; sys.modules['papyrion.llm'] = None\nimport __spark_entry__ as e\nq = e.queries()\nassert 'p4_found' in q and 'p8_ids' not in q"
+    code = "import sys; sys.modules['papyrion.llm'] = None\nimport __spark_entry__ as e\nq = e.queries()\nassert 'bm25_search' in q and 'p8_ids' not in q"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
 
 
