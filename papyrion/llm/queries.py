@@ -40,9 +40,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, rec_id, text, title, kind) of the passages and the parsed documents."""
-    chunk = table(spark, sf_dir, "chunk").select(F.lit("chunk").alias("tbl"), F.col("id").alias("rec_id"), "text", "title", "kind")
-    cache = table(spark, sf_dir, "parse_cache").select(F.lit("parse_cache").alias("tbl"), F.col("sha256").alias("rec_id"), F.col("blocks").alias("text"), "title", F.lit(None).cast("string").alias("kind"))
+    """(tbl, rec_id, text, title, kind, page, doc) of the passages and the parsed documents."""
+    none = F.lit(None)
+    chunk = table(spark, sf_dir, "chunk").select(F.lit("chunk").alias("tbl"), F.col("id").alias("rec_id"), "text", "title", "kind", "page", F.col("paper_id").alias("doc"))
+    cache = table(spark, sf_dir, "parse_cache").select(F.lit("parse_cache").alias("tbl"), F.col("sha256").alias("rec_id"), F.col("blocks").alias("text"), "title", none.cast("string").alias("kind"), none.cast("int").alias("page"), none.cast("string").alias("doc"))
     return chunk.unionByName(cache)
 
 

@@ -1,28 +1,36 @@
 """Problem 7: noise in text from scanned pages.
 
-Furniture (running headers, page numbers) is found by line or block with features of its form, of the
-title it repeats and of its place after the first body block; page edges, repetition over pages and
-interrupted sentences are left out. What remains is edited by an
-averaged-perceptron character editor, trained here: for each character it predicts an output that
-is a keep, a replacement, a deletion or an insertion, and for a hyphen at a line end whether the
+Furniture (running headers, page numbers) is found by line or block from its form and from its place:
+first or last on its page, repeated over pages but for its digits, the title it repeats, a printed
+number that goes with the page's, and the sentence or word that it interrupts. What remains is edited
+by an averaged-perceptron character editor, trained here: for each character it predicts an output
+that is a keep, a replacement, a deletion or an insertion, and for a hyphen at a line end whether the
 lines join. Its training pairs are mined from the corpus itself: rare tokens with the one frequent
 word within two edits (a bounded sample), and frequent words broken at line ends. A correction
-counts only if the result is in the corpus vocabulary.
+counts only if the result is a word of the corpus.
 
 The vocabulary holds the words of at least ``SHARE`` of all texts, so at most (mean words of a
-text / SHARE) entries at any corpus size; that bound is what makes its broadcast safe. A word that is
-a misreading of a far more frequent one is refused. Rarer words stay in a distributed table: unknown
-words are resolved against it by a join on their candidate corrections, and each record gets its own.
-Counting is pre-aggregated per batch. The repair itself is one narrow pass over the texts.
+text / SHARE) entries at any corpus size; that bound is what makes its broadcast safe. The editor
+decodes along its prefixes, so that a name is given up after a few letters. A word that is a misreading
+of a far more frequent one is refused. Rarer words stay in a distributed table: they meet the unknown
+words in an equi-join on a shape key, in which characters that the editor takes for each other are one,
+and the editor verifies what meets. Lines that repeat over the pages of a document are counted in the
+JVM from short lines only.
+
+Everything is matched on a folded text and applied to the original: letters of other scripts stay as
+they are where nothing was misread. The texts themselves are never shuffled for ``scan_noise``; for
+``repaired`` only records with a rarer correction or a repeated line are joined and repaired again.
 """
 
 from __future__ import annotations
 
+import difflib
 import json
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +60,33 @@ _NUMBER_SIDE = re.compile(r"^(?P<a>\d{1,5})[\s|·–-]+(?=\D)|(?:(?<=[^\W\d_])|(
 _AUTHORS = re.compile(r"^(?:preprint\W+under\s+review\W+)?[^\W\d_][^\W\d_'’-]+\s+(?:et\s+al|and\s+co-?authors|and\s+others)\W*$", re.I)
 _PREPRINT = re.compile(r"^preprint\W+under\s+review", re.I)
 _PROSE_KINDS = frozenset({"para", "abstract", "summary", "meta", "", None})
+#: Anything but characters that folding leaves alone.
+_STRANGE = re.compile("[^\n\x20-\x7eÀ-ÖØ-öø-ıĴ-ſƠơƯưẠ-ỹ‘-‟–—…€°±×÷§]")
+_SENTENCE_END = (".", "!", "?", ",", ";", ":")
+
+
+def plain(text: str) -> str:
+    """fold.latin() for matching; most texts hold nothing to fold and come back as they are."""
+    return text if text.isascii() or not _STRANGE.search(text) else latin(text)
+
+
+def restore(out: str, folded: str, original: str) -> str:
+    """The repaired text with the original characters of every token that the repair left alone."""
+    if folded == original:
+        return out
+    was = [(f, t) for t in original.split() if (f := latin(t))]
+    pieces = re.split(r"(\s+)", out)
+    at = [i for i, x in enumerate(pieces) if x and not x.isspace()]
+    match = difflib.SequenceMatcher(None, [f for f, _ in was], [pieces[i] for i in at], autojunk=False)
+    for m in match.get_matching_blocks():
+        for k in range(m.size):
+            pieces[at[m.b + k]] = was[m.a + k][1]
+    return "".join(pieces)
+
+
+def masked(line: str) -> str:
+    """A line as it repeats over pages: lower case, single blanks, no digits."""
+    return re.sub(r"\d+", "#", " ".join(line.lower().split()))
 
 
 def _words(text: str) -> list[str]:
@@ -72,7 +107,7 @@ def _close(a: str, b: str) -> bool:
 
 def repeats_title(words: list[str], title: list[str]) -> bool:
     """Three quarters of the words run along the title, from some place of it on."""
-    if len(words) < 3 or not title:
+    if len(words) < 3 or not title or 3 * len(set(words) & set(title)) < len(words):
         return False
     for start in range(max(1, len(title) - 1)):
         run = title[start : start + len(words)]
@@ -89,38 +124,55 @@ def page_number(line: str) -> bool:
 
 
 def header(line: str, title: list[str]) -> tuple[bool, bool]:
-    """(is a running header, holds a page number)."""
+    """(is a running header by its form, holds a page number)."""
     s = " ".join(line.split())
     if len(s) < 4 or len(s) > 160:
         return False, False
-    m = _NUMBER_SIDE.search(s)
+    m = _NUMBER_SIDE.search(s) if s[0].isdigit() or s[-1].isdigit() else None
     core = (s[: m.start()] + s[m.end() :] if m else s).strip(" |·–-")
-    letters = [c for c in core if c.isalpha()]
-    words = _words(core)
-    caps = bool(letters) and all(not c.islower() for c in letters)
+    caps = core.isupper()
     if _AUTHORS.match(core) or _PREPRINT.match(core):
         return True, bool(m)
     if core.endswith((".", "!", "?", ",")) and not caps:
         return False, False
+    words = _words(core)
     if "·" in core or "|" in core:
         part = _words(re.split(r"[·|]", core)[-1])
         if repeats_title(part, title) or (part and title[: len(part)] == part):
             return True, bool(m)
     if repeats_title(words, title):
         return True, bool(m)
-    if caps and len(words) >= 2 and len(letters) >= 10 and not any(c.isdigit() for c in core):
+    if caps and len(words) >= 2 and sum(c.isalpha() for c in core) >= 10 and not any(c.isdigit() for c in core):
         return True, bool(m)
     return False, False
 
 
+def wordy(line: str) -> bool:
+    """Short, mostly letters, and not the end of a sentence: what a running header may be made of."""
+    s = line.strip()
+    return 3 < len(s) <= 100 and 2 * sum(c.isalpha() for c in s) >= len(s) and not s.endswith(_SENTENCE_END) and (s[0].isupper() or s[0].isdigit())
+
+
 class Editor:
     """Averaged perceptron over characters; an output string for each, and joins at line ends."""
 
-    def __init__(self, vocab: dict[str, int], weights: dict[str, dict[str, float]] | None = None, outputs: dict[str, list[str]] | None = None):
+    def __init__(self, vocab: dict[str, int], weights: dict[str, dict[str, float]] | None = None, outputs: dict[str, list[str]] | None = None, shapes: list[tuple[str, str]] | None = None, kept: frozenset[str] = frozenset()):
         self.vocab = vocab
         self.weights = weights or {}
         self.outputs = outputs or {}
+        #: Runs of characters taken for others, the most frequent first.
+        self.shapes = shapes or []
         self.memo: dict[str, str | None] = {}
+        words = {w.lower() for w in vocab if w and w[0] != "-" and (w.islower() or w == w.capitalize())}
+        self.prefixes = {w[:i] for w in words for i in range(1, len(w) + 1)}
+        self.ends = words
+        #: Of a sign or digit in a word of which nothing was learned any letter may be meant.
+        self.letters = tuple(sorted({c for w in words for c in w if c.isalpha()}))
+        #: Words as they may be printed without being unknown.
+        every = {w.lower() for w in vocab} | kept
+        self.surfaces = frozenset(vocab) | every | {w.capitalize() for w in every} | {w.upper() for w in every}
+        #: Words outside the vocabulary that are too frequent for the misreading they look like.
+        self.kept = kept
         #: Corrections to words outside the vocabulary, of the record at hand.
         self.rare: dict[str, str] = {}
 
@@ -145,11 +197,23 @@ class Editor:
                 s += w.get(out, 0.0)
         return s
 
+    def state(self) -> tuple:
+        """What another Editor is made of; what the broadcasts carry."""
+        return self.vocab, self.weights, self.outputs, self.shapes, self.kept
+
     def train(self, pairs: list[tuple[str, str]], breaks: list[tuple[str, str, bool]], seed: int = 11) -> None:
         rng = random.Random(seed)
         data: list[tuple[tuple[str, ...], str, list[str]]] = []
         outs: dict[str, Counter] = defaultdict(Counter)
+        runs: Counter = Counter()
         aligned = [(a, edits(a, b)) for a, b in pairs]
+        for a, e in aligned:
+            at = [i for i, (c, o) in enumerate(zip(a, e)) if c != o]
+            for i in at:
+                if i - 1 not in at:
+                    end = next(j for j in range(i, len(a) + 1) if j not in at)
+                    runs[a[i:end], "".join(e[i:end])] += 1
+        self.shapes = [r for r, n in runs.most_common() if n >= 2 and r[1] and len(r[0]) <= 2 and len(r[1]) <= 2]
         for a, e in aligned:
             for c, o in zip(a, e):
                 outs[c][o] += 1
@@ -183,6 +247,8 @@ class Editor:
 
     def correct(self, word: str) -> str | None:
         """The word, of the vocabulary or a rarer one, that a lower-case token was misread from; None where it is none."""
+        if word in self.kept:
+            return None
         if word not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
@@ -197,14 +263,84 @@ class Editor:
         return None
 
     def readings(self, word: str) -> list[str]:
-        """What a lower-case token may be a misreading of, known or not, the likeliest first."""
-        beam = [(0.0, 0, "")]
+        """The vocabulary words that a lower-case token may be a misreading of, the likeliest first.
+
+        The outputs of the characters are followed along the prefixes of the vocabulary, with at most
+        five edits; what comes to the end of a word is scored by the perceptron.
+        """
+        states: dict[str, tuple[int, tuple[tuple[int, str], ...]]] = {"": (0, ())}
         for i, c in enumerate(word):
-            f = self.features(word, i)
-            keep = self.score(f, c)
-            options = [(0.0, c, 0)] + [(self.score(f, o) - keep, o, 1) for o in self.outputs.get(c, [])]
-            beam = sorted(((s + d, n + k, t + o) for s, n, t in beam for d, o, k in options if n + k <= 5), reverse=True)[:48]
-        return [t for _, n, t in beam if n and t != word]
+            new: dict[str, tuple[int, tuple[tuple[int, str], ...]]] = {}
+            options = self.outputs.get(c, ()) or (self.letters if _ODD.match(c) else ())
+            for t, (n, made) in states.items():
+                for o in (c, *options):
+                    k = n + (o != c)
+                    x = t + o
+                    if k <= 5 and (x in self.prefixes or not x) and (x not in new or new[x][0] > k):
+                        new[x] = k, made if o == c else (*made, (i, o))
+            states = new
+            if not states:
+                return []
+        ends = [(t, made) for t, (n, made) in states.items() if n and t in self.ends and t != word]
+        if len(ends) < 2:
+            return [t for t, _ in ends]
+        return [t for _, t in sorted(((sum(self.gain(word, i, o) for i, o in made), t) for t, made in ends), reverse=True)]
+
+    def gain(self, word: str, i: int, out: str) -> float:
+        """How much likelier the output is than to keep the character."""
+        f = self.features(word, i)
+        return self.score(f, out) - self.score(f, word[i])
+
+    def verified(self, word: str, target: str) -> bool:
+        """Whether each change from a token to a word is an output the editor knows."""
+        return misread(word, target) and all(c == o or o in self.outputs.get(c, ()) for c, o in zip(word, edits(word, target)))
+
+    def unsign(self, word: str) -> str | None:
+        """A name with one sign or digit among its letters, with the likeliest letter in its place."""
+        i = next(k for k, c in enumerate(word) if _ODD.match(c))
+        options = [o for o in self.outputs.get(word[i].lower(), ()) if o.isalpha()]
+        if not options:
+            return None
+        low = word.lower()
+        return word[:i] + max(options, key=lambda o: (self.gain(low, i, o), o)) + word[i + 1 :]
+
+    def shape_key(self) -> Callable[[str], str]:
+        """A function under which a word and its misreadings come out alike, as far as the runs learned say.
+
+        Single characters taken for each other are one class; a run of two and a character are one,
+        too, unless that would go in a circle.
+        """
+        up: dict[str, str] = {}
+        wide: dict[str, str] = {}
+
+        def top(c: str) -> str:
+            while c in up:
+                c = up[c]
+            return c
+
+        def reach(c: str) -> set[str]:
+            c = top(c)
+            return {c}.union(*(reach(x) for x in wide.get(c, "")))
+
+        for a, b in self.shapes:
+            if len(a) == len(b) == 1:
+                x, y = top(a), top(b)
+                if x != y and not (x in wide and y in wide) and x not in reach(y) and y not in reach(x):
+                    if y in wide:
+                        x, y = y, x
+                    up[y] = x
+            elif {len(a), len(b)} == {1, 2}:
+                two, one = (a, b) if len(a) == 2 else (b, a)
+                x = top(one)
+                if x not in wide and all(x not in reach(c) for c in two):
+                    wide[x] = two
+
+        @lru_cache(4096)
+        def key(c: str) -> str:
+            c = top(c)
+            return "".join(map(key, wide[c])) if c in wide else c
+
+        return lambda word: "".join(map(key, word))
 
     def refused(self) -> set[str]:
         """Vocabulary words that are a misreading of a far more frequent one."""
@@ -301,80 +437,113 @@ def fit_editor(vocab: dict[str, int], rare: list[str], seed: int = 11) -> Editor
     return e
 
 
-def word_counts(text: str) -> set[str]:
-    """Words of a text for the vocabulary; parts of words broken at line ends are left out."""
-    t = re.sub(r"\S+-[ \t]*\n[ \t]*\S+", " ", latin(text))
-    out = set()
-    for w in _TOKEN.findall(t):
-        w = w.strip("!@|$") if not _ODD.search(w[1:]) and w[:1] not in "@" else w
-        out.add(w)
+_BROKEN = re.compile(r"\S+-[ \t]*\n[ \t]*\S+")
+
+
+def text_words(text: str) -> set[str]:
+    """The printed tokens of a text; parts of words broken at line ends are left out."""
+    t = plain(text)
+    if "\n" in t and "-" in t:
+        t = _BROKEN.sub(" ", t)
+    return set(_TOKEN.findall(t))
+
+
+def listed(tokens: dict[str, int]) -> Counter:
+    """Numbers of printed tokens as numbers of words: marks at their sides go, ends of names with a hyphen count, too."""
+    out: Counter = Counter()
+    for w, n in tokens.items():
+        if w[:1] in "!|$" and not _ODD.search(w[1:]):
+            w = w.strip("!@|$")
+        out[w] += n
         if "-" in w and w[:1].isupper():
-            out.add("-" + w.rsplit("-", 1)[1])
+            out["-" + w.rsplit("-", 1)[1]] += n
     return out
 
 
-def find_words(text: str, editor: Editor) -> tuple[str, bool]:
+def find_words(text: str, editor: Editor, unknown: set[str] | None = None) -> tuple[str, bool]:
     """The text with misread words corrected, and whether there were any.
 
-    Only the text's distinct words outside the vocabulary are looked at; most texts have none to correct.
+    Only the text's distinct tokens outside the vocabulary are looked at; most texts have none to
+    correct. ``unknown`` takes the words that nothing is known of.
     """
-    vocab = editor.vocab
     fixes = {}
-    for w in set(_TOKEN.findall(text)):
-        if w not in vocab and (low := w.lower()) not in vocab and (new := _fix_token(w, low, vocab, editor)):
+    for w in set(_TOKEN.findall(text)) - editor.surfaces:
+        if new := _fix_token(w, w.lower(), editor, unknown):
             fixes[w] = new
     if not fixes:
         return text, False
     return _TOKEN.sub(lambda m: fixes.get(m[0], m[0]), text), True
 
 
-def _fix_token(w: str, low: str, vocab: dict[str, int], editor: Editor) -> str | None:
-    if not any(c.isalpha() for c in w):
+def _fix_token(w: str, low: str, editor: Editor, unknown: set[str] | None) -> str | None:
+    if low in editor.surfaces or w.isdigit() or not any(map(str.isalpha, w)):
         return None
     if "-" not in w[1:]:
-        return _fix_word(w, vocab, editor)
+        return _fix_word(w, editor, unknown)
     if (whole := editor.correct(low)) is not None:
         return whole.capitalize() if w[0].isupper() else whole
+    if unknown is not None:
+        unknown.add(low)
     parts = w.split("-")
-    new = [p if i and "-" + p in vocab else _fix_word(p, vocab, editor) or p for i, p in enumerate(parts)]
+    new = [p if i and "-" + p in editor.vocab else _fix_word(p, editor, unknown) or p for i, p in enumerate(parts)]
     return "-".join(new) if new != parts else None
 
 
-def _fix_word(w: str, vocab: dict[str, int], editor: Editor) -> str | None:
+def _fix_word(w: str, editor: Editor, unknown: set[str] | None) -> str | None:
     low = w.lower()
-    if not w or w in vocab or low in vocab or len(w) < 3 or not any(c.isalpha() for c in w):
+    if len(w) < 3 or low in editor.surfaces or not any(map(str.isalpha, w)):
         return None
-    digits = sum(c.isdigit() for c in w)
-    if digits * 2 >= len(w):
+    if sum(map(str.isdigit, w)) * 2 >= len(w):
         return None
     odd = _ODD.search(w) is not None
-    if w[:1].isupper() and not odd and any(c.isupper() for c in w[1:]):
+    if not odd and w[0].isupper() and not w[1:].islower():
         return None
     c = editor.correct(low)
     if c:
         return c.capitalize() if w[0].isupper() else c
-    if odd and re.fullmatch(r"[^\W\d_]+[!@|$015 9][^\W\d_]*[a-z][^\W\d_]*", w) and digits <= 1 and re.search(r"[a-z][!@|$0159][a-z]", w):
-        return w.translate(str.maketrans("!@|$0159", "ialsoisg"))  # a name: the digit among letters is no letter
+    if odd and _ONE_SIGN.fullmatch(w) and (name := editor.unsign(w)):
+        return name
+    if unknown is not None and len(low) >= RARE_LENGTH:
+        unknown.add(low)
     return None
 
 
-def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor) -> tuple[str, set[str]]:
-    """One text as continuous paragraphs, and the kinds of noise it held."""
+_ONE_SIGN = re.compile(r"[^\W\d_]*[^\W\d_A-Z][!@|$0159][a-z][^\W\d_]*")
+_LAST_WORD = re.compile(r"([^\W\d_]+)-\s*$")
+_FIRST_WORD = re.compile(r"\s*([^\W\d_]+)")
+
+
+def interrupts(before: str, line: str, after: str, vocab: dict[str, int]) -> bool:
+    """Whether a line stands within a broken word: the lines around it make one, it doesn't go on with it."""
+    left, right = _LAST_WORD.search(before), _FIRST_WORD.match(after)
+    if not left or not right or not right[1][0].islower() or len(line) > 100 or not line.strip() or line.strip()[0].islower():
+        return False
+    own = _FIRST_WORD.match(line)
+    return (left[1] + right[1]).lower() in vocab and not (own and (left[1] + own[1]).lower() in vocab)
+
+
+def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor, repeated: frozenset[str] = frozenset(), unknown: set[str] | None = None) -> tuple[str, set[str]]:
+    """One text as continuous paragraphs, and the kinds of noise it held.
+
+    ``repeated``: masked lines that stand on other pages of the same document, too.
+    """
     noise: set[str] = set()
-    t = latin(text)
-    lines = t.split("\n")
+    t = plain(text)
+    lines = t.split("\n") if "\n" in t else [t]
     if len(lines) > 1 and kind in _PROSE_KINDS:
         kept = []
-        for s in lines:
+        for i, s in enumerate(lines):
             if page_number(s):
                 noise.add("pageno")
                 continue
             is_header, numbered = header(s, title)
+            if not is_header and (repeated and masked(s) in repeated or kept and kept[-1].endswith("-") and i + 1 < len(lines) and interrupts(kept[-1], s, lines[i + 1], editor.vocab)):
+                is_header, numbered = wordy(s), bool(_NUMBER_SIDE.search(" ".join(s.split())))
             if is_header:
                 noise.add("header")
                 if numbered:
                     noise.add("pageno")
-                if find_words(s, editor)[1]:
+                if find_words(s, editor, unknown)[1]:
                     noise.add("ocr")
                 continue
             kept.append(s)
@@ -395,82 +564,129 @@ def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor)
             return left + right
         return left + "-" + right
 
-    if "-" in body and len(lines) > 1:
+    if len(lines) > 1 and "-" in body:
         prev = None
         while prev != body:  # a word may run over more than two lines
             prev = body
             body = _BREAK.sub(join, body)
     if kind in _PROSE_KINDS or kind in ("caption", "heading", "title", "figcap"):
-        body, hit = find_words(body, editor)
+        body, hit = find_words(body, editor, unknown)
         if hit:
             noise.add("ocr")
-    if kind in _PROSE_KINDS:
+    if kind in _PROSE_KINDS and "\n" in body:
         body = re.sub(r"[ \t]*\n[ \t]*(?!\n)", " ", re.sub(r"\n{2,}", "\n\n", body)).replace("  ", " ")
-    return body.strip(), noise
+    return restore(body.strip(), t, text), noise
 
 
 _HOP = frozenset({"caption", "equation", "figure", "table", "figcap", "meta"})
+_FRONT = frozenset({"para", "heading", "caption"})
+
 
+def block_furniture(rows: list[tuple[str, str, str, int | None]], words: list[str]) -> dict[int, set[str]]:
+    """Noise of the blocks that are furniture, by their number.
 
-def repair_blocks(blocks: list[dict], title: str | None, editor: Editor) -> list[tuple[str, str, set[str]]]:
+    Each short block without a line break is scored by its form, its place on its page (the first and
+    last blocks of a page), how many pages it repeats on but for its digits, the distance of its
+    number from the page's (running numbers keep it), and whether it interrupts a sentence. Before the
+    first paragraph of the first page nothing but a page number counts: a line of authors is none.
+    Blocks without a page are judged by form alone.
+    """
+    text = [plain(t) for _, _, t, _ in rows]
+    body_from = next((i for i, (_, k, t, _) in enumerate(rows) if k in _FRONT and len(t) > 25), 0)
+    on: dict[object, list[int]] = defaultdict(list)
+    for i, r in enumerate(rows):
+        on[r[3]].append(i)
+    edge: dict[int, bool] = {}
+    for page, at in on.items():
+        if page is not None:
+            edge |= dict.fromkeys(at, False) | dict.fromkeys(at[:2] + at[-2:], True)
+    cand, spread, steps = {}, defaultdict(set), Counter()
+    for i, (_, kind, raw, page) in enumerate(rows):
+        t = text[i].strip()
+        if kind in ("para", "meta", "heading") and t and len(t) <= 160 and "\n" not in t:
+            number = kind != "heading" and page_number(t)
+            found = re.findall(r"\d{1,5}", t)
+            cand[i] = number, found
+            if page is not None and edge[i]:
+                spread[masked(t)].add(page)
+            if number and page is not None and found:
+                steps[int(found[0]) - int(page)] += 1
+    out: dict[int, set[str]] = {}
+    for i, (number, found) in cand.items():
+        _, kind, _, page = rows[i]
+        t = text[i].strip()
+        at_edge = edge.get(i, True)
+        if number:
+            runs = page is not None and bool(found) and steps[int(found[0]) - int(page)] > 1
+            if at_edge or runs:
+                out[i] = {"pageno"}
+            continue
+        form, numbered = header(t, words)
+        if form and kind == "heading" and t.isupper() and not (numbered or repeats_title(_words(t), words)):
+            form = False  # a heading in capitals
+        pages = len(spread[masked(t)]) if page is not None else 0
+        if kind == "heading":
+            pages = 0  # headings may come again
+        before = next((x for x in reversed(range(i)) if rows[x][1] == "para" and x not in out), None)
+        after = next((x for x in range(i + 1, len(rows)) if rows[x][1] == "para" and x not in cand), None)
+        broken = before is not None and after is not None and text[before].rstrip()[-1:] not in (".", "!", "?", ":", "") and text[after].lstrip()[:1].islower()
+        score = 2.0 * form + 2.0 * (pages > 1 and wordy(t)) + (1.0 if at_edge else -1.0) + 1.0 * (broken and wordy(t)) + 0.5 * (kind == "meta" and page is not None) - 1.0 * (kind == "heading" and not form)
+        place = i >= body_from or (kind == "para" and i > 1)
+        if place and score >= 2.5:
+            out[i] = {"header"} | ({"pageno"} if numbered or _NUMBER_SIDE.search(" ".join(t.split())) else set())
+    return out
+
+
+def repair_blocks(blocks: list[dict], title: str | None, editor: Editor, unknown: dict[str, set[str]] | None = None) -> list[tuple[str, str, set[str]]]:
     """(block id, text, noise) of the blocks of one document in reading order; empty text for furniture.
 
-    Furniture stands alone as a block at a page's edge; before the first paragraph of the first page
-    a line of authors is none. A word broken at a block's end goes on in the next paragraph, over
-    furniture, captions and equations.
+    A word broken at a block's end goes on in the next paragraph, over furniture, captions and
+    equations. ``unknown`` takes the words of each block that nothing is known of.
     """
     rows = [(str(b.get("id")), b.get("type") or "para", str(b.get("text") or ""), b.get("page")) for b in blocks if isinstance(b, dict) and b.get("id") is not None]
+    rows = [(i, k, t, p if isinstance(p, int) else None) for i, k, t, p in rows]
     named = title or next((t for _, k, t, _ in rows if k == "title"), "")
-    words = _words(latin(named))
-    body_from = next((i for i, (_, k, t, _) in enumerate(rows) if k in ("para", "heading", "caption") and len(t) > 25), 0)
+    words = _words(plain(named))
+    furniture = block_furniture(rows, words)
     out: list[list] = []
     for i, (bid, kind, text, _) in enumerate(rows):
-        t = latin(text)
-        noise: set[str] = set()
-        if kind in ("para", "meta", "heading") and "\n" not in t.strip():
-            if kind != "heading" and page_number(t):
-                noise.add("pageno")
-            else:
-                is_header, numbered = header(t, words)
-                if is_header and kind == "heading" and t.upper() == t and not (numbered or repeats_title(_words(t), words)):
-                    is_header = False  # a heading in capitals
-                if is_header and (i >= body_from or (kind == "para" and i > 1)):
-                    noise |= {"header"} | ({"pageno"} if numbered else set())
-                    if find_words(t, editor)[1]:
-                        noise.add("ocr")
-        out.append([bid, kind, "" if noise else t, noise, bool(noise)])
+        noise = furniture.get(i, set())
+        if noise and find_words(plain(text), editor, unknown.setdefault(bid, set()) if unknown is not None and "header" in noise else None)[1] and "header" in noise:
+            noise = noise | {"ocr"}
+        out.append([bid, kind, "" if noise else text, noise, bool(noise)])
     for i, row in enumerate(out):
-        if row[1] != "para" or row[4]:
+        if row[1] != "para" or row[4] or not row[2].rstrip().endswith("-"):
             continue
         m = re.search(r"([^\s]*[^\W\d_])-$", row[2].rstrip())
         if not m:
             continue
-        for nxt in out[i + 1 : i + 9]:
+        for k in range(i + 1, len(out)):
+            nxt = out[k]
             if nxt[4] or nxt[1] in _HOP:
                 continue
             h = re.match(r"[!@|$]?[^\W_]+(?:[!@|$][^\W_]+)*", nxt[2].lstrip())
             if nxt[1] == "para" and h and (h[0][:1].islower() or not h[0][:1].isalpha()):
                 left = re.sub(r"^\W+", "", m[1]).rsplit("-", 1)[-1]
-                glued = (left + h[0]).lower()
+                glued = plain(left + h[0]).lower()
                 fix = glued if glued in editor.vocab else editor.correct(glued)
                 if fix or editor.joins(left, h[0]):
-                    row[3].add("hyphen")
+                    row[3] = row[3] | {"hyphen"}
                     row[2] = row[2].rstrip()[: -1 - len(left)] + (left + h[0] if not fix or fix == glued else fix)
                     nxt[2] = nxt[2].lstrip()[h.end() :].lstrip()
                     if fix and fix != glued:
-                        (row if fix.endswith(h[0].lower()) else nxt)[3].add("ocr")
+                        (row if fix.endswith(h[0].lower()) else nxt)[3] = (row if fix.endswith(h[0].lower()) else nxt)[3] | {"ocr"}
             break
     for row in out:
         if not row[4] and row[1] not in ("equation", "reference"):
-            row[2], noise = repair_lines(row[2], words, row[1], editor)
-            row[3] |= noise
+            row[2], noise = repair_lines(row[2], words, row[1], editor, unknown=unknown.setdefault(row[0], set()) if unknown is not None else None)
+            row[3] = row[3] | noise
     return [(bid, text, noise) for bid, _, text, noise, _ in out]
 
 
-_OUT = "tbl string, rec_id string, block_id string, text string, noise array<string>"
+_OUT = "tbl string, rec_id string, block_id string, text string, noise array<string>, unknown array<string>"
 
 
-def _texts(tbl: str, text: str, title: str | None, kind: str | None) -> list[str]:
+def _texts(tbl: str, text: str) -> list[str]:
     if tbl == "chunk":
         return [text]
     try:
@@ -483,17 +699,20 @@ def _texts(tbl: str, text: str, title: str | None, kind: str | None) -> list[str
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: Counter = Counter()
-        for tbl, _, text, title, kind in zip(*(c.to_pylist() for c in b.columns)):
-            for t in _texts(tbl, text, title, kind):
+        texts = 0
+        for tbl, text in zip(*(c.to_pylist() for c in b.columns)):
+            for t in _texts(tbl, text):
                 if t:
-                    n[""] += 1
-                    n.update(word_counts(t))
+                    texts += 1
+                    n.update(text_words(t))
+        n = listed(n)
+        n[""] = texts
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
 
 def _fit(records: DataFrame, share: float = SHARE, mined: int = MINED) -> tuple[Editor, DataFrame]:
     """The editor, and the (word, n) table of all words."""
-    counts = cut(records.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = cut(records.select("tbl", "text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = (counts.filter("word = ''").agg(F.sum("n")).collect()[0][0]) or 0
     # bounded: a text has some dozens of different words, and each entry stands in `share` of all texts
     vocab = {r.word: r.n for r in counts.filter(F.col("n") >= max(LEAST, share * total)).collect()}
@@ -502,7 +721,30 @@ def _fit(records: DataFrame, share: float = SHARE, mined: int = MINED) -> tuple[
     editor = fit_editor(vocab, unknown)
     if bad := editor.refused():
         editor = fit_editor({w: n for w, n in vocab.items() if w not in bad}, unknown + sorted(bad))
-    return editor, counts
+    return too_frequent(counts, editor, max(LEAST, share * total / FAR_MORE), max(LEAST, share * total)), counts
+
+
+def too_frequent(counts: DataFrame, editor: Editor, least: float, most: float) -> Editor:
+    """The editor with the rarer words that it would take for a misreading, but that stand too often for one.
+
+    A misreading stands at most once for ``FAR_MORE`` of its word. At most (mean words of a text x FAR_MORE / SHARE)
+    words can be concerned at any corpus size.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(editor.state())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Editor(*shared.value)
+        for b in batches:
+            out = []
+            for w, n in zip(*(c.to_pylist() for c in b.columns)):
+                t = None if w in e.surfaces else e.known(w, e.readings(w))
+                if t and e.vocab.get(t, 0) + e.vocab.get(t.capitalize(), 0) < FAR_MORE * n:
+                    out.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["word"])
+
+    words = counts.filter(F.col("word").rlike(r"^\p{L}{3,}$")).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).filter((F.col("n") >= least) & (F.col("n") < most))
+    editor.kept = frozenset(r.word for r in words.mapInArrow(run, "word string").collect())
+    return Editor(*editor.state())
 
 
 def fit(records: DataFrame, *, share: float = SHARE, mined: int = MINED) -> Editor:
@@ -510,55 +752,71 @@ def fit(records: DataFrame, *, share: float = SHARE, mined: int = MINED) -> Edit
     return _fit(records, share, mined)[0]
 
 
-def _unknown(text: str, vocab: dict[str, int]) -> set[str]:
-    """Lower-case words of a text, and of its hyphenated words, that the vocabulary does not know."""
-    words = {p for w in _TOKEN.findall(latin(text)) for p in (w, *w.split("-"))}
-    low = {w.lower() for w in words if w not in vocab}
-    return {w for w in low if len(w) >= RARE_LENGTH and w not in vocab and any(c.isalpha() for c in w)}
-
-
 def rare_corrections(counts: DataFrame, shared) -> DataFrame:
     """(word, fix): unknown words and the clean word outside the vocabulary that each was misread from.
 
-    Both sides stay distributed: candidates of every unknown word meet the rarer words in a join. A
-    target stands in ``LEAST`` texts in small letters (one letter may tell two names apart), ``RARE_MORE``
-    times as many as the unknown word, and is itself no misreading of a vocabulary word.
+    Both sides stay distributed and meet on their shape key, one row a word; the editor verifies what
+    meets. A target stands in ``LEAST`` texts in small letters (one letter may tell two names apart),
+    ``RARE_MORE`` times as many as the unknown word, and is itself no misreading of a vocabulary word.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Editor(*shared.value)
+        key = e.shape_key()
         for b in batches:
             rows = []
             for w, n, small in zip(*(c.to_pylist() for c in b.columns)):
-                if w in e.vocab or w.capitalize() in e.vocab or e.known(w, read := e.readings(w)) is not None:
+                if w in e.vocab or w.capitalize() in e.vocab or e.known(w, e.readings(w)) is not None:
                     continue
-                if small >= LEAST and w.isalpha():
-                    rows.append((w, small, None))
-                rows += [(w, n, t) for t in dict.fromkeys(read) if t.isalpha() and t not in e.vocab and misread(w, t)]
-            if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())], names=["word", "n", "to"])
+                rows.append((key(w), w, n, small if small >= LEAST and w.isalpha() else 0))
+            c = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["key", "word", "n", "clean"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = Editor(*shared.value)
+        for b in batches:
+            yield b.filter(pa.array([e.verified(w, t) for w, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
 
     words = counts.filter(F.col("word").rlike(r"^[\p{L}@!|$][\p{L}0-9@!|$]{4,}$")).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == F.lower("word"), F.col("n")).otherwise(0)).alias("small"))
-    # a few MB of words are much work: a set number of parts, which is not coalesced to one
-    spark = counts.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cut(words.repartition(parts).mapInArrow(run, "word string, n long, to string"))
-    clean = found.filter("to is null").select(F.col("word").alias("to"), F.col("n").alias("m"))
-    met = found.filter("to is not null").join(clean, "to").filter(F.col("m") >= RARE_MORE * F.col("n"))
-    return met.groupBy("word").agg(F.max_by("to", F.struct("m", "to")).alias("fix"))
+    found = cut(words.mapInArrow(keyed, "key string, word string, n long, clean long"))
+    clean = found.filter("clean > 0").select("key", F.col("word").alias("to"), F.col("clean").alias("m"))
+    met = found.select("key", "word", "n").join(clean, "key").filter((F.col("m") >= RARE_MORE * F.col("n")) & (F.col("word") != F.col("to")))
+    sure = met.select("word", "to", "m").mapInArrow(verified, "word string, to string, m long")
+    return sure.groupBy("word").agg(F.max_by("to", F.struct("m", "to")).alias("fix"))
 
 
-def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
-    """(tbl, rec_id, block_id, text, noise) of (tbl, rec_id, text, title, kind) records.
+def repeated_lines(recs: DataFrame) -> DataFrame:
+    """(tbl, rec_id, lines): masked lines of a passage that stand on two or more pages of its document.
 
-    ``tbl`` 'chunk': ``text`` is a passage, block_id ''. Else ``text`` is a JSON list of blocks.
-    Null texts and ids give no row, JSON that can't be read none, empty texts an empty text without
-    noise. Records that come in several rows count once.
+    Only short lines that begin with a capital or a digit, don't end a sentence and stand before a
+    line in small letters or after an open one are counted, in the JVM; lines go by (document, line), so
+    a document of many pages is no hot group.
     """
-    recs = records.select("tbl", "rec_id", "text", "title", "kind").filter("rec_id is not null and text is not null").distinct()
-    editor, counts = (editor, None) if editor else _fit(recs)
-    shared = records.sparkSession.sparkContext.broadcast((editor.vocab, editor.weights, editor.outputs))
+    line = lambda i: F.trim(F.element_at("lines", i))
+    n = F.size("lines")
+    shape = lambda i: line(i).rlike(r"^[\p{Lu}\p{N}].{3,99}$") & ~line(i).rlike(r"[.!?,;:]$")
+    after = lambda i: F.when(i < n, line(i + 1).rlike(r"^\p{Ll}")).otherwise(i == n)
+    before = lambda i: F.when(i > 1, line(i - 1).rlike(r"[\p{Ll}\p{N}-]$")).otherwise(True)
+    some = recs.filter("tbl = 'chunk' and doc is not null and page is not null and instr(text, '\\n') > 0").filter(F.coalesce("kind", F.lit("")).isin(*[k for k in _PROSE_KINDS if k is not None]))
+    some = some.select("tbl", "rec_id", "doc", "page", F.split("text", "\n").alias("lines"))
+    at = F.filter(F.sequence(F.lit(1), n), lambda i: F.coalesce(shape(i) & after(i) & before(i), F.lit(False)))
+    mask = F.regexp_replace(F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))), r"\d+", "#")
+    one = some.select("tbl", "rec_id", "doc", "page", F.explode(F.transform(at, line)).alias("line")).select("tbl", "rec_id", "doc", "page", mask.alias("line")).distinct()
+    often = one.groupBy("doc", "line").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a < b")
+    return one.join(often, ["doc", "line"]).groupBy("tbl", "rec_id").agg(F.collect_set("line").alias("lines"))
+
+
+_MASKED_PAGE = r"^\W{0,3}(?:page|seite|trang|p\.)\s*#(?:\s*(?:of|/|von|trên)\s*#)?\W*$"
+
+
+def _ready(records: DataFrame) -> DataFrame:
+    """The columns a pass needs; ``page`` and ``doc`` are null where the records have none."""
+    more = [F.col(c).cast(t) if c in records.columns else F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("doc", "string"))]
+    return records.select("tbl", "rec_id", "text", "title", "kind", *more).filter("rec_id is not null and text is not null")
+
+
+def _pass(recs: DataFrame, shared, with_text: bool) -> DataFrame:
+    """One narrow pass over (tbl, rec_id, text, title, kind, lines, fixes): each text's noise and unknown words."""
     held: dict[int, Editor] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -567,37 +825,69 @@ def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
         e = held[0]
         for b in batches:
             rows = []
-            for tbl, rec, text, title, kind, fixes in zip(*(c.to_pylist() for c in b.columns)):
+            for tbl, rec, text, title, kind, lines, fixes in zip(*(c.to_pylist() for c in b.columns)):
                 e.rare = dict(fixes or ())
                 if tbl == "chunk":
-                    t, noise = repair_lines(text, _words(latin(title or "")), kind, e)
-                    rows.append((tbl, rec, "", t, sorted(noise)))
+                    unknown: set[str] = set()
+                    t, noise = repair_lines(text, _words(plain(title or "")), kind, e, frozenset(lines or ()), unknown)
+                    if with_text or noise or unknown:
+                        rows.append((tbl, rec, "", t if with_text else None, sorted(noise), list(unknown)))
                     continue
                 try:
                     blocks = json.loads(text)
                 except ValueError:
                     continue
                 if isinstance(blocks, list):
-                    rows.extend((tbl, rec, bid, t, sorted(noise)) for bid, t, noise in repair_blocks(blocks, title, e))
+                    by: dict[str, set[str]] = {}
+                    rows.extend((tbl, rec, bid, t if with_text else None, sorted(noise), list(by.get(bid, ()))) for bid, t, noise in repair_blocks(blocks, title, e, by))
             if rows:
                 c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[:4]] + [pa.array(c[4], pa.list_(pa.string()))], names=["tbl", "rec_id", "block_id", "text", "noise"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[:4]] + [pa.array(x, pa.list_(pa.string())) for x in c[4:]], names=["tbl", "rec_id", "block_id", "text", "noise", "unknown"])
+
+    return recs.select("tbl", "rec_id", "text", "title", "kind", "lines", "fixes").mapInArrow(run, _OUT)
 
-    if counts is None:
-        return recs.withColumn("fixes", F.lit(None).cast("map<string,string>")).mapInArrow(run, _OUT)
 
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = shared.value[0]
-        for b in batches:
-            rows = [(k, w) for k, tbl, text in zip(*(c.to_pylist() for c in b.columns)) for w in set().union(*(_unknown(t, vocab) for t in _texts(tbl, text, None, None)))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string())], names=["rec", "word"])
 
-    recs = recs.withColumn("rec", F.sha2(F.concat_ws("\n", "tbl", "rec_id", "text"), 256))
-    held_by = recs.select("rec", "tbl", "text").mapInArrow(unknown, "rec string, word string").distinct()
-    fixes = held_by.join(rare_corrections(counts, shared), "word").groupBy("rec").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
-    return recs.join(fixes, "rec", "left").select("tbl", "rec_id", "text", "title", "kind", "fixes").mapInArrow(run, _OUT)
+def _bare(recs: DataFrame) -> DataFrame:
+    return recs.withColumn("lines", F.lit(None).cast("array<string>")).withColumn("fixes", F.lit(None).cast("map<string,string>"))
+
+
+def repaired(records: DataFrame, editor: Editor | None = None) -> DataFrame:
+    """(tbl, rec_id, block_id, text, noise) of (tbl, rec_id, text, title, kind[, page, doc]) records.
+
+    ``tbl`` 'chunk': ``text`` is a passage, block_id ''. Else ``text`` is a JSON list of blocks.
+    Null texts and ids give no row, JSON that can't be read none, empty texts an empty text without
+    noise. Records that come in several rows count once.
+    """
+    recs = _ready(records).distinct()
+    editor, counts = (editor, None) if editor else _fit(recs)
+    shared = records.sparkSession.sparkContext.broadcast(editor.state())
+    cols = ["tbl", "rec_id", "block_id", "text", "noise"]
+    lines = repeated_lines(recs)
+    if counts is None:
+        return _pass(_bare(recs).drop("lines").join(lines, ["tbl", "rec_id"], "left"), shared, True).select(cols)
+    first = cut(_pass(_bare(recs), shared, True))
+    words = first.select("tbl", "rec_id", F.explode("unknown").alias("word")).distinct()
+    fixes = words.join(rare_corrections(counts, shared), "word").groupBy("tbl", "rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("fixes"))
+    hints = cut(lines.join(fixes, ["tbl", "rec_id"], "full"))
+    again = _pass(recs.join(hints, ["tbl", "rec_id"]), shared, True)
+    return first.join(hints, ["tbl", "rec_id"], "left_anti").select(cols).unionByName(again.select(cols))
 
 
 def scan_noise(records: DataFrame) -> DataFrame:
-    """(tbl, rec_id, block_id, noise): each kind of noise found in each text."""
-    return repaired(records).filter(F.size("noise") > 0).select("tbl", "rec_id", "block_id", F.explode("noise").alias("noise")).distinct()
+    """(tbl, rec_id, block_id, noise): each kind of noise found in each text.
+
+    What the pass over the texts can't know of itself is added by joins of words and lines alone:
+    corrections to rarer words, and lines repeated over pages.
+    """
+    recs = _ready(records)
+    editor, counts = _fit(recs)
+    shared = records.sparkSession.sparkContext.broadcast(editor.state())
+    first = cut(_pass(_bare(recs), shared, False))
+    keys = ["tbl", "rec_id", "block_id"]
+    plainly = first.select(*keys, F.explode("noise").alias("noise"))
+    rarer = first.select(*keys, F.explode("unknown").alias("word")).join(rare_corrections(counts, shared), "word").select(*keys, F.lit("ocr").alias("noise"))
+    headed = repeated_lines(recs).select("tbl", "rec_id", F.lit("").alias("block_id"), F.explode("lines").alias("line"))
+    numbered = F.when(F.col("line").rlike(r"^#|#$"), F.array(F.lit("header"), F.lit("pageno"))).otherwise(F.array(F.lit("header")))
+    headed = headed.filter(~F.col("line").rlike(_MASKED_PAGE)).filter(2 * F.length(F.regexp_replace("line", r"[^\p{L}]+", "")) >= F.length("line")).select(*keys, F.explode(numbered).alias("noise"))
+    return plainly.unionByName(rarer).unionByName(headed).distinct()

@@ -89,3 +89,57 @@ def test_frequent_misreadings_and_rare_words(spark):
     assert "covcrage" not in editor.vocab and "coverage" in editor.vocab and "branches" not in editor.vocab
     got = {r.rec_id for r in scan_noise(df).filter("noise = 'ocr'").collect()}
     assert {f"m{i}" for i in range(20)} | {"x", "y"} <= got and not [g for g in got if g[0] in "cr"]
+
+
+def test_header_of_any_wording_repeated_over_pages(editor):
+    b = []
+    for page in (1, 2, 3, 4):
+        if page > 1:
+            b.append({"id": f"h{page}", "type": "para", "page": page, "text": "Kosor and colleagues"})
+        b += [{"id": f"p{page}{k}", "type": "para", "page": page, "text": f"The coverage of the calibration number {k} and the decoder of the survey."} for k in range(4)]
+    got = {i: n for i, _, n in repair_blocks(b, None, editor)}
+    assert {i for i, n in got.items() if n} == {"h2", "h3", "h4"} and got["h2"] == {"header"}
+    # the same line in the middle of its pages, or once, is text; so are numbers in tables
+    middle = [x for x in b if x["id"][0] == "p"]
+    for page, at in ((2, 6), (3, 11)):
+        middle.insert(at, {"id": f"m{page}", "type": "para", "page": page, "text": "Kosor and colleagues"})
+    assert not any(n for _, _, n in repair_blocks(middle, None, editor))
+    table = [{"id": f"n{p}", "type": "para", "page": p, "text": "97 12 31"} for p in (1, 2, 3)]
+    assert not any(n for _, _, n in repair_blocks(table, None, editor))
+
+
+def test_page_number_that_goes_with_the_page(editor):
+    b = [{"id": f"{p}{k}", "type": "para", "page": p, "text": "The coverage of the calibration and the decoder of the survey." if k != 3 else str(40 + p)} for p in (1, 2, 3) for k in range(6)]
+    assert {i for i, _, n in repair_blocks(b, None, editor) if "pageno" in n} == {"13", "23", "33"}
+
+
+def test_letters_of_other_scripts_stay(editor):
+    for text in ("Let α and β be the rates. Привет мир", "Đo độ chính xác của mô hình", "x² ≥ ½"):
+        assert repair_lines(text, [], "para", editor) == (text, set())
+    assert repair_lines("Привет мир and fhe calibrafion of\nthe survey α", [], "para", editor)[0].startswith("Привет мир and") and "calibration" in repair_lines("Привет calibrafion", [], "para", editor)[0]
+
+
+def test_line_that_interrupts_a_word(editor):
+    assert repair_lines("The cali-\nKosor and colleagues\nbration of the survey.", [], "para", editor) == ("The calibration of the survey.", {"header", "hyphen"})
+
+
+def test_header_lines_repeated_over_the_pages_of_a_document(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    data = [("chunk", f"c{i}", f"The {say(8)}\nKosor and colleagues {i}\n{say(8)}.", None, "para", i, "p") for i in range(5)]
+    data += [("chunk", "d", f"The {say(8)}\nKosor and colleagues 7\n{say(8)}.", None, "para", 3, "q"), ("chunk", "e", f"The {say(8)}\nPage 9\n{say(8)}.", None, "para", 1, "p")]
+    got = {(r.rec_id, r.noise) for r in scan_noise(spark.createDataFrame(data, "tbl string, rec_id string, text string, title string, kind string, page int, doc string")).collect()}
+    assert got == {(f"c{i}", x) for i in range(5) for x in ("header", "pageno")} | {("e", "pageno")}
+
+
+def test_words_too_frequent_for_a_misreading(spark):
+    from papyrion.llm.scan import repaired
+
+    rng = random.Random(6)
+    say = lambda n=12: " ".join(rng.choice(WORDS) for _ in range(n))
+    noisy = [w.replace(a, b, 1) for w in WORDS for a, b in (("e", "c"), ("t", "f")) if a in w]
+    data = [("chunk", f"c{i}", say(), None, "para") for i in range(8000)] + [("chunk", f"n{i}", say() + " " + noisy[i % len(noisy)], None, "para") for i in range(120)]
+    data += [("chunk", f"t{i}", say() + " tables cables", None, "para") for i in range(60)] + [("chunk", f"e{i}", say() + " fables", None, "para") for i in range(5)]
+    df = spark.createDataFrame(data, "tbl string, rec_id string, text string, title string, kind string")
+    assert not {r.rec_id for r in scan_noise(df).collect() if r.rec_id[0] in "te"}
+    assert {r.rec_id: r.text for r in repaired(df).collect()}["e0"].endswith("fables")
