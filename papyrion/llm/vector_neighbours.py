@@ -1,14 +1,20 @@
 """Problem 5: the k most similar vectors of every vector, through learned partitions.
 
-Fit (driver, on a bounded sample per group): the neighbour graph of the sample is cut into balanced
-partitions by recursive bisection, and a small softmax classifier learns to tell a vector's
-partition. Index (cluster): every vector goes to its most probable partition. Search: every vector
-is a query in its few most probable partitions; each partition is one block product per block of
-queries, and the candidates of a query are merged.
-
-Balanced partitions split dense regions, and equal vectors are searched once: a group of copies is
-one entry of the index, its members are each other's first neighbours and are put back by equi-joins
-afterwards. So no task ever sees an unbounded group, whatever its copies.
+Fit (on a bounded sample): the neighbour graph of the sample is cut into balanced partitions by
+recursive bisection, and a small softmax classifier learns to tell a vector's partition. Index
+(cluster): every vector goes to its most probable partition. Search: every vector is a query in its
+most probable partitions, as far as their probability says; each partition is one block product per
+block of queries, and the candidates of a query are merged.
+
+One sample teaches at most 256 partitions. A partition that is still too large is fitted and cut
+again in the same way, on executors, up to ``LEVELS`` times; so the partitions grow with the
+vectors and hold ``PART_ROWS`` entries or little more. What no cut can part (vectors all but equal)
+is searched in blocks of bases and turns of queries. Equal vectors are searched once: a group of
+copies is one entry of the index, its members are each other's first neighbours and are put back by
+equi-joins afterwards. So no task sees more than ``SLACK * PART_ROWS`` bases and ``TURN * PART_ROWS`` queries.
+
+How far queries look is measured: for a bounded set of queries the true neighbours among all vectors
+are found exactly, and the least probability that still meets ``recall`` of them is taken.
 """
 
 from __future__ import annotations
@@ -23,16 +29,18 @@ from pyspark.sql import functions as F
 
 from papyrion.session import cut
 
-#: Vectors of the fit for each group, entries of a partition, least partitions a query looks into.
-SAMPLE, PART_ROWS, PROBES = 12_000, 2000, 3
-#: Share of the sample's true neighbours that the partitions looked into must hold.
-RECALL = 0.93
-#: The same where only close neighbours are wanted, and the least partitions then: a few more are cheap.
-CLOSE_RECALL, CLOSE_PROBES = 0.999, 8
-#: Queries and least neighbours from which that share is measured.
-MEASURED, LEAST_MEASURED = 2000, 50
-#: Least sample vectors of a partition: bounds the number of partitions the sample can teach.
+#: Vectors of a fit, entries of a partition, least partitions a query looks into.
+SAMPLE, PART_ROWS, PROBES = 12_000, 2000, 2
+#: Share of the true neighbours that the partitions looked into must hold; the same where only close ones are wanted.
+RECALL, CLOSE_RECALL = 0.965, 0.997
+#: Queries on which that share is measured, and sample vectors for which neighbours are made.
+MEASURED, MADE = 1000, 4000
+#: Least sample vectors of a partition: bounds the partitions that one sample can teach; more take another level.
 PART_SAMPLE = 24
+#: Levels of partitions: at most 256 times as many at each. Base of the node numbers.
+LEVELS, NODE_STEP = 4, 512
+#: Times the entries of a partition from which a node is cut again, and its queries are asked in turns; rows that one task routes.
+SLACK, TURN, ROUTED_ROWS = 2, 16, 50_000
 GRAPH_K, EPOCHS, QUERY_BLOCK = 12, 12, 2048
 DIGITS = 6
 
@@ -111,49 +119,136 @@ def fit_router(x: np.ndarray, part: np.ndarray, parts: int, seed: int = 5) -> tu
     return w, b
 
 
-def probes_for(x: np.ndarray, w: np.ndarray, b: np.ndarray, k: int, recall: float, least: float | None) -> int:
-    """How many of the most probable partitions hold ``recall`` of the sample's true neighbours.
+def synthetic(x: np.ndarray, cosines: np.ndarray, seed: int = 7) -> np.ndarray:
+    """For each unit row a unit row in a random direction, at a cosine drawn from the given ones."""
+    rng = np.random.default_rng(seed)
+    c = cosines[rng.integers(0, len(cosines), len(x))][:, None]
+    r = rng.standard_normal(x.shape)
+    r -= (r * x).sum(1, keepdims=True) * x
+    r /= np.linalg.norm(r, axis=1, keepdims=True) + 1e-12
+    return (c * x + np.sqrt(np.maximum(0.0, 1 - c * c)) * r).astype(np.float32)
+
+
+def probabilities(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = (x @ w + b).astype(np.float64)
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z / z.sum(1, keepdims=True)
+
+
+def tails(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(partitions by falling probability, probability that is left from each of them on)."""
+    order = np.argsort(-p, 1, kind="stable")
+    left = np.cumsum(np.take_along_axis(p, order, 1)[:, ::-1], 1)[:, ::-1]
+    return order, left
+
+
+def tail_for(w: np.ndarray, b: np.ndarray, queries: np.ndarray, near: np.ndarray, recall: float) -> float:
+    """The probability down to which a query's partitions are looked into, so that ``recall`` of the pairs' neighbours are met."""
+    order, left = tails(probabilities(queries, w, b))
+    home = probabilities(near, w, b).argmax(1)
+    rank = (order == home[:, None]).argmax(1)
+    return float(np.quantile(left[np.arange(len(rank)), rank], 1 - recall, method="lower")) * 0.999
+
+
+def depth_for(n: int, part_rows: int, sample: int) -> int:
+    """Halvings of n entries: to partitions of ``part_rows``, as far as the sample can teach them."""
+    return max(0, min(math.ceil(math.log2(max(n, 1) / part_rows)), math.floor(math.log2(max(min(n, sample) / PART_SAMPLE, 1)))))
+
+
+def learn(x: np.ndarray, depth: int, k: int, recall: float, least: float | None, pairs: tuple[np.ndarray, np.ndarray] | None = None, cosines: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weights, bias, tail) of a router over 2**depth partitions of a sample of unit rows.
 
-    Neighbours within a sample are farther apart than in the whole, so the share there is no less.
-    With ``least`` only neighbours at least that similar count.
+    ``pairs``: queries and their true neighbours, on which the tail is measured; without them the
+    sample's own neighbours stand for them (farther apart than in the whole, so no easier). With
+    ``least``, neighbours made at the cosines of the true ones are added (at ``least``, where none are known).
     """
-    z = x @ w + b
-    home = z.argmax(1)
-    q = np.arange(min(len(x), MEASURED))
-    s = x[q] @ x.T
-    s[q, q] = -np.inf
-    near = np.argpartition(-s, k - 1, 1)[:, :k]
-    counts = np.take_along_axis(s, near, 1) >= (least if least is not None else -1.0)
-    place = np.empty_like(z[q], np.int64)
-    np.put_along_axis(place, np.argsort(-z[q], 1), np.arange(z.shape[1])[None, :], 1)
-    ranks = np.take_along_axis(place, home[near], 1)[counts]
-    floor = PROBES if least is None else CLOSE_PROBES
-    if len(ranks) < LEAST_MEASURED:
-        return min(floor, z.shape[1])
-    return int(min(z.shape[1], max(floor, np.quantile(ranks, recall) + 1)))
-
-
-def fit_groups(vectors: DataFrame, counts: dict[str, int], *, k: int = 5, recall: float | None = None, least: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray, int] | None]:
-    """(weights, bias, partitions to look into) for each group of vectors; None for a group of one partition.
-
-    The sample are vectors chosen by their hash; it is bounded by ``sample`` for each group.
+    part = balanced_partition(x, depth)
+    w, b = fit_router(x, part, 2**depth)
+    if pairs is None:
+        q = np.arange(min(len(x), MEASURED))
+        s = x[q] @ x.T
+        s[q, q] = -np.inf
+        m = min(k, len(x) - 1)
+        near = np.argpartition(-s, m - 1, 1)[:, :m]
+        ok = np.take_along_axis(s, near, 1) >= (least if least is not None else -1.0)
+        pairs = x[np.repeat(q, m)[ok.ravel()]], x[near.ravel()[ok.ravel()]]
+    queries, near = pairs
+    if least is not None:
+        made = x[:MADE]
+        at = np.einsum("ij,ij->i", queries, near) if cosines is None or not len(cosines) else cosines
+        queries, near = np.concatenate([queries, made]), np.concatenate([near, synthetic(made, at if len(at) else np.array([least]))])
+    return w, b, tail_for(w, b, queries, near, recall) if len(queries) else 0.0
+
+
+def true_neighbours(entries: DataFrame, grp: str, keys: np.ndarray, x: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, neighbour rows): the k nearest entries of a bounded set of queries among all entries of a group, exactly.
+
+    Each part of the entries keeps the best k of a query and sends them once.
     """
-    out: dict[str, tuple[np.ndarray, np.ndarray, int] | None] = {}
+    shared = entries.sparkSession.sparkContext.broadcast((keys, x))
+    floor = -2.0 if least is None else least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qk, q = shared.value
+        best: list[list[tuple[float, int, np.ndarray]]] = [[] for _ in qk]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = b.column(0).to_numpy()
+            v = _unit(b.column(1), b.num_rows)
+            s = q @ v.T
+            s[qk[:, None] == own[None, :]] = -np.inf
+            m = min(k, b.num_rows)
+            top = np.argpartition(-s, m - 1, 1)[:, :m]
+            for i in range(len(qk)):
+                new = [(float(s[i, j]), int(own[j]), v[j]) for j in top[i] if s[i, j] >= floor]
+                if new:
+                    best[i] = sorted(best[i] + new, key=lambda r: (-r[0], r[1]))[:k]
+        rows = [(i, c, n, v.tolist()) for i, r in enumerate(best) for c, n, v in r]
+        c = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.float64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.list_(pa.float32()))], names=["q", "c", "near", "vec"])
+
+    found = entries.filter(F.col("grp") == grp).select("key", "vec").mapInArrow(run, "q int, c double, near long, vec array<float>")
+    best = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "near", "vec"))), 1, k).alias("b")).select("q", F.explode("b.vec").alias("vec")).collect()
+    return x[[r.q for r in best]], np.array([r.vec for r in best], np.float32).reshape(-1, x.shape[1])
+
+
+def fit_groups(entries: DataFrame, counts: dict[str, int], *, k: int = 5, recall: float | None = None, least: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> dict[str, tuple[np.ndarray, np.ndarray, float, np.ndarray]]:
+    """(weights, bias, tail, cosines of true neighbours) for each group that is larger than a partition.
+
+    The sample are vectors chosen by their hash; it is bounded by ``sample`` for each group. How far
+    queries look is measured on at most ``MEASURED`` of them against all entries.
+    """
+    out: dict[str, tuple[np.ndarray, np.ndarray, float]] = {}
+    recall = recall or (RECALL if least is None else CLOSE_RECALL)
     for g, n in counts.items():
-        depth = max(0, min(math.ceil(math.log2(max(n, 1) / part_rows)), math.floor(math.log2(max(min(n, sample) / PART_SAMPLE, 1)))))
-        if not depth:
-            out[g] = None
+        if not (depth := depth_for(n, part_rows, sample)):
             continue
         rate = min(1.0, 1.3 * sample / n)
-        rows = vectors.filter((F.col("grp") == g) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000))).orderBy("key").limit(sample).select("vec")
-        x = np.array([r.vec for r in rows.collect()], np.float32)
+        rows = entries.filter((F.col("grp") == g) & (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000))).orderBy("key").limit(sample).select("key", "vec").collect()
+        x = np.array([r.vec for r in rows], np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        part = balanced_partition(x, depth)
-        w, b = fit_router(x, part, 2**depth)
-        out[g] = w, b, probes_for(x, w, b, k, recall or (RECALL if least is None else CLOSE_RECALL), least)
+        few = np.random.default_rng(3).permutation(len(x))[:MEASURED]
+        pairs = true_neighbours(entries, g, np.array([rows[i].key for i in few], np.int64), x[few], k, least)
+        out[g] = *learn(x, depth, k, recall, least, pairs), np.einsum("ij,ij->i", *pairs).astype(np.float32)
     return out
 
 
+def routed_rows(x: np.ndarray, router: tuple, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, partitions, whether as a base): each row in its likeliest partition, then in those worth a look."""
+    w, b, tail = router[:3]
+    for a in range(0, len(x), 4096):
+        order, left = tails(probabilities(x[a : a + 4096], w, b))
+        rows = np.arange(a, a + len(order))
+        yield rows, order[:, 0], base[rows]
+        for c in range(1, order.shape[1]):
+            on = np.flatnonzero((left[:, c] >= tail) | (c < PROBES))
+            if not len(on):
+                break
+            yield rows[on], order[on, c], np.zeros(len(on), bool)
+
+
 def _unit(col: pa.Array, n: int) -> np.ndarray:
     x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(n, -1)
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
@@ -168,6 +263,88 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, group_col: str, dim_co
     return v.select("id", F.coalesce("grp", F.lit("")).alias("grp"), "vec").distinct()
 
 
+_PLACED = "grp string, node long, key long, vec array<float>, base boolean"
+
+
+def _placed(grp: pa.Array, node: np.ndarray, key: pa.Array, x: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+    vec = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x, np.float32).ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
+    return pa.RecordBatch.from_arrays([grp, pa.array(node, pa.int64()), key, vec, pa.array(base)], names=["grp", "node", "key", "vec", "base"])
+
+
+def first_level(entries: DataFrame, routers: dict[str, tuple]) -> DataFrame:
+    """Each entry once as a base of its partition and as a query of the partitions it looks into; node 0 in small groups."""
+    shared = entries.sparkSession.sparkContext.broadcast(routers)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups = np.array(b.column(0).to_pylist(), object)
+            for g in dict.fromkeys(groups):
+                part = b.take(pa.array(np.flatnonzero(groups == g)))
+                x = _unit(part.column(2), part.num_rows)
+                base = np.ones(len(x), bool)
+                if g not in shared.value:
+                    yield _placed(part.column(0), np.zeros(len(x), np.int64), part.column(1), x, base)
+                    continue
+                for rows, node, is_base in routed_rows(x, shared.value[g], base):
+                    at = pa.array(rows)
+                    yield _placed(part.column(0).take(at), node + 1, part.column(1).take(at), x[rows], is_base)
+
+    return entries.mapInArrow(route, _PLACED)
+
+
+def next_level(placed: DataFrame, large: DataFrame, cosines: dict[str, np.ndarray], k: int, recall: float, least: float | None, sample: int, part_rows: int) -> DataFrame:
+    """The rows of too large nodes in partitions of their own, the others as they are.
+
+    A node's router is fitted on an executor, on a sample of its bases of at most ``sample`` rows, and
+    meets the node's rows in salted parts: neither the routers nor a node's rows are ever in one place.
+    """
+    rate = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1_000_000)) < F.least(F.lit(1_000_000.0), F.lit(1.1e6 * sample) / F.col("nb"))
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key").slice(0, sample)
+        x = _unit(t.column("vec").combine_chunks(), t.num_rows)
+        n = t.column("nb")[0].as_py()
+        depth = max(1, depth_for(n, part_rows, min(sample, len(x))))
+        w, b, tail = learn(x, min(depth, int(math.log2(max(2, len(x))))), k, recall, least, cosines=cosines[t.column("grp")[0].as_py()])
+        return pa.table({"grp": t.column("grp").slice(0, 1), "node": t.column("node").slice(0, 1), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([b.astype(np.float32).tobytes()], pa.binary()), "tail": pa.array([tail], pa.float64())})
+
+    learned = cut(placed.filter("base").join(large.select("grp", "node", "nb"), ["grp", "node"]).filter(rate).groupBy("grp", "node").applyInArrow(fit, "grp string, node long, w binary, b binary, tail double"))
+    salts = large.select("grp", "node", F.ceil(F.col("nq") / ROUTED_ROWS).cast("int").alias("salts"))
+    rows = placed.join(salts, ["grp", "node"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts").cast("long")).cast("int")).drop("salts")
+    models = learned.join(salts, ["grp", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def route(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = _unit(left.column("vec").combine_chunks(), left.num_rows)
+        b = np.frombuffer(right.column("b")[0].as_py(), np.float32)
+        router = np.frombuffer(right.column("w")[0].as_py(), np.float32).reshape(x.shape[1], len(b)), b, right.column("tail")[0].as_py()
+        base = np.asarray(left.column("base").to_numpy(zero_copy_only=False), bool)
+        grp, key, old = left.column("grp").combine_chunks(), left.column("key").combine_chunks(), left.column("node").to_numpy()
+        out = [_placed(grp.take(pa.array(r)), old[r] * NODE_STEP + node + 1, key.take(pa.array(r)), x[r], is_base) for r, node, is_base in routed_rows(x, router, base)]
+        return pa.Table.from_batches(out)
+
+    deeper = rows.groupBy("grp", "node", "salt").cogroup(models.groupBy("grp", "node", "salt")).applyInArrow(route, _PLACED)
+    return placed.join(large.select("grp", "node"), ["grp", "node"], "left_anti").select("grp", "node", "key", "vec", "base").unionByName(deeper)
+
+
+def in_cells(placed: DataFrame, sizes: DataFrame | None, part_rows: int) -> DataFrame:
+    """Adds (block, turn, asks): the rows of nodes that stayed too large meet in blocks of bases and turns of queries.
+
+    A base stands in its block for every turn, a query in its turn for every block; so each pair meets
+    once, and no cell is larger than a block and a turn.
+    """
+    plain = placed.withColumn("block", F.lit(0)).withColumn("turn", F.lit(0)).withColumn("asks", F.lit(True))
+    if sizes is None:
+        return plain
+    cells = sizes.select("grp", "node", *(F.greatest(F.lit(1), F.ceil(F.col(c) / (m * part_rows)).cast("int")).alias(a) for c, m, a in (("nb", SLACK, "blocks"), ("nq", TURN, "turns")))).filter("blocks > 1 or turns > 1")
+    if not cells.limit(1).count():
+        return plain
+    j = placed.join(cells, ["grp", "node"], "left").fillna(1, ["blocks", "turns"])
+    j = j.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(1)), F.col("turns").cast("long")).cast("int"))
+    j = j.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    j = j.withColumn("base", F.col("base") & (F.col("block") == F.col("own"))).withColumn("asks", F.col("turn") == F.col("mine"))
+    return j.filter("base or asks").select("grp", "node", "key", "vec", "base", "block", "turn", "asks")
+
+
 def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, least: float | None = None, recall: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """(grp, id, neighbour, rank, cosine): the k most similar other ids of the same group for every usable vector.
 
@@ -183,40 +360,28 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
     u = usable(vectors, id_col, vec_col, group_col, dim_col)
     u = cut(u.groupBy("grp", "id").agg(F.min("vec").alias("vec")).withColumn("key", F.xxhash64("grp", F.size("vec").cast("string"), "vec")))
     # one entry for equal vectors: the group's size and its first k + 1 ids, never the whole group
-    sizes = u.withColumn("grp", F.concat_ws("\t", "grp", F.size("vec"))).select("grp", "key", "id", "vec")
-    entries = cut(sizes.groupBy("grp", "key").agg(F.any_value("vec").alias("vec"), F.min("id").alias("first"), F.count("*").alias("n")))
-    counts = {r.grp: r.n for r in entries.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    members = u.withColumn("grp", F.concat_ws("\t", "grp", F.size("vec"))).select("grp", "key", "id", "vec")
+    entries = cut(members.groupBy("grp", "key").agg(F.any_value("vec").alias("vec"), F.min("id").alias("first"), F.count("*").alias("n")))
+    counts = {r.grp: r.n for r in entries.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > part_rows).collect()}
     routers = fit_groups(entries, counts, k=k, recall=recall, least=least, sample=sample, part_rows=part_rows)
-    shared = vectors.sparkSession.sparkContext.broadcast(routers)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each entry once as a base of its partition and as a query of the partitions it looks into."""
-        for b in batches:
-            groups = np.array(b.column(0).to_pylist(), object)
-            for g in dict.fromkeys(groups):
-                rows = np.flatnonzero(groups == g)
-                part_b = b.take(pa.array(rows))
-                x = _unit(part_b.column(2), len(rows))
-                router = shared.value[g]
-                if router is None:
-                    top = np.zeros((len(rows), 1), np.int64)
-                else:
-                    z = x @ router[0] + router[1]
-                    m = router[2]
-                    top = np.argpartition(-z, m - 1, 1)[:, :m]
-                    s = np.take_along_axis(z, top, 1)
-                    top = np.take_along_axis(top, np.argsort(-s, 1), 1)
-                m = top.shape[1]
-                vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
-                for c in range(m):
-                    yield pa.RecordBatch.from_arrays([part_b.column(0), pa.array(top[:, c], pa.int32()), part_b.column(1), vec, pa.array(np.full(len(rows), c == 0))], names=["grp", "part", "key", "vec", "base"])
-
-    routed = entries.select("grp", "key", "vec").mapInArrow(route, "grp string, part int, key long, vec array<float>, base boolean")
+    recall = recall or (RECALL if least is None else CLOSE_RECALL)
+    placed = first_level(entries.select("grp", "key", "vec"), routers)
+    sizes = None
+    for level in range(LEVELS if routers else 0):
+        if level:  # what is read twice is written once
+            placed = cut(placed)
+        sizes = cut(placed.groupBy("grp", "node").agg(F.count_if("base").alias("nb"), F.count("*").alias("nq")))
+        if level == LEVELS - 1 or not sizes.filter(F.col("nb") > SLACK * part_rows).limit(1).count():
+            break
+        placed = next_level(placed, sizes.filter(F.col("nb") > SLACK * part_rows), {g: r[3] for g, r in routers.items()}, k, recall, least, sample, part_rows)
+    cells = ["grp", "node", "block", "turn"]
+    placed = in_cells(placed, sizes, part_rows)
 
     floor = None if least is None else least - 1e-5
 
     def search(table: pa.Table) -> pa.Table:
         base = np.asarray(table.column("base").to_numpy(zero_copy_only=False), bool)
+        asks = np.flatnonzero(np.asarray(table.column("asks").to_numpy(zero_copy_only=False), bool))
         keys = table.column("key").to_numpy()
         vec = table.column("vec").combine_chunks()
         vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
@@ -225,13 +390,17 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
         out_q, out_n, out_c = [], [], []
         m = min(k + 1, len(bk))
         if m:
-            for a in range(0, len(x), QUERY_BLOCK):
-                s = x[a : a + QUERY_BLOCK] @ bx.T
+            for a in range(0, len(asks), QUERY_BLOCK):
+                at = asks[a : a + QUERY_BLOCK]
+                s = x[at] @ bx.T
                 top = np.argpartition(-s, m - 1, 1)[:, :m]
-                q = np.repeat(keys[a : a + QUERY_BLOCK], m)
-                n = bk[top].ravel()
-                rows = np.repeat(np.arange(a, min(a + QUERY_BLOCK, len(x))), m)
-                c = np.einsum("ij,ij->i", x[rows].astype(np.float64), bx[top.ravel()].astype(np.float64))
+                if floor is not None:  # few are close: only those are measured exactly
+                    i, j = np.nonzero(np.take_along_axis(s, top, 1) >= floor - 1e-4)
+                    rows, top = at[i], top[i, j]
+                else:
+                    rows, top = np.repeat(at, m), top.ravel()
+                c = np.einsum("ij,ij->i", x[rows].astype(np.float64), bx[top].astype(np.float64))
+                q, n = keys[rows], bk[top]
                 ok = (q != n) if floor is None else (q != n) & (c >= floor)
                 out_q.append(q[ok])
                 out_n.append(n[ok])
@@ -240,11 +409,11 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
         q = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
         return pa.table({"grp": pa.array([g] * len(q), pa.string()), "key": pa.array(q, pa.int64()), "near": pa.array(np.concatenate(out_n) if out_n else np.empty(0, np.int64), pa.int64()), "cosine": pa.array(np.round(np.concatenate(out_c), DIGITS) if out_c else np.empty(0), pa.float64())})
 
-    found = routed.groupBy("grp", "part").applyInArrow(search, "grp string, key long, near long, cosine double")
+    found = placed.groupBy(*cells).applyInArrow(search, "grp string, key long, near long, cosine double")
     # a query meets each entry in one partition only; the best k + 1 entries of all its partitions
     best = found.groupBy("grp", "key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "near"))), 1, k + 1).alias("best"))
     # the first ids of each entry in order: enough to fill k places with ties by id
-    ranked = sizes.select("grp", "key", "id")
+    ranked = members.select("grp", "key", "id")
     heads = first_ids(ranked, entries, k + 1)
     near = best.select("grp", "key", F.explode("best").alias("b")).select("grp", "key", F.col("b.near").alias("near"), (-F.col("b.c")).alias("cosine"))
     near = near.join(heads.select("grp", F.col("key").alias("near"), "ids"), ["grp", "near"]).select("grp", "key", "cosine", "ids")
@@ -252,7 +421,7 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
     lists = near.unionByName(own).groupBy("grp", "key").agg(F.collect_list(F.struct("cosine", "ids")).alias("lists"))
     flat = F.flatten(F.transform("lists", lambda x: F.transform(x.ids, lambda i: F.struct((-x.cosine).alias("c"), i.alias("id")))))
     lists = lists.select("grp", "key", F.slice(F.sort_array(flat), 1, 2 * (k + 1)).alias("all"))
-    every = sizes.select("grp", "key", "id").join(lists, ["grp", "key"])
+    every = members.select("grp", "key", "id").join(lists, ["grp", "key"])
     top = F.slice(F.filter("all", lambda x: x.id != F.col("id")), 1, k)
     out = every.select("grp", "id", F.posexplode(top).alias("p", "x"))
     if least is not None:

@@ -63,3 +63,41 @@ def test_copies_and_unusable_vectors(spark):
 
 def test_empty(spark):
     assert most_similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_partitions_grow_over_several_levels(spark):
+    """Samples that can teach few partitions: the nodes are cut again until they hold part_rows or little more."""
+    from papyrion.llm import vector_neighbours as V
+
+    x = clusters(6000, seed=3)
+    want = {(f"c{i:05d}", f"c{j:05d}") for i, js in enumerate(brute(x, 5)) for j in js}
+    sizes = []
+    was = V.in_cells
+    try:
+        V.in_cells = lambda placed, s, n: (sizes.append([r.nb for r in s.collect()]), was(placed, s, n))[1]
+        got = {(r.id, r.neighbour) for r in most_similar(frame(spark, x), part_rows=100, sample=240, recall=0.98).collect()}
+    finally:
+        V.in_cells = was
+    assert len(sizes[0]) > 30 and max(sizes[0]) <= 2 * V.SLACK * 100
+    assert len(got & want) >= 0.95 * len(want)
+
+
+def test_what_no_cut_can_part_is_searched_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = np.ones((900, 8)) + 1e-4 * rng.standard_normal((900, 8))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    got = most_similar(frame(spark, x), part_rows=20, sample=480, least=0.9).collect()
+    by = {}
+    for r in got:
+        by.setdefault(int(r.id[1:]), []).append(r.cosine)
+    assert len(by) == 900 and all(len(v) == 5 and min(v) >= 0.9999 for v in by.values())
+
+
+def test_cells_meet_every_pair_once(spark):
+    from papyrion.llm.vector_neighbours import in_cells
+
+    df = spark.createDataFrame([("g", 0, k, [1.0], k < 50) for k in range(300)], "grp string, node long, key long, vec array<float>, base boolean")
+    sizes = spark.createDataFrame([("g", 0, 50, 300)], "grp string, node long, nb long, nq long")
+    rows = in_cells(df, sizes, 5).collect()
+    met = [(q.key, b.key) for q in rows if q.asks for b in rows if b.base and (b.block, b.turn) == (q.block, q.turn)]
+    assert len(met) == len(set(met)) == 300 * 50
