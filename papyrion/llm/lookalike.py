@@ -5,8 +5,9 @@ mathematical and ligature letters and accents take their usual form. Letters of
 repaired script-aware: for each token the dominant script is determined (the token's, and where it
 has none the text's), look-alikes are substituted only in tokens that mix scripts or stand in a text
 of another script, and only when the result exists in the corpus vocabulary. The vocabulary holds
-the folded forms of the whole corpus, so that two differently disguised copies of a word vouch for
-each other even where no clean copy exists.
+the folded forms of the whole corpus; a form that stands nowhere undisguised counts if two different
+texts hold it, so that two differently disguised copies of a word vouch for each other, but no text
+for itself, however many rows it comes in.
 
 Plan: one narrow pass gives every record two 128-bit digests; only records with suspicious tokens
 (few) carry text. Their candidates meet the vocabulary by a hash join on the token, never by
@@ -116,22 +117,22 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Folded tokens of a batch with the number of different texts (up to two) that hold them."""
+    """(folded token, digest of the text): the digest is null for tokens that stand undisguised, once a batch."""
     for b in batches:
-        n: dict[str, int] = {}
+        clean: set[str] = set()
+        disguised: set[tuple[str, bytes]] = set()
         for text in set(b.column(0).to_pylist()):
             if text:
                 shown = visible(text)
                 toks = set(_TOKEN.findall(shown))
-                strange = dict(suspicious(shown))
-                for t in toks:
-                    if t in strange:
-                        t = strange[t]
-                        n[t] = n.get(t, 0) + 1
-                    else:
-                        n[t] = 2  # a clean occurrence
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array([min(v, 2) for v in n.values()], pa.int32())], names=["fix", "n"])
+                if strange := dict(suspicious(shown)):
+                    d = digest(text)
+                    disguised.update((f, d) for t, f in strange.items() if t in toks)
+                    toks -= strange.keys()
+                clean |= toks
+        fix = [*clean, *(f for f, _ in disguised)]
+        if fix:
+            yield pa.RecordBatch.from_arrays([pa.array(fix), pa.array([None] * len(clean) + [d for _, d in disguised], pa.binary())], names=["fix", "text"])
 
 
 def canonical(records: DataFrame) -> DataFrame:
@@ -144,8 +145,9 @@ def canonical(records: DataFrame) -> DataFrame:
     forms = cut(recs.mapInArrow(_forms, _FORMS).distinct())
     odd = forms.filter(F.size("fixes") > 0)
     fixes = odd.select("tbl", "id", "raw", F.explode("fixes").alias("f")).select("tbl", "id", "raw", "f.token", "f.fix")
-    words = recs.select("text").mapInArrow(_vocabulary, "fix string, n int").groupBy("fix").agg(F.sum("n").alias("n")).filter("n >= 2")
-    known = words.join(fixes.select("fix").distinct(), "fix", "left_semi").select("fix")
+    # known: stands undisguised somewhere, or disguised in two different texts; the same text twice is one
+    words = recs.select("text").mapInArrow(_vocabulary, "fix string, text binary").join(fixes.select("fix").distinct(), "fix", "left_semi")
+    known = words.groupBy("fix").agg(F.count_if(F.col("text").isNull()).alias("clean"), F.min("text").alias("a"), F.max("text").alias("b")).filter("clean > 0 or a < b").select("fix")
     good = fixes.join(known, "fix").groupBy("tbl", "id", "raw").agg(F.map_from_entries(F.collect_set(F.struct("token", "fix"))).alias("good"))
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +161,17 @@ def canonical(records: DataFrame) -> DataFrame:
     return mended.unionByName(rest)
 
 
+def look_classes(records: DataFrame) -> DataFrame:
+    """(tbl, class, id, n_texts, n_records): the class of each record whose text looks like a different string.
+
+    One row a record, however large its class; ``n_texts`` counts the class's different strings.
+    """
+    c = canonical(records).select("tbl", "id", "raw", "form").distinct()
+    strings = c.groupBy("tbl", "form", "raw").agg(F.count("*").alias("n"))
+    several = strings.groupBy("tbl", "form").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_records")).filter("n_texts > 1")
+    return c.join(several, ["tbl", "form"]).select("tbl", F.lower(F.hex("form")).alias("class"), "id", "n_texts", "n_records").distinct()
+
+
 #: Members of a group that one salt holds.
 PER_SALT = 2000
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from papyrion.llm.align import sentence_pairs
 from papyrion.llm.leak import leaked
-from papyrion.llm.lookalike import same_looking
+from papyrion.llm.lookalike import look_classes, same_looking
 from papyrion.llm.pairs import broken_answers
 from papyrion.llm.scan import repaired, scan_noise
 from papyrion.llm.spam import spam_pages
@@ -26,6 +26,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking(_texts(spark, sf_dir))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 1: records whose texts look the same but differ, one row a record with its class."""
+    return look_classes(_texts(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 2: sentences of passages and documents and of their translations that translate each other."""
     none = F.lit(None).cast("string")
@@ -74,6 +79,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p6_found": p6_found,
     "p7_found": p7_found,

@@ -45,3 +45,21 @@ def test_hot_group_is_salted(spark, monkeypatch):
     data = [("chunk", f"p{i:03d}", "plain words here") for i in range(60)] + [("chunk", f"q{i}", "plain words here") for i in range(3)]
     got = L.same_looking(spark.createDataFrame(data, SCHEMA)).collect()
     assert len(got) == len({tuple(r) for r in got}) == 180
+
+
+def test_a_text_does_not_vouch_for_itself(spark, rows):
+    """One text in many rows is one text, at any partitioning; two different ones vouch for each other."""
+    data = [("chunk", f"r{i}", "we saw хосо there") for i in range(8)]
+    two = [("chunk", "u", "one саусе of it"), ("chunk", "v", "one cаусe of it")]
+    for parts in (1, 64):
+        df = spark.createDataFrame(data + two, SCHEMA).repartition(parts)
+        assert rows(same_looking(df)) == [("chunk", "u", "v")]
+
+
+def test_classes_hold_each_record_once(spark):
+    from papyrion.llm.lookalike import look_classes
+
+    data = [("chunk", f"p{i:03d}", "plain words here") for i in range(60)] + [("chunk", f"q{i}", "plain\u200b words here") for i in range(3)] + [("chunk", "z", "alone"), ("chunk", "n", None)]
+    got = look_classes(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len(got) == 63 and {(r.n_texts, r.n_records) for r in got} == {(2, 63)} and len({r["class"] for r in got}) == 1
+    assert look_classes(spark.createDataFrame([], SCHEMA)).count() == 0
