@@ -42,3 +42,16 @@ def test_single_keywords_in_any_order(spark):
     fine = {10: prose(200), 11: prose(12) + "\n" + " ".join(words[:12] * 4), 12: "\n".join([prose(1)] * 2 + [prose(3)]), 13: "\n".join(f"{w}: a thing that we use in the house when it is needed for {k}." for k, w in enumerate(words)), 14: " ".join(words)}
     df = spark.createDataFrame([(i, t, "en") for i, t in {**spam, **fine}.items()], "doc_id long, text string, lang string")
     assert sorted(x.doc_id for x in spam_pages(df).collect()) == sorted(spam)
+
+
+def test_lines_of_keywords_that_never_repeat(spark):
+    r = random.Random(8)
+    syl = ["ka", "ro", "mi", "tel", "sun", "bra", "vo", "lin", "dex", "pa", "zu", "gor"]
+    word = lambda: "".join(r.choice(syl) for _ in range(r.randint(3, 5)))
+    rows = [f"{word()} {word()} {r.randint(1, 99)} - {word()} - {word()} {r.randint(1, 9)},99" for _ in range(12)]
+    spam = {1: "\n".join(" ".join(word() for _ in range(4)) for _ in range(60)), 2: "zapatos rojos zapatos azules zapatos baratos comprar zapatos online zapatos mujer zapatos hombre zapatos piel", 3: "\n".join(rows)}
+    table = "\n".join(f"{word()} {r.randint(10, 99)}.{k} / {r.randint(10, 99)}.7 / {r.randint(10, 99)}.1" for k in range(12))
+    other = " ".join(f"{word()} {word()} ne {word()} me {word()}." for _ in range(40))  # sentences of a language unknown here
+    fine = {10: prose(30), 11: prose(30) + "\n" + "\n".join(f"{word()} {word()}" for _ in range(12)), 12: table, 13: other, 14: "\n".join(f"{w}: a thing that we use in the house when it is needed for {k}." for k, w in enumerate(rows))}
+    df = spark.createDataFrame([(i, t, "en") for i, t in {**spam, **fine}.items()], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in spam_pages(df).collect()) == sorted(spam)
