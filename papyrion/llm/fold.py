@@ -51,6 +51,10 @@ WEAK = frozenset("ανριυκτχγηωε")
 TO_LATIN = {ord(k): v for k, v in LOOKALIKE.items()}
 
 
+#: Anything but characters that folding leaves alone: most texts hold none and come back as they are.
+STRANGE = re.compile("[^\n\x20-\x7eÀ-ÖØ-öø-ıĴ-ſƠơƯưẠ-ỹ‘-‟–—…€°±×÷§]")
+
+
 def visible(text: str) -> str:
     """One form for invisible characters, blanks, hyphens, compatibility letters and accents.
 
@@ -58,6 +62,8 @@ def visible(text: str) -> str:
     """
     if text.isascii():
         return text.replace("\t", " ") if "\t" in text else text
+    if not STRANGE.search(text):
+        return text
     t = INVISIBLE.sub("", text)
     t = HYPHENS.sub("-", BLANKS.sub(" ", t)).translate(PLAIN)
     return t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
@@ -65,4 +71,4 @@ def visible(text: str) -> str:
 
 def latin(text: str) -> str:
     """visible() and every look-alike letter as its Latin one; for matching, not for display."""
-    return text if text.isascii() else visible(text).translate(TO_LATIN)
+    return text if text.isascii() or not STRANGE.search(text) else visible(text).translate(TO_LATIN)

@@ -1,12 +1,15 @@
 """Problem 6: broken prompt and response pairs.
 
 Each answer is held against its prompt and against refusal templates by token alignment: shingle
-containment first, then the longest common subsequence. What is neither a copy nor a refusal is
-judged by its language (function words of several languages, Vietnamese with or without accents)
-and by its end: fewer sentences than the prompt, a last sentence far shorter than the prompt's, or
-an end that a completion model trained here does not take for one. The model is an averaged
-perceptron over the last words of a sentence, fitted on a bounded sample of terminated answers and
-random cuts of them; everything else looks at every row.
+containment first, then the longest common subsequence. A refusal template is a row of slots (regret,
+who speaks, inability, task, what is asked); the words of each sentence of the whole answer are
+labelled with slots and their labels aligned with the templates, so that wordings unseen count, too.
+What is neither a copy nor a refusal is judged by its language (character n-gram profiles, fitted here
+on a bounded sample of answers, prompts and labelled texts; Vietnamese with and without accents are
+two profiles of one language) and by its end: fewer sentences than the prompt, a last sentence far
+shorter than the prompt's, or an end that a completion model trained here does not take for one. The
+model is an averaged perceptron over the last words of a sentence, fitted on a bounded sample of
+terminated answers and random cuts of them; everything else looks at every row.
 
 One narrow pass over the rows after the dedup of repeated records; no join, no shuffle of texts
 beyond that dedup.
@@ -14,10 +17,11 @@ beyond that dedup.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,45 +32,28 @@ from papyrion.llm.fold import latin, visible
 from papyrion.llm.spam import FUNCTION_WORDS
 from papyrion.session import sample_by_hash
 
-#: Refusals and the parts they are made of (fixed values; accents are folded before use).
-REFUSALS = (
-    "tôi không thể dịch đoạn này",
-    "tôi không được phép xử lý nội dung này",
-    "với vai trò một mô hình ngôn ngữ tôi",
-    "hệ thống từ chối dịch văn bản được gửi",
-    "tôi không có đủ thông tin để trả lời",
-    "tôi chưa thể hỗ trợ yêu cầu này",
-    "yêu cầu này nằm ngoài khả năng của tôi",
-    "tôi không thể thực hiện yêu cầu này",
-    "tôi không thể giúp bạn việc này",
-    "unfortunately i am not able to produce a translation",
-    "sorry this content can t be processed",
-    "i can t translate this passage",
-    "i cannot translate this text",
-    "as a language model i am unable to help",
-    "as an ai i cannot",
-    "i cannot assist with this text",
-    "i cannot help with that request",
-    "i am unable to answer this request",
-    "ich kann diesen text nicht übersetzen",
-    "leider kann ich diese anfrage nicht bearbeiten",
-    "je ne peux pas traduire ce texte",
-    "désolé je ne peux pas répondre",
-    "抱歉 我 无法",
-    "对不起 我 不能",
-)
+#: Words of each slot of a refusal, accents folded (fixed values): regret, speaker, inability, task, what is asked.
+SLOTS = {
+    "R": "xin loi; thanh that xin loi; rat tiec; tiec rang; mong ban thong cam; sorry; apologies; apologize; unfortunately; afraid; regret; leider; tut mir leid; bedaure; entschuldigung; desole; malheureusement; regrette; pardon; lo siento; lamento; lamentablemente; 抱歉; 对不起; 很遗憾",
+    "S": "toi; minh; em; he thong; mo hinh ngon ngu; tro ly; i; we; me; my; language model; an ai; assistant; ich; wir; sprachmodell; ki; mir; je; j; nous; moi; modele de langage; yo; me; modelo de lenguaje; 我; 我们",
+    "N": "khong the; khong duoc phep; khong co du; khong du; khong lam duoc; khong dich duoc; khong ho tro; khong giup duoc; khong tra loi duoc; chua the; tu choi; xin phep khong; khong co kha nang; ngoai kha nang; vuot qua kha nang; ngoai pham vi; can t; cannot; can not; could not; couldn t; unable; not able; not allowed; not permitted; won t; will not; must decline; decline; refuse; impossible; beyond; outside; kann nicht; kann das nicht; kann ich nicht; kann ich leider nicht; kann leider nicht; nicht moglich; nicht in der lage; lehne ab; ablehnen; darf nicht; darf ich nicht; ne peux pas; ne peut pas; ne pouvons pas; pas en mesure; pas autorise; refuse; dois refuser; hors de; no puedo; no podemos; no es posible; no me es posible; 无法; 不能; 不可以",
+    "T": "dich; xu ly; tra loi; ho tro; giup; giup do; thuc hien; dap ung; cung cap; lam; translate; translation; process; processed; answer; help; assist; assistance; produce; comply; provide; fulfil; fulfill; complete; respond; do; ubersetzen; ubersetzung; bearbeiten; beantworten; helfen; machen; erfullen; ausfuhren; unterstutzen; traduire; traduction; repondre; aider; traiter; faire; satisfaire; traducir; responder; ayudar; procesar; hacer; 翻译; 回答; 帮助; 处理",
+    "O": "doan nay; yeu cau nay; yeu cau; noi dung nay; viec nay; van ban nay; van ban duoc gui; cau hoi nay; cau nay; dieu nay; thong tin; this; that; it; request; content; material; text; passage; diesen; diese; dieses; das; anfrage; inhalt; ce texte; cette demande; ce contenu; cela; demande; ce passage; esto; este texto; esta solicitud; solicitud; 这个; 此; 请求; 内容",
+}
+#: What a refusal says, slot by slot (fixed values).
+TEMPLATES = ("RSNTO", "SNTO", "RNTO", "RSNT", "ONT", "ONTS", "ONST", "ONS", "SNO", "SONT", "SOTN", "NSOT", "SRNT", "ORSN", "RSNO")
 #: Labels before an answer are at most this long.
 LABEL = re.compile(r"^\W*[^\W\d_][^:\n]{0,24}:\s+")
 _TOKEN = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _CJK = re.compile("[\u3040-ヿ㐀-鿿가-\ud7af]")
-_VI_LETTER = re.compile("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
 _NAME = re.compile(r"[^\W\d_]*[A-Z0-9ÀÁÉÏÖÜ][\w]*(?:-\w+)*")
 _WORDY = re.compile(r"(?<![\w-])[a-zà-ÿ]{2,}(?![\w])")
 _CUT_MARK = re.compile(r"(?:…|\.\.\.+|[(\[{,;:–—-])\s*[.]?$")
 _END = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
 
-SAMPLE_ROWS = 4000
+#: Rows on which the models are fitted, and labelled texts for the profiles.
+SAMPLE_ROWS, SAMPLE_TEXTS = 4000, 1500
 EPOCHS = 4
 
 
@@ -83,12 +70,19 @@ def bare(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c)).replace("đ", "d")
 
 
-_REFUSALS = [(t, frozenset(t)) for t in (_TOKEN.findall(bare(r)) for r in REFUSALS)]
-_OTHER = {k: frozenset(bare(v).split()) for k, v in FUNCTION_WORDS.items() if k != "vi"}
-#: Frequent Vietnamese syllables without accents that are no English, German or French function words.
-_VI_BARE = frozenset(
-    bare(FUNCTION_WORDS["vi"] + " cung hai nhieu nguoi thay ket qua bang hon thap cao xu ly trang phut may chung toi mo hinh nen gio trong khi xong sau huan luyen buoc dung tham so giam nua ti le giua giu quanh moi kich thuoc gioi thieu bai nay trinh bay danh cho phuc vu dau vao dau ra nhan xet noi cach khac don gian hinh dung rang quan trong vi no anh huong truc tiep den ban doc chi can nho vai tro phan chuan bi muc ve con so cu the xu huong tuong tu").split()
-) - frozenset().union(*_OTHER.values())
+def _phrases() -> dict[str, list[tuple[tuple[str, ...], str]]]:
+    """Phrases by their first word, the longest first, with their slot."""
+    out: dict[str, list[tuple[tuple[str, ...], str]]] = defaultdict(list)
+    for slot, words in SLOTS.items():
+        for p in words.split(";"):
+            t = tuple(p.split())
+            out[t[0]].append((t, slot))
+    return {w: sorted(x, key=lambda y: -len(y[0])) for w, x in out.items()}
+
+
+_PHRASES = _phrases()
+#: A refusal says nothing without one of these.
+_INABILITY = frozenset(w for p in SLOTS["N"].split(";") for w in p.split()[:1]) | {"kann", "konnen", "darf", "peux", "peut"}
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -118,33 +112,132 @@ def is_copy(src: list[str], ans: list[str]) -> bool:
     return lcs(src, ans) >= 0.9 * max(len(ans), min(len(src), 0.5 * len(src)))
 
 
-def is_refusal(ans: list[str]) -> bool:
-    """A refusal template runs along the answer's first words and little else is said."""
-    head = ans[:40]
-    seen = set(head)
-    for t, own in _REFUSALS:
-        if len(own & seen) < 0.8 * len(own):
+#: Inability in two parts, the second at most five words after the first (fixed values).
+GAPPED = {"nicht": frozenset({"kann", "konnen", "konnte", "darf", "durfen"}), "pas": frozenset({"peux", "peut", "pouvons", "puis"}), "duoc": frozenset({"khong", "chua"})}
+
+
+def slots(words: list[str]) -> tuple[str, int]:
+    """(slot of each phrase in order, words that belong to one)."""
+    out, i, held = [], 0, 0
+    while i < len(words):
+        if (first := GAPPED.get(words[i])) and first & set(words[max(0, i - 5) : i]) and "N" not in out[-2:]:
+            out.append("N")
+            held += 2
+            i += 1
             continue
-        for i in range(max(1, len(head) - len(t) + 1)):
-            if lcs(t, head[i : i + len(t) + 1]) >= 0.85 * len(t):
-                return True
-    return False
+        for t, slot in _PHRASES.get(words[i], ()):
+            if tuple(words[i : i + len(t)]) == t:
+                out.append(slot)
+                held += len(t)
+                i += len(t)
+                break
+        else:
+            i += 1
+    return "".join(out), held
+
+
+def refuses(words: list[str]) -> bool:
+    """Whether a sentence's slots run along a refusal template, and its other words are few."""
+    if not _INABILITY & set(words):
+        return False
+    row, held = slots(words)
+    if "N" not in row or not ("T" in row or "O" in row):
+        return False
+    best = max(lcs(list(t), list(row)) / len(t) for t in TEMPLATES)
+    return best == 1 and (held >= 0.4 * len(words) or row[0] == "R" and held >= 0.3 * len(words))
+
+
+def is_refusal(text: str) -> bool:
+    """Sentences that refuse make up two fifths of the answer's words, or open it and are all but a fifth."""
+    if not _CJK.search(text) and not _INABILITY & set(map(bare_word, _TOKEN.findall(text.lower()))):
+        return False
+    total = said = 0
+    first = None
+    for s in _SENTENCE.split(text.strip()):
+        w = [bare_word(x) for x in _TOKEN.findall(s.lower())]
+        if _CJK.search(s):
+            w = [c for x in w for c in _chinese(x)]
+        if not w:
+            continue
+        no = refuses(w)
+        first = no if first is None else first
+        total += len(w)
+        said += no * len(w)
+    return total > 0 and (said >= 0.4 * total or bool(first) and said >= 0.2 * total)
+
+
+def _chinese(word: str) -> list[str]:
+    """A run of Chinese characters cut at the phrases that the slots know."""
+    return re.findall("|".join(sorted(_HAN, key=len, reverse=True)) + r"|\w", word)
+
+
+_HAN = [p for words in SLOTS.values() for p in map(str.strip, words.split(";")) if _CJK.search(p)]
+
+
+class Profiles:
+    """Log probabilities of character trigrams by language; a word's are kept."""
+
+    def __init__(self, table: dict[str, tuple[float, ...]], languages: tuple[str, ...], unseen: tuple[float, ...]):
+        self.table, self.languages, self.unseen = table, languages, unseen
+        self.memo: dict[str, tuple[float, ...]] = {}
+
+    @classmethod
+    def fit(cls, texts: dict[str, list[str]]) -> Profiles:
+        counts = {}
+        for lang, of in texts.items():
+            words = Counter(w for t in of for w in set(plain_words(t)))  # no text outweighs the others
+            n: Counter = Counter()
+            for w, k in words.items():
+                for g in trigrams(w):
+                    n[g] += k
+            if n:
+                counts[lang] = n
+        every = sorted({g for n in counts.values() for g in n})
+        size = len(every) + 1
+        logs = {x: math.log(sum(n.values()) + 0.5 * size) for x, n in counts.items()}
+        table = {g: tuple(math.log(n.get(g, 0) + 0.5) - logs[x] for x, n in counts.items()) for g in every}
+        return cls(table, tuple(counts), tuple(math.log(0.5) - logs[x] for x in counts))
+
+    def of(self, word: str) -> tuple[float, ...]:
+        if (v := self.memo.get(word)) is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            v = self.memo[word] = tuple(map(sum, zip(*(self.table.get(g, self.unseen) for g in trigrams(word)))))
+        return v
+
+    def likeliest(self, words: list[str]) -> str | None:
+        """The language in which the words are likeliest; None without words or profiles."""
+        if not words or not self.languages:
+            return None
+        totals = [sum(x) for x in zip(*map(self.of, words))]
+        return self.languages[totals.index(max(totals))]
+
+
+def trigrams(word: str) -> list[str]:
+    w = f"^{word}$"
+    return [w[i : i + 3] for i in range(len(w) - 2)] or [w]
+
+
+def plain_words(text: str) -> list[str]:
+    """Words in small letters, names left out; all words where there are no others."""
+    words = [w for w in _TOKEN.findall(text) if w.isalpha()]
+    return [w.lower() for w in words if w.islower() or not w[1:].islower()] or [w.lower() for w in words]
 
 
-def foreign(text: str) -> bool:
+#: The language the answers should be in, and its profile without accents.
+WANTED, WANTED_BARE = "vi", "vi-bare"
+
+
+def foreign(text: str, profiles: Profiles) -> bool:
     """Mostly in a language other than Vietnamese."""
-    letters = sum(c.isalpha() for c in text)
-    if len(_CJK.findall(text)) * 3 > letters:
+    letters = [c for c in text if c.isalpha()] if not text.isascii() else []
+    if sum(not _LATIN.match(c) for c in letters) * 3 > len(letters) > 0:
         return True
-    words = [w for w in _TOKEN.findall(text) if w.isalpha()]
-    plain = [w.lower() for w in words if w.islower() or not w[1:].islower()] or [w.lower() for w in words]
-    if not plain:
-        return False
-    folded = [bare_word(w) for w in plain]
-    viet = sum([b in _VI_BARE or (not w.isascii() and _VI_LETTER.search(w) is not None) for w, b in zip(plain, folded)])
-    other = max(sum([b in ws for b in folded]) for ws in _OTHER.values())
-    long = sum([len(b) > 7 for b in folded])  # no Vietnamese syllable is that long
-    return (other + long > viet and viet < 0.4 * len(plain)) or (viet == 0 and other > 0)
+    best = profiles.likeliest(plain_words(text))
+    return best is not None and best not in (WANTED, WANTED_BARE)
+
+
+_LATIN = re.compile("[a-zA-ZÀ-ɏḀ-ỿ]")
 
 
 def shape(word: str) -> str:
@@ -236,13 +329,19 @@ def truncated(src: str, ans: str, weights: dict[str, float], aligned: bool) -> b
     return bool(t) and completeness(weights, t[-1]) < 0
 
 
+def carries(src: str, ans: str) -> bool:
+    """Whether an answer holds half of the prompt's names and numbers: what it says is the prompt's."""
+    own = {w for w in _TOKEN.findall(src) if any(c.isdigit() for c in w) or any(c.isupper() for c in w[1:])} | set(re.findall(r"(?<=[a-z,] )[A-Z][^\W\d_]+", src))
+    return bool(own) and 2 * len(own & set(_TOKEN.findall(ans))) >= len(own)
+
+
 def only_names(src: str) -> bool:
     """No words but names, numbers and symbols."""
     rest = _NAME.sub(" ", src)
     return not any(w not in ("et", "al", "vs") for w in _WORDY.findall(rest))
 
 
-def defect(src: str, ans: str, weights: dict[str, float], aligned: bool) -> str | None:
+def defect(src: str, ans: str, weights: dict[str, float], aligned: bool, profiles: Profiles | None = None) -> str | None:
     shown = visible(ans)
     if not any(c.isalnum() for c in shown):
         return "empty"
@@ -253,40 +352,62 @@ def defect(src: str, ans: str, weights: dict[str, float], aligned: bool) -> str
         return None
     if is_copy(s, a) or ((m := LABEL.match(text)) and is_copy(s, _TOKEN.findall(text[m.end() :].lower()))):
         return "copy"
-    folded = _TOKEN.findall(bare(text))
-    if is_refusal(folded):
+    if is_refusal(text) and not carries(source, text):
         return "refusal"
-    if foreign(shown):
+    if foreign(shown, profiles or fit_profiles([])):
         return "lang"
     if not s:
         return "truncated" if _CUT_MARK.search(shown.strip()) else None
     return "truncated" if truncated(source, shown, weights, aligned) else None
 
 
-def broken_answers(rows: DataFrame, key: str = "key", src: str = "src", fields: dict[str, bool] | None = None, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def fit_profiles(sample: list[tuple[str | None, str | None]], labelled: list[tuple[str, str]] = ()) -> Profiles:
+    """Profiles from (prompt, answer) rows, prompts being English, and from (language, text) rows.
+
+    The function words of the usual languages are part of theirs, so that none is without a profile.
+    """
+    texts: dict[str, list[str]] = defaultdict(list, {k: [v] for k, v in FUNCTION_WORDS.items()})
+    for src, ans in sample:
+        texts["en"].append(latin(src or ""))
+        texts[WANTED].append(visible(ans or ""))
+    for lang, text in labelled:
+        texts[lang.strip().lower()].append(visible(text))
+    texts[WANTED_BARE] = [" ".join(map(bare_word, plain_words(t))) for t in texts[WANTED]]
+    return Profiles.fit({k: v for k, v in texts.items() if any(v)})
+
+
+def broken_answers(rows: DataFrame, key: str = "key", src: str = "src", fields: dict[str, bool] | None = None, *, texts: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(tm_key, field, defect): one row for each broken answer.
 
     ``fields``: answer columns, True where the answer translates the prompt. A null answer was never
     requested and gives nothing; a null or empty prompt leaves the checks that need none. Records
-    that come in several rows count once. The completion model is fitted on at most ``sample_rows``
-    rows (those with the smallest hash of their key).
+    that come in several rows count once. The completion model and the profiles of English prompts and
+    Vietnamese answers are fitted on at most ``sample_rows`` rows (those with the smallest hash of their
+    key). ``texts`` (id, lang, text): labelled texts for the profiles of other languages, of which at most
+    ``SAMPLE_TEXTS`` are taken; labels may be wrong now and then.
     """
     fields = fields if fields is not None else {"vi": True, "plain": False}
     names = list(fields)
     kept = rows.select(rows[key].alias("k"), rows[src].alias("s"), *(rows[f].alias(f"a{i}") for i, f in enumerate(names))).filter("k is not null")
     sample = sample_by_hash(kept, "k", sample_rows).collect()
     weights = {f: train_completion([r[f"a{i}"] for r in sample if r[f"a{i}"]]) for i, f in enumerate(names)}
-    shared = rows.sparkSession.sparkContext.broadcast(weights)
+    labelled: list[tuple[str, str]] = []
+    if texts is not None:
+        t = texts.select("id", "lang", "text").filter("id is not null and trim(lang) <> '' and trim(text) <> ''")
+        labelled = [(r.lang, r.text) for r in sample_by_hash(t, "id", SAMPLE_TEXTS).collect()]
+    profiles = fit_profiles([(r.s, r[f"a{i}"]) for r in sample for i in range(len(names)) if r[f"a{i}"]], labelled)
+    shared = rows.sparkSession.sparkContext.broadcast((weights, profiles.table, profiles.languages, profiles.unseen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        models, *made = shared.value
+        profiles = Profiles(*made)
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
             out = []
             for i, f in enumerate(names):
                 w, aligned = models[f], fields[f]
                 for k, s, a in zip(cols[0], cols[1], cols[2 + i]):
-                    if a is not None and (d := defect(s or "", a, w, aligned)):
+                    if a is not None and (d := defect(s or "", a, w, aligned, profiles)):
                         out.append((k, f, d))
             if out:
                 c = list(zip(*out))

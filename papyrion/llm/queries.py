@@ -41,7 +41,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 6: broken answers of the translation memory and their defects."""
-    return broken_answers(table(spark, sf_dir, "tm"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    return broken_answers(table(spark, sf_dir, "tm"), texts=texts)
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:

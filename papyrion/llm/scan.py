@@ -60,16 +60,9 @@ _NUMBER_SIDE = re.compile(r"^(?P<a>\d{1,5})[\s|·–-]+(?=\D)|(?:(?<=[^\W\d_])|(
 _AUTHORS = re.compile(r"^(?:preprint\W+under\s+review\W+)?[^\W\d_][^\W\d_'’-]+\s+(?:et\s+al|and\s+co-?authors|and\s+others)\W*$", re.I)
 _PREPRINT = re.compile(r"^preprint\W+under\s+review", re.I)
 _PROSE_KINDS = frozenset({"para", "abstract", "summary", "meta", "", None})
-#: Anything but characters that folding leaves alone.
-_STRANGE = re.compile("[^\n\x20-\x7eÀ-ÖØ-öø-ıĴ-ſƠơƯưẠ-ỹ‘-‟–—…€°±×÷§]")
 _SENTENCE_END = (".", "!", "?", ",", ";", ":")
 
 
-def plain(text: str) -> str:
-    """fold.latin() for matching; most texts hold nothing to fold and come back as they are."""
-    return text if text.isascii() or not _STRANGE.search(text) else latin(text)
-
-
 def restore(out: str, folded: str, original: str) -> str:
     """The repaired text with the original characters of every token that the repair left alone."""
     if folded == original:
@@ -442,7 +435,7 @@ _BROKEN = re.compile(r"\S+-[ \t]*\n[ \t]*\S+")
 
 def text_words(text: str) -> set[str]:
     """The printed tokens of a text; parts of words broken at line ends are left out."""
-    t = plain(text)
+    t = latin(text)
     if "\n" in t and "-" in t:
         t = _BROKEN.sub(" ", t)
     return set(_TOKEN.findall(t))
@@ -528,7 +521,7 @@ def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor,
     ``repeated``: masked lines that stand on other pages of the same document, too.
     """
     noise: set[str] = set()
-    t = plain(text)
+    t = latin(text)
     lines = t.split("\n") if "\n" in t else [t]
     if len(lines) > 1 and kind in _PROSE_KINDS:
         kept = []
@@ -591,7 +584,7 @@ def block_furniture(rows: list[tuple[str, str, str, int | None]], words: list[st
     first paragraph of the first page nothing but a page number counts: a line of authors is none.
     Blocks without a page are judged by form alone.
     """
-    text = [plain(t) for _, _, t, _ in rows]
+    text = [latin(t) for _, _, t, _ in rows]
     body_from = next((i for i, (_, k, t, _) in enumerate(rows) if k in _FRONT and len(t) > 25), 0)
     on: dict[object, list[int]] = defaultdict(list)
     for i, r in enumerate(rows):
@@ -646,12 +639,12 @@ def repair_blocks(blocks: list[dict], title: str | None, editor: Editor, unknown
     rows = [(str(b.get("id")), b.get("type") or "para", str(b.get("text") or ""), b.get("page")) for b in blocks if isinstance(b, dict) and b.get("id") is not None]
     rows = [(i, k, t, p if isinstance(p, int) else None) for i, k, t, p in rows]
     named = title or next((t for _, k, t, _ in rows if k == "title"), "")
-    words = _words(plain(named))
+    words = _words(latin(named))
     furniture = block_furniture(rows, words)
     out: list[list] = []
     for i, (bid, kind, text, _) in enumerate(rows):
         noise = furniture.get(i, set())
-        if noise and find_words(plain(text), editor, unknown.setdefault(bid, set()) if unknown is not None and "header" in noise else None)[1] and "header" in noise:
+        if noise and find_words(latin(text), editor, unknown.setdefault(bid, set()) if unknown is not None and "header" in noise else None)[1] and "header" in noise:
             noise = noise | {"ocr"}
         out.append([bid, kind, "" if noise else text, noise, bool(noise)])
     for i, row in enumerate(out):
@@ -667,7 +660,7 @@ def repair_blocks(blocks: list[dict], title: str | None, editor: Editor, unknown
             h = re.match(r"[!@|$]?[^\W_]+(?:[!@|$][^\W_]+)*", nxt[2].lstrip())
             if nxt[1] == "para" and h and (h[0][:1].islower() or not h[0][:1].isalpha()):
                 left = re.sub(r"^\W+", "", m[1]).rsplit("-", 1)[-1]
-                glued = plain(left + h[0]).lower()
+                glued = latin(left + h[0]).lower()
                 fix = glued if glued in editor.vocab else editor.correct(glued)
                 if fix or editor.joins(left, h[0]):
                     row[3] = row[3] | {"hyphen"}
@@ -829,7 +822,7 @@ def _pass(recs: DataFrame, shared, with_text: bool) -> DataFrame:
                 e.rare = dict(fixes or ())
                 if tbl == "chunk":
                     unknown: set[str] = set()
-                    t, noise = repair_lines(text, _words(plain(title or "")), kind, e, frozenset(lines or ()), unknown)
+                    t, noise = repair_lines(text, _words(latin(title or "")), kind, e, frozenset(lines or ()), unknown)
                     if with_text or noise or unknown:
                         rows.append((tbl, rec, "", t if with_text else None, sorted(noise), list(unknown)))
                     continue

@@ -50,3 +50,33 @@ def test_records(spark, rows):
     df = spark.createDataFrame(data, schema)
     assert rows(broken_answers(df)) == [("a", "vi", "empty"), ("b", "vi", "empty"), ("c", "vi", "empty"), ("d", "plain", "copy"), ("l", "vi", "copy")]
     assert broken_answers(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Xin lỗi, mình không làm được việc này đâu nhé.", "I must decline to translate this material.", "Das kann ich leider nicht machen.", "Je suis désolé, mais je ne peux pas vous aider avec cette demande.",
+        "抱歉，我无法翻译这个内容。", "Rất tiếc, em không hỗ trợ được yêu cầu này ạ.", "As an AI assistant I am not able to comply with this request.", "Lo siento, no puedo traducir este texto.",
+        "Es tut mir leid, aber ich kann diese Anfrage nicht bearbeiten.", "I won't be able to process that passage.", "Tôi từ chối trả lời câu hỏi này.", "Câu này vượt quá khả năng của mình.",
+        "Cảm ơn bạn đã gửi văn bản và chờ đợi trong lúc hệ thống xem xét toàn bộ nội dung được đưa lên máy chủ. Tuy nhiên tôi không thể dịch đoạn này. Tôi rất tiếc vì không thể giúp bạn việc này.",
+    ],
+)
+def test_refusals_in_wordings_unseen(weights, answer):
+    assert defect(SRC, answer, weights, True) == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["Hệ thống không thể xử lý tài liệu dài.", "Phương pháp này không thể trả lời các câu hỏi dài.", "Chúng tôi không thể tái lập kết quả này.", "Không một bộ lọc nào xử lý tốt cả hai.", "Mô hình không được phép dùng dữ liệu kiểm thử."])
+def test_inability_in_the_text_is_no_refusal(weights, answer):
+    assert defect("The method cannot process long documents.", answer, weights, True) != "refusal"
+
+
+def test_languages_without_function_word_lists(weights):
+    assert defect(SRC, "La tasa de aprendizaje disminuye después de nueve actualizaciones, y la cobertura se estabiliza poco después.", weights, True) == "lang"
+    assert defect(SRC, "Скорость обучения снижается после девяти обновлений.", weights, True) == "lang"
+
+
+def test_profiles_are_fitted_on_labelled_texts():
+    from papyrion.llm.pairs import fit_profiles, plain_words
+
+    p = fit_profiles([(SRC, VI)] * 5, [("IT", "il tasso di apprendimento diminuisce dopo nove aggiornamenti e la copertura si stabilizza"), ("it", "la maggior parte degli errori compare nei documenti lunghi")])
+    assert p.likeliest(plain_words("gli errori della copertura dopo gli aggiornamenti")) == "it" and p.likeliest(plain_words("độ phủ ổn định sau đó")) == "vi" and p.likeliest(plain_words("do phu on dinh ngay sau do")) == "vi-bare" and p.likeliest([]) is None
