@@ -29,16 +29,19 @@ def fixed_clusters(chunk: DataFrame) -> DataFrame:
 
 
 def cut_group(sims: np.ndarray, size: int) -> list[int]:
-    """Places to cut a run of ``size`` passages: least similar neighbours first, two apart and from the ends."""
-    want = max(1, round(size / MOST))
-    cuts: list[int] = []
-    if size <= MOST or want <= 1:
-        return cuts
-    for pos in np.argsort(sims, kind="stable"):
-        if len(cuts) >= want - 1:
+    """Places to cut a run of ``size`` passages where neighbours are least alike, so that no part is a lone passage.
+
+    ``size / MOST`` parts are wanted. A place that would leave fewer than ``LEAST`` passages at an end or
+    beside an earlier cut is closed; of the open places the lowest similarity is taken, the first of equals.
+    """
+    open_ = np.where((np.arange(size - 1) >= LEAST - 1) & (np.arange(size - 1) <= size - 1 - LEAST), np.asarray(sims, float), np.inf)
+    cuts = []
+    for _ in range(round(size / MOST) - 1 if size > MOST else 0):
+        at = int(np.argmin(open_))
+        if not np.isfinite(open_[at]):
             break
-        if all(abs(pos - c) >= LEAST for c in cuts) and pos + 1 >= LEAST and size - pos - 1 >= LEAST:
-            cuts.append(int(pos))
+        cuts.append(at)
+        open_[max(0, at - LEAST + 1) : at + LEAST] = np.inf
     return sorted(cuts)
 
 

@@ -171,11 +171,14 @@ def json_extract_safe(spark, d):
     return e.select("event_id", F.concat(F.lit("Here it is [sic]:\n```json\n"), F.col("props"), F.lit("\n```\nDone}.")).alias("t")).select("event_id", R.json_in_text("t").alias("props"))
 
 
-@query(rf"""WITH {CHUNKS} SELECT paper_id, id AS label, trim(text) AS body FROM c WHERE level = 0 AND text IS NOT NULL AND trim(text) <> '' AND NOT contains(text, '<<')""")
+@query(rf"""WITH {CHUNKS} SELECT paper_id, id AS label, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM c WHERE level = 0 AND text IS NOT NULL AND trim(text) <> ''""")
 def labelled_answers(spark, d):
-    """SRC-13, AGG-18: labelled text of a paper cut into its labels again."""
-    c = chunks(spark, d, 0).filter("text is not null and trim(text) <> '' and not contains(text, '<<')").groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "text"))), lambda x: F.concat(F.lit("<<<"), x.id, F.lit(">>> "), x.text)), " ").alias("t"))
-    return R.labelled(c, "t")
+    """SRC-13: labelled text of a paper cut into its labels again; the labels are those of the paper, whatever its passages hold."""
+    form = F.element_at(F.array(*map(F.lit, ("<<<%s>>>", "<<%s>>", "### %s", "**%s**", "[%s]:"))), F.col("ord") % 5 + 1)
+    c = chunks(spark, d, 0).filter("text is not null and trim(text) <> ''").select("paper_id", "ord", "id", "text", F.replace(form, F.lit("%s"), F.col("id")).alias("mark"))
+    g = c.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "text", "mark"))).alias("l"))
+    t = g.select("paper_id", F.array_join(F.transform("l", lambda x: F.concat(x.mark, F.lit("\n"), x.text)), "\n").alias("t"), F.transform("l", lambda x: x.id).alias("ids"))
+    return R.labelled(t, "t", "ids")
 
 
 @query(f"""WITH {PAPERS} SELECT '| ' || id || ' | ' || regexp_replace(replace(coalesce(title, ''), '|', '\\|'), '\\s*\\n\\s*', ' ', 'g') || ' | ' || coalesce(CAST(year AS VARCHAR), '') || ' |' AS line FROM p""")

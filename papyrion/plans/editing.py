@@ -116,10 +116,10 @@ def block_split(spark, d):
     return Ed.split_at(b, b.filter("pos % 5 = 2").select("doc", "id", F.lit(40).alias("at")))
 
 
-@query("SELECT p.sha256, CASE WHEN contains(lower(d.title), lower(p.title)) AND length(d.title) > length(p.title) AND trim(p.title) <> '' THEN d.title ELSE p.title END AS title FROM (SELECT sha256, any_value(title) AS title FROM parse_cache GROUP BY sha256) p LEFT JOIN (SELECT sha256, min(title) AS title FROM paper WHERE sha256 IS NOT NULL GROUP BY sha256) d ON d.sha256 = p.sha256")
+@query("SELECT p.sha256, CASE WHEN contains(lower(d.title), lower(p.title)) AND length(d.title) > length(p.title) AND trim(p.title) <> '' THEN d.title ELSE p.title END AS title FROM (SELECT sha256, arg_max(title, created_at) AS title FROM parse_cache WHERE title IS NOT NULL GROUP BY sha256 UNION ALL SELECT sha256, NULL FROM parse_cache GROUP BY sha256 HAVING count(title) = 0) p LEFT JOIN (SELECT sha256, min(title) AS title FROM paper WHERE sha256 IS NOT NULL GROUP BY sha256) d ON d.sha256 = p.sha256")
 def title_repair(spark, d):
-    """MUT-12, MUT-04: a longer title that holds the old one replaces it."""
-    p = table(spark, d, "parse_cache").groupBy("sha256").agg(F.first("title").alias("old"))
+    """MUT-12: a longer title that holds the old one (the newest known) replaces it."""
+    p = table(spark, d, "parse_cache").groupBy("sha256").agg(F.max_by("title", F.when(F.col("title").isNotNull(), F.struct("created_at", "title"))).alias("old"))
     n = table(spark, d, "paper").filter("sha256 is not null").groupBy("sha256").agg(F.min("title").alias("new"))
     return p.join(n, "sha256", "left").select("sha256", Ed.better_title(F.col("old"), F.col("new")).alias("title"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from papyrion.operators import graph as G
 from papyrion.plans.relational import CHUNKS, PAPERS, chunks, papers
+from papyrion.session import cut
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,7 +35,8 @@ ent AS (SELECT id, survey_id, min(name) AS name, count(DISTINCT paper_id) AS pap
 
 
 def _edges(spark, d):
-    return G.edges_from_text(chunks(spark, d), papers(spark, d))
+    """The relations of the passages, found once: what follows reads them several times."""
+    return cut(G.edges_from_text(chunks(spark, d), papers(spark, d)))
 
 
 @query(f"WITH {EDGES} SELECT survey_id, src, dst, rel, paper_id, chunk_id FROM e")

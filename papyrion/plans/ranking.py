@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyrion.operators import biblio as Bib
+from papyrion.operators import graph as G
+from papyrion.operators import index as Ix
 from papyrion.operators import search as S
+from papyrion.plans.graphs import EDGES, _edges
 from papyrion.plans.relational import CHUNKS, PAPERS, chunks, papers
 from papyrion.session import cut, table
 
@@ -57,18 +60,23 @@ hit AS (SELECT bm.qid, bm.id, round(bm.score, 6) AS score, row_number() OVER (PA
  FROM bm JOIN c ON c.id = bm.id JOIN p ON p.id = c.paper_id WHERE p.survey_id IS NOT NULL)"""
 
 
-def _bm25_hits(spark, d):
-    """Ranked lexical hits within the corpora, scored over all passages."""
+def _bm25_hits(spark, d, k=60, asked=None):
+    """The best k lexical hits of each question within the corpora, scored over all passages by the stored index.
+
+    Hits are cut to k before they are written and before anything else is joined to them.
+    """
     c = chunks(spark, d)
+    path = Ix.ready(spark, f"{d}/chunk.parquet", c)
     scope = papers(spark, d).filter("survey_id is not null").select(F.col("id").alias("paper_id"))
-    s = S.bm25(c, questions(spark)).join(c.select("id", "paper_id").join(scope, "paper_id"), "id")
-    return cut(S.ranked(s.select("qid", "id", "paper_id", F.round("score", 6).alias("score"))))
+    own = c.select("id", "paper_id").join(scope, "paper_id")
+    s = Ix.scored(spark, path, questions(spark) if asked is None else asked).join(own, "id")
+    return cut(S.ranked(s.select("qid", "id", "paper_id", F.round("score", 6).alias("score")), k))
 
 
 @query(f"WITH {BM25} SELECT qid, id, score, rank FROM hit WHERE rank <= 30")
 def bm25_search(spark, d):
     """RNK-01, RNK-02: full-text search with five weighted columns."""
-    return _bm25_hits(spark, d).filter("rank <= 30").select("qid", "id", "score", "rank")
+    return _bm25_hits(spark, d, 30).select("qid", "id", "score", "rank")
 
 
 @query(rf"""SELECT id, len(t) AS n FROM (SELECT DISTINCT id, {_terms("text")} AS t FROM chunk)""")
@@ -79,6 +87,23 @@ def term_counts(spark, d):
     return table(spark, d, "chunk").select("id", tokens(F.col("text")).alias("t")).distinct().select("id", F.size("t").alias("n"))
 
 
+@query(f"WITH {BM25} SELECT term, df FROM df")
+def index_terms(spark, d):
+    """MEM-05, JOIN-02: document frequencies as the stored index has them."""
+    path = Ix.ready(spark, f"{d}/chunk.parquet", chunks(spark, d))
+    return spark.read.parquet(f"{path}/terms").select("term", "df")
+
+
+@query(f"WITH {CHUNKS} SELECT (SELECT count(*) FROM c) AS passages, (SELECT count(*) FROM c) - (SELECT count(*) FROM c WHERE {' + '.join(f'len({_terms(x)})' for x in _W)} > 0) AS without_terms, 0 AS orphans")
+def reindex_audit(spark, d):
+    """MEM-05: passages the index does not hold (those without a term) and postings of no passage, by anti-joins both ways."""
+    c = chunks(spark, d)
+    path = Ix.ready(spark, f"{d}/chunk.parquet", c)
+    held = spark.read.parquet(f"{path}/postings").select("id").distinct()
+    one = [x.withColumn("_1", F.lit(1)) for x in (c.agg(F.count("*").alias("passages")), c.join(held, "id", "left_anti").agg(F.count("*").alias("without_terms")), held.join(c, "id", "left_anti").agg(F.count("*").cast("int").alias("orphans")))]
+    return one[0].join(one[1], "_1").join(one[2], "_1").drop("_1")
+
+
 #: Query vectors: those of passages whose id ends in c1 (a stated query set against all vectors).
 DENSE = """v AS (SELECT DISTINCT chunk_id AS id, vec FROM emb WHERE model = 'enc-mini' AND vec IS NOT NULL AND len(vec) = dim),
 qv AS (SELECT id AS qid, vec AS qvec FROM v WHERE id LIKE '%c1'),
@@ -97,17 +122,7 @@ def dense_topk(spark, d):
     return S.dense(v, v.filter("id like '%c1'").select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 10).select("qid", "id", "rank")
 
 
-@query(f"""WITH {BM25}, a AS (SELECT qid, id, rank FROM hit WHERE rank <= 40), t AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY length(id), id) AS rank FROM a),
-u AS (SELECT * FROM a UNION ALL SELECT * FROM t), f AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY qid, id)
-SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM f) WHERE r <= 20""")
-def rrf_fuse(spark, d):
-    """RNK-04, RNK-06: reciprocal-rank fusion of two ranked lists."""
-    a = _bm25_hits(spark, d).filter("rank <= 40").select("qid", "id", "rank")
-    t = a.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.length("id"), "id")))
-    return S.ranked(S.rrf([a, t]), 20).select("qid", "id", "score")
-
-
-_HYBRID = f"""{BM25}, b AS (SELECT qid, id, rank FROM hit WHERE rank <= 40), seed AS (SELECT qid, min_by(id, rank) AS seed FROM hit WHERE id IN (SELECT chunk_id FROM emb WHERE model = 'enc-base' AND len(vec) = dim) GROUP BY qid),
+_HYBRID = f"""{BM25}, b AS (SELECT qid, id, rank FROM hit WHERE rank <= 40), seed AS (SELECT qid, min_by(id, rank) AS seed FROM hit WHERE rank <= 60 AND id IN (SELECT chunk_id FROM emb WHERE model = 'enc-base' AND len(vec) = dim) GROUP BY qid),
 ev AS (SELECT DISTINCT chunk_id AS id, vec FROM emb WHERE model = 'enc-base' AND vec IS NOT NULL AND len(vec) = dim),
 qv AS (SELECT qid, min(vec) AS qvec FROM seed JOIN ev ON ev.id = seed.seed GROUP BY qid),
 dsc AS (SELECT qid, id, round(list_dot_product(vec::DOUBLE[], qvec::DOUBLE[]), 6) AS score FROM ev, qv),
@@ -116,21 +131,76 @@ fu AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT *
 pool AS (SELECT fu.*, c.paper_id, row_number() OVER (PARTITION BY qid ORDER BY fu.score DESC, fu.id) AS rank FROM fu JOIN c ON c.id = fu.id)"""
 
 
-def _hybrid(spark, d):
-    b = _bm25_hits(spark, d)
+def _dense_list(spark, d, b, k=40):
+    """The dense list of each question: the best lexical hit's vector stands for the question's (encoders are remote)."""
     v = table(spark, d, "emb").filter("model = 'enc-base' and vec is not null and size(vec) = dim").select(F.col("chunk_id").alias("id"), "vec").distinct()
     seed = b.join(v.select("id").distinct(), "id", "left_semi").groupBy("qid").agg(F.min_by("id", "rank").alias("id"))
     q = seed.join(v, "id").groupBy("qid").agg(F.min("vec").alias("qvec"))
-    fused = S.rrf([b.filter("rank <= 40"), S.dense(v, q, 40)])
+    return S.dense(v, q, k)
+
+
+def _hybrid(spark, d):
+    b = _bm25_hits(spark, d)
+    fused = S.rrf([b.filter("rank <= 40"), _dense_list(spark, d, b)])
     return S.ranked(fused.join(chunks(spark, d).select("id", "paper_id"), "id"))
 
 
+@query(f"WITH {_HYBRID} SELECT qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM fu) WHERE r <= 20")
+def rrf_fuse(spark, d):
+    """RNK-04, RNK-06: reciprocal-rank fusion of a lexical and a dense list of twice the limit, cut to the limit."""
+    b = _bm25_hits(spark, d)
+    return S.ranked(S.rrf([b.filter("rank <= 40"), _dense_list(spark, d, b)]), 20).select("qid", "id", "score")
+
+
 @query(f"WITH {_HYBRID} SELECT qid, id, score, rank FROM pool WHERE rank <= 60")
 def hybrid_search(spark, d):
     """RNK-05: lexical and dense lists fused into one pool (the best lexical hit's vector stands for the question's)."""
     return _hybrid(spark, d).filter("rank <= 60").select("qid", "id", "score", "rank")
 
 
+_MORE_EDGES = EDGES.replace(f"{PAPERS}, {CHUNKS},", "")
+#: Each question in its variants: as asked, and rewritten (query set of the tests).
+VARIANTS = [(q, q * 10 + v, t) for q, own in QUESTIONS for v, t in enumerate((own, {1: "cache size of retrieval", 2: "retrieval cache memory", 3: "miscalibrated hashing index", 4: "lexicon induction across languages"}[q]))]
+_VARIANT_SQL = ", ".join("({}, {}, '{}')".format(q, v, t.replace("'", "''")) for q, v, t in VARIANTS)
+_BM25_V = BM25.replace(f"qq(qid, q) AS (VALUES {_Q})", f"va(own, qid, q) AS (VALUES {_VARIANT_SQL}), qq AS (SELECT qid, q FROM va)")
+_RETRIEVE = f"""{_BM25_V}, lx AS (SELECT va.own AS qid, hit.qid AS list, id, rank FROM hit JOIN va ON va.qid = hit.qid WHERE rank <= 40),
+ev AS (SELECT DISTINCT chunk_id AS id, vec FROM emb WHERE model = 'enc-base' AND vec IS NOT NULL AND len(vec) = dim),
+seed AS (SELECT hit.qid, min_by(id, rank) AS seed FROM hit WHERE rank <= 40 AND id IN (SELECT id FROM ev) GROUP BY hit.qid),
+qv AS (SELECT qid, min(vec) AS qvec FROM seed JOIN ev ON ev.id = seed.seed GROUP BY qid),
+dsc AS (SELECT qid, id, round(list_dot_product(vec::DOUBLE[], qvec::DOUBLE[]), 6) AS score FROM ev, qv),
+dd AS (SELECT va.own AS qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM dsc) x JOIN va ON va.qid = x.qid WHERE rank <= 40),
+fu AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT qid, id, rank FROM lx UNION ALL SELECT qid, id, rank FROM dd) WHERE id NOT LIKE '%c1' GROUP BY qid, id),
+po AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu) WHERE rank <= 60)"""
+
+
+@query(f"WITH {_RETRIEVE} SELECT qid, id, score, rank FROM po")
+def retrieve_pool(spark, d):
+    """RNK-05: lexical and dense lists of every variant of a question fused, without what was seen (here first passages), best 60."""
+    return _retrieve(spark, d).select("qid", "id", "score", "rank")
+
+
+def _retrieve(spark, d):
+    va = spark.createDataFrame(VARIANTS, "own int, qid int, q string")
+    b = _bm25_hits(spark, d, 40, va.select("qid", "q"))
+    own = va.select("qid", "own")
+    lists = b.select("qid", "id", "rank").unionByName(_dense_list(spark, d, b).select("qid", "id", "rank")).join(own, "qid")
+    return S.ranked(S.rrf([lists.select(F.col("own").alias("qid"), "id", "rank").filter("id not like '%c1'")]), 60)
+
+
+@query(f"""WITH {_RETRIEVE}, {_MORE_EDGES}, top AS (SELECT qid, id FROM po WHERE rank <= 20), sd AS (SELECT DISTINCT top.qid, x.ent AS id FROM top JOIN (SELECT chunk_id, src AS ent FROM e UNION SELECT chunk_id, dst FROM e) x ON x.chunk_id = top.id),
+nb AS (SELECT qid, src, dst, rel, paper_id, min(chunk_id) AS chunk_id, count(DISTINCT w) = 2 AS both_ends FROM (SELECT s.qid, e.*, 1 AS w FROM e JOIN sd s ON e.src = s.id UNION ALL SELECT s.qid, e.*, 2 FROM e JOIN sd s ON e.dst = s.id) GROUP BY ALL),
+o AS (SELECT nb.qid, nb.chunk_id, row_number() OVER (PARTITION BY nb.qid ORDER BY nb.both_ends DESC, coalesce(p.year, 0) DESC, nb.src, nb.dst, nb.rel, nb.paper_id) AS r FROM nb LEFT JOIN p ON p.id = nb.paper_id WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.qid = nb.qid AND po.id = nb.chunk_id)),
+fi AS (SELECT qid, chunk_id, min(r) AS r FROM o GROUP BY qid, chunk_id)
+SELECT qid, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY r) AS place FROM fi) WHERE place <= 24""")
+def retrieve_expansion(spark, d):
+    """RNK-05, GRF-03, JOIN-05: passages one hop in the graph from the entities of the pool's best twenty, not in the pool yet."""
+    pool = cut(_retrieve(spark, d))
+    e = _edges(spark, d)
+    ends = e.select("chunk_id", F.col("src").alias("ent")).unionByName(e.select("chunk_id", F.col("dst").alias("ent")))
+    seeds = pool.filter("rank <= 20").select("qid", F.col("id").alias("chunk_id")).join(ends, "chunk_id").select("qid", F.col("ent").alias("id")).distinct()
+    return G.expand(e, seeds, papers(spark, d), pool.select("qid", F.col("id").alias("chunk_id")))
+
+
 @query(f"""WITH {_HYBRID}, o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, paper_id ORDER BY rank) > 3 THEN 1 ELSE 0 END AS over FROM pool)
 SELECT qid, id, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY over, rank) AS place FROM o) WHERE place <= 10""")
 def diversify_cap(spark, d):
@@ -144,7 +214,7 @@ k AS (SELECT *, max(grade) OVER (PARTITION BY qid) AS best FROM h)
 SELECT qid, id, grade, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, score DESC, id) AS place FROM k WHERE grade > 0 OR best = 0) WHERE place <= 20""")
 def rerank_grades(spark, d):
     """RNK-07: injected grades (here a function of the id) reorder the pool; missing grades count 1, none at all 2."""
-    hits = _bm25_hits(spark, d).filter("rank <= 60")
+    hits = _bm25_hits(spark, d, 60)
     grades = hits.filter("qid % 2 = 0 and rank % 5 <> 0").select("qid", "id", (F.length("id") % 4).alias("grade"))
     return S.rerank(hits, grades).select("qid", "id", "grade", "place")
 

@@ -76,11 +76,11 @@ def strip_markup(spark, d):
     return table(spark, d, "chunk").filter("text is not null").select("id", T.strip_markup(F.col("text")).alias("plain")).distinct()
 
 
-@query(r"""WITH n AS (SELECT DISTINCT id, unnest(regexp_extract_all(regexp_replace(text, '[^0-9A-Za-zÀ-ỹ_.,%+-]+', ' ', 'g'), '[^ ]+')) AS tok FROM chunk WHERE text IS NOT NULL AND kind = 'para'),
+@query(r"""WITH n AS (SELECT DISTINCT id, unnest(regexp_extract_all(regexp_replace(text, '[^0-9A-Za-zÀ-ỹ_.,%+-]+', ' ', 'g'), '[^ ]+')) AS tok FROM chunk WHERE text IS NOT NULL),
 m AS (SELECT id, regexp_replace(regexp_replace(tok, '[.,%]+$', ''), '^[%+-]+', '') AS tok FROM n)
 SELECT id, count(*) AS n FROM (SELECT DISTINCT id, tok FROM m WHERE regexp_full_match(tok, '[0-9]+([.,][0-9]+)*')) GROUP BY id""")
 def number_extract(spark, d):
-    """2.9 numbers of a passage of any kind: tokens of a superset class, then an anchored filter (no look-around needed). The SQL still reads paragraphs only."""
+    """2.9 numbers of a passage of any kind: tokens of a superset class, then an anchored filter (no look-around needed)."""
     c = table(spark, d, "chunk").filter("text is not null").select("id", "text").distinct()
     tok = F.explode(F.regexp_extract_all(F.regexp_replace("text", "[^0-9A-Za-zÀ-ỹ_.,%+-]+", " "), F.lit("[^ ]+"), F.lit(0)))
     t = c.select("id", tok.alias("tok")).withColumn("tok", F.regexp_replace(F.regexp_replace("tok", "[.,%]+$", ""), "^[%+-]+", ""))
@@ -179,9 +179,9 @@ def kind_histogram(spark, d):
     return chunks(spark, d).groupBy("kind", "level").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {PAPERS} SELECT id, title, year FROM (SELECT id, title, year, row_number() OVER (PARTITION BY survey_id ORDER BY created_at DESC, id) AS r FROM p) WHERE r <= 40")
+@query(f"WITH {PAPERS} SELECT id, title, year, row_number() OVER (PARTITION BY survey_id ORDER BY created_at NULLS FIRST, id) AS r FROM p")
 def paper_listing(spark, d):
-    """SORT-01: every paper of each corpus, r its place by created_at (equal times by id). The SQL still holds a cap of 40."""
+    """SORT-01: every paper of each corpus, r its place by created_at (equal times by id)."""
     w = Window.partitionBy("survey_id").orderBy("created_at", "id")
     return papers(spark, d).select("id", "title", "year", F.row_number().over(w).alias("r"))
 
@@ -201,9 +201,9 @@ def page_find(spark, d):
     return c.select("id", hits(F.col("text"), "memory").cast("long").alias("in_text"), hits(F.coalesce("vi", F.lit("")), "bộ nhớ").cast("long").alias("in_vi"))
 
 
-@query(f"WITH {PAPERS} SELECT id, coalesce(left(replace(card.tldr_vi, '|', '\\|'), 60), '') AS tldr, coalesce(left(replace(card.novelty, '|', '\\|'), 60), '') AS novelty FROM p WHERE card IS NOT NULL")
+@query(f"WITH {PAPERS} SELECT id, coalesce(replace(replace(card.tldr_vi, '|', '\\|'), chr(10), ' '), '') AS tldr, coalesce(replace(replace(card.novelty, '|', '\\|'), chr(10), ' '), '') AS novelty FROM p")
 def facet_matrix(spark, d):
-    """AGT-04, SNK-05: paper by facet, whole cells escaped for a table, empty without a card. The SQL still cuts cells at 60."""
+    """AGT-04, SNK-05: paper by facet, whole cells escaped for a table, empty without a card."""
     cell = lambda c: F.coalesce(F.replace(F.replace(F.col(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(""))
     return papers(spark, d).select("id", cell("card.tldr_vi").alias("tldr"), cell("card.novelty").alias("novelty"))
 
@@ -264,13 +264,14 @@ def context_fallback(spark, d):
     return chunks(spark, d, 0).filter("ctx is null").select("id", F.btrim(F.concat(F.coalesce("title", F.lit("")), F.lit(" — "), F.coalesce("section", F.lit(""))), F.lit(" —")).alias("ctx"))
 
 
-@query(f"""WITH {PAPERS}, {CHUNKS}, x AS (SELECT p.survey_id, p.id, p.title, c.ord, c.text FROM c JOIN p ON p.id = c.paper_id WHERE c.level = 0 AND c.kind = 'abstract' AND c.text IS NOT NULL)
-SELECT survey_id, sha256(string_agg(id || ' ' || coalesce(title, '') || ': ' || left(text, 200), chr(10) ORDER BY id, ord)) AS digest FROM x GROUP BY survey_id""")
+@query(f"""WITH {PAPERS}, x AS (SELECT survey_id, id, '[P' || CAST(row_number() OVER (PARTITION BY survey_id ORDER BY id) AS VARCHAR) || '] ' || coalesce(title, '') || ' (' || CASE WHEN coalesce(year, 0) <> 0 THEN CAST(year AS VARCHAR) ELSE 'n.d.' END
+ || CASE WHEN coalesce(venue, '') <> '' THEN ', ' || venue ELSE '' END || ')' || CASE WHEN coalesce(card.tldr_vi, '') <> '' THEN chr(10) || '  Chốt: ' || card.tldr_vi ELSE '' END || CASE WHEN coalesce(card.novelty, '') <> '' THEN chr(10) || '  Điểm mới: ' || card.novelty ELSE '' END AS t, card IS NOT NULL AS has FROM p)
+SELECT survey_id, sha256(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY id) FILTER (WHERE has), '')) AS digest FROM x GROUP BY survey_id""")
 def corpus_digest(spark, d):
     """AGG-18: deterministic ordered text of a corpus (hashed here): the whole card of each paper in id order.
 
     Labels count all papers of the corpus, as in the reference; its constant head is left out, novelty is added. A corpus
-    without cards has the hash of the empty text. The SQL still reads abstracts, cut at 200 characters.
+    without cards has the hash of the empty text.
     """
     filled = lambda c: F.coalesce(c, F.lit("")) != ""
     line = lambda c, label: F.when(filled(c), F.concat(F.lit(f"\n  {label}: "), c)).otherwise(F.lit(""))

@@ -203,7 +203,7 @@ def tree_clusters(spark, d):
 @query()
 def tree_clusters_similar(spark, d):
     """DOC-24, WIN-07, TRE-01 with vectors: long runs cut where neighbours are least alike."""
-    e = table(spark, d, "emb").filter("model = 'enc-base' and vec is not null and size(vec) = dim").dropDuplicates(["chunk_id"])
+    e = table(spark, d, "emb").filter("model = 'enc-base' and vec is not null and size(vec) = dim").groupBy("chunk_id").agg(F.min("vec").alias("vec"))
     return Tr.similar_clusters(chunks(spark, d, 0), e)
 
 

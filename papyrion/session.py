@@ -25,22 +25,42 @@ def build_session(cpus: int | str = "*", app: str = "papyrion", **conf: str) ->
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) is a folder of our own set.
+    Only where that is unset (tests, one machine) is a folder of our own set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "papyrion-checkpoint"))
+    where = sc._jsc.sc().getCheckpointDir()
+    if where.isDefined():
+        return where.get()
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "papyrion-checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder, so that a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system, with or without a scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def path_state(spark: SparkSession, path: str) -> str:
+    """Size, number of files and time of change of a path: what tells a rewritten table from the old one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    c, at = fs.getContentSummary(p), fs.getFileStatus(p)
+    return f"{at.getPath()}:{c.getLength()}:{c.getFileCount()}:{at.getModificationTime()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,16 +11,33 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 
-def labelled(df: DataFrame, text_col: str, labels: Column | None = None) -> DataFrame:
-    """(label, body) of ``<<<id>>> body`` runs; a text that stops in the middle keeps what it has.
+def labelled(df: DataFrame, text_col: str, labels: Column | str | None = None) -> DataFrame:
+    """(label, body) of labelled runs; a text that stops in the middle keeps what it has.
 
-    Without a closed set of labels every mark counts; with one, others stay part of the body.
+    Without a set of labels every ``<<<id>>>`` counts. With one (an array) a label is ``<<<id>>>`` with two
+    to four signs, or ``### id``, ``**id**`` or ``[id]`` on a line of its own, with a colon or without; what
+    is in no such form or not in the set stays part of the body, and of a label that comes twice the last
+    body counts. Null texts give nothing.
     """
-    mark = r"<<<?\s*([A-Za-z0-9_]+)\s*>>>?"
-    keys = F.regexp_extract_all(text_col, F.lit(mark), F.lit(1))
-    bodies = F.slice(F.split(text_col, mark), 2, 1_000_000)
-    out = df.select(*[c for c in df.columns if c != text_col], F.explode(F.arrays_zip(keys.alias("label"), bodies.alias("body"))).alias("x")).select(*[c for c in df.columns if c != text_col], F.col("x.label").alias("label"), F.trim("x.body").alias("body"))
-    return out if labels is None else out.filter(F.array_contains(labels, F.col("label")))
+    keep = [c for c in df.columns if c != text_col and not (isinstance(labels, str) and c == labels)]
+    if labels is None:
+        mark = r"<<<?\s*([A-Za-z0-9_]+)\s*>>>?"
+        keys = F.regexp_extract_all(text_col, F.lit(mark), F.lit(1))
+        bodies = F.slice(F.split(text_col, mark), 2, 1_000_000)
+        out = df.select(*keep, F.explode(F.arrays_zip(keys.alias("label"), bodies.alias("body"))).alias("x"))
+        return out.select(*keep, F.col("x.label").alias("label"), F.trim("x.body").alias("body"))
+    own = F.col(labels) if isinstance(labels, str) else labels
+    line = r"[ \t]*:?[ \t]*$"
+    form = rf"(?m)(?:[ \t]*<{{2,4}}[ \t]*([A-Za-z0-9_]+?)[ \t]*>{{2,4}}(?:[ \t]*:)?|^[ \t]*#{{1,6}}[ \t]*([A-Za-z0-9_]+?)_?{line}|^[ \t]*\*\*[ \t]*([A-Za-z0-9_]+?)[ \t]*\*\*{line}|^[ \t]*\[[ \t]*([A-Za-z0-9_]+?)[ \t]*\]{line})"
+    found = F.transform(F.arrays_zip(*(F.regexp_extract_all(text_col, F.lit(form), F.lit(g)).alias(f"g{g}") for g in range(1, 5))), lambda x: F.concat(x.g1, x.g2, x.g3, x.g4))
+    # runs are cut at every form; a form of no label is put back between its neighbours
+    x = df.filter(F.col(text_col).isNotNull()).select(*keep, own.alias("_own"), found.alias("_found"), F.split(text_col, form).alias("_pieces"), F.regexp_extract_all(text_col, F.lit(form), F.lit(0)).alias("_marks"))
+    known = F.transform("_found", lambda k, i: F.struct(i.alias("i"), k.alias("k"), F.array_contains("_own", k).alias("known")))
+    x = x.select(*keep, "_pieces", "_marks", F.filter(known, lambda s: s.known).alias("_k"))
+    nxt = lambda i: F.coalesce(F.get(F.col("_k"), i + 1)["i"], F.size("_marks"))
+    body = lambda s, i: F.array_join(F.transform(F.sequence(s.i, nxt(i) - 1), lambda j: F.concat(F.when(j == s.i, F.lit("")).otherwise(F.get(F.col("_marks"), j)), F.get(F.col("_pieces"), j + 1))), "")
+    out = x.select(*keep, F.posexplode(F.transform("_k", lambda s, i: F.struct(s.k.alias("label"), body(s, i).alias("body")))).alias("_i", "x"))
+    return out.groupBy(*keep, F.col("x.label").alias("label")).agg(F.btrim(F.max_by("x.body", "_i"), F.lit(" \t\n\r")).alias("body"))
 
 
 def _balanced(text: str) -> str | None:

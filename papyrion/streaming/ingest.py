@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrion.session import path_exists
+
 
 def windowed(events: DataFrame, ts: str, width: str, keys: list[str], late: str | None = None) -> DataFrame:
     """Counts and sums by tumbling window; on a stream ``late`` bounds the state."""
@@ -25,16 +25,17 @@ def sessions(events: DataFrame, ts: str, gap: str, key: str) -> DataFrame:
 def ingest_new(spark: SparkSession, source: str, target: str, checkpoint: str, key: str, schema: str, transform) -> None:
     """Reads what arrived since the last run, keeps keys that are not stored yet and appends them.
 
-    A restarted batch finds its keys stored and adds nothing: exactly once per key.
+    A restarted batch finds its keys stored and adds nothing: exactly once per key. Whether the target
+    exists is asked of its own file system, so a cluster path without a scheme counts, too.
     """
 
     def add(batch: DataFrame, _: int) -> None:
         rows = transform(batch.dropDuplicates([key]))
-        if os.path.exists(target) or "://" in target:
+        if path_exists(spark, target):
             try:
                 rows = rows.join(spark.read.parquet(target).select(key), key, "left_anti")
-            except Exception as e:  # noqa: BLE001 - nothing stored yet
-                if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            except Exception as e:  # noqa: BLE001 - a folder without rows yet
+                if "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
         rows.write.mode("append").parquet(target)
 

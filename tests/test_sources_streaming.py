@@ -16,6 +16,13 @@ def test_labelled(spark):
     assert [r.label for r in readers.labelled(df, "t", F.array(F.lit("b1"))).collect()] == ["b1"]
 
 
+def test_labels_of_a_closed_set_in_every_form(spark):
+    text = "lead\n### b1\nfirst <<<zz>>> stays in a\n**b12**:\nsecond\n[b1x]\nnot a label\n<<b2>>\nthird\n[b3] :\nlast, cut o"
+    df = spark.createDataFrame([(1, text, ["b1", "b12", "b2", "b3"]), (2, None, ["b1"]), (3, "none", ["b1"])], "k int, t string, ids array<string>")
+    got = {r.label: r.body for r in readers.labelled(df, "t", "ids").collect()}
+    assert got == {"b1": "first <<<zz>>> stays in a", "b12": "second\n[b1x]\nnot a label", "b2": "third", "b3": "last, cut o"}
+
+
 def test_bibliographic_readers(spark):
     feed = "<feed><entry><id>http://x/1</id><published>2021-03-04</published><title>A\n  title</title><summary>S</summary></entry><entry><title>B</title></entry></feed>"
     got = readers.atom_entries(spark.createDataFrame([(feed,)], "x string"), "x").collect()
