@@ -70,3 +70,13 @@ def line_gaps(spans: DataFrame) -> DataFrame:
     g = spans.withColumn("line", F.round("y0", 0)).withColumn("gap", F.round(F.col("x0") - F.lag("x1").over(w), 6)).filter("gap is not null")
     a = g.groupBy("doc", "page", "line").agg(F.array_sort(F.collect_list("gap")).alias("l"))
     return a.select("doc", "page", "line", F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("gap"), F.size("l").alias("n"))
+
+
+def page_stats(boxes: DataFrame) -> DataFrame:
+    """(doc, width, margins, gap): the modal width, up to six left margins of three boxes or more, and the upper median gap."""
+    w = boxes.groupBy("doc", F.round(F.col("x1") - F.col("x0"), 0).alias("w")).agg(F.count("*").alias("n")).groupBy("doc").agg(F.max_by("w", F.struct("n", -F.col("w"))).alias("width"))
+    m = boxes.groupBy("doc", F.round("x0", 0).alias("x")).agg(F.count("*").alias("n")).filter("n >= 3").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "x"))).alias("l"))
+    m = m.select("doc", F.slice(F.transform("l", lambda s: s.x), 1, 6).alias("margins"))
+    g = boxes.withColumn("gap", F.round(F.col("y0") - F.lag("y1").over(Window.partitionBy("doc", "page").orderBy("y0", "box_id")), 6)).filter("gap > 0")
+    g = g.groupBy("doc").agg(F.array_sort(F.collect_list("gap")).alias("l")).select("doc", F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("gap"))
+    return w.join(m, "doc", "left").join(g, "doc", "left").withColumn("margins", F.coalesce("margins", F.array().cast("array<double>")))

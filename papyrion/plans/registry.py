@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "ranking", "graphs", "structure", "checks", "editing")
+MODULES = ("relational", "ranking", "graphs", "structure", "checks", "editing", "layout")
 
 
 def _all(attr: str) -> dict:

@@ -92,7 +92,7 @@ def _refs(c: str) -> str:
 
 @query(f"SELECT doc_id, coalesce({_refs('text')}, false) AS refs FROM documents WHERE text IS NOT NULL")
 def reference_lists(spark, d):
-    """DOC-06, DOC-07: texts that are lists of references."""
+    """DOC-06: texts that are lists of references."""
     return table(spark, d, "documents").filter("text is not null").select("doc_id", B.looks_like_refs(F.col("text")).alias("refs"))
 
 
@@ -212,11 +212,3 @@ def summary_fallback(spark, d):
     """DOC-25, DOC-26: summaries from the starts of the children."""
     c = chunks(spark, d, 0)
     return Tr.summaries(c, Tr.fixed_clusters(c))
-
-
-@query(rf"""WITH x AS (SELECT doc_id, unnest(range(len(l)))::INTEGER AS pos, trim(unnest(l)) AS text FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n|\n') AS l FROM documents WHERE text IS NOT NULL))
-SELECT CAST(doc_id AS VARCHAR) AS doc, pos, CASE WHEN regexp_matches(text, '(?i)^\s*(figure|fig\.?|table|algorithm|listing)\s*\d+\s*([:.)\-–—]|$)') THEN 'caption' WHEN regexp_matches(text, '(?i)^\s*(\d+\s*\.?\s*)?(references?|bibliography|tài liệu tham khảo)\s*$') THEN 'heading'
-WHEN length(text) < 60 AND NOT regexp_matches(text, '[.!?:;,]$') AND regexp_matches(text, '^(\d+(\.\d+)*\.? )?[A-Z][^.,;:!?]*$') AND len(string_split(text, ' ')) <= 6 THEN 'heading' ELSE 'para' END AS type FROM x WHERE text <> ''""")
-def parse_text(spark, d):
-    """SRC-03, DOC-12: plain text as typed blocks."""
-    return B.text_blocks(table(spark, d, "documents"), "doc_id", "text").select("doc", "pos", "type")
