@@ -12,8 +12,12 @@ _NAME = "([A-Z][A-Za-zÀ-ỹ]+(?:-[A-Za-z0-9]+)?)"
 RELATIONS = (
     ("extends", _NAME + " extends " + _NAME + " with", 1, 2),
     ("builds_on", "Built on top of " + _NAME + ", " + _NAME + " adds", 2, 1),
-    ("compares_with", "reaches? [^.]*, compared with [0-9.,]+% for " + _NAME, 1, 1),
+    ("compares_with", _NAME + " (?:reaches|obtains) [0-9.,]+% [a-z ]+, compared with [0-9.,]+% for " + _NAME, 1, 2),
+    ("beats", "preferred " + _NAME + " over " + _NAME + " in", 1, 2),
+    ("measured_on", "On " + _NAME + ", " + _NAME + " reaches", 2, 1),
 )
+#: Relations that tell where a system comes from.
+LINEAGE = ("extends", "builds_on", "compares_with", "beats")
 
 
 def entity_id(survey, norm):
@@ -25,7 +29,7 @@ def edges_from_text(chunk: DataFrame, paper: DataFrame) -> DataFrame:
     """(survey_id, src, dst, rel, paper_id, chunk_id): relations the passages state, once each (src, dst, rel, paper)."""
     c = chunk.filter("level = 0 and text is not null").select(F.col("id").alias("chunk_id"), "paper_id", "text")
     found = None
-    for rel, pattern, s, t in RELATIONS[:2]:
+    for rel, pattern, s, t in RELATIONS:
         x = c.select("chunk_id", "paper_id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(s)).alias("s"), F.regexp_extract_all("text", F.lit(pattern), F.lit(t)).alias("t"))).alias("m"))
         x = x.select("chunk_id", "paper_id", F.col("m.s").alias("s"), F.col("m.t").alias("t"), F.lit(rel).alias("rel"))
         found = x if found is None else found.unionByName(x)
@@ -77,6 +81,6 @@ def overview(edges: DataFrame, entity: DataFrame, top: int) -> DataFrame:
 def lineage(edges: DataFrame, paper: DataFrame) -> DataFrame:
     """Which system came from which, in the order of years."""
     p = paper.select(F.col("id").alias("paper_id"), F.coalesce("year", F.lit(0)).alias("year"))
-    e = edges.filter(F.col("rel").isin("extends", "builds_on")).join(p, "paper_id", "left")
+    e = edges.filter(F.col("rel").isin(*LINEAGE)).join(p, "paper_id", "left")
     order = Window.partitionBy("survey_id").orderBy(F.coalesce("year", F.lit(0)), "src", "dst", "rel", "paper_id")
     return e.withColumn("step", F.row_number().over(order)).select("survey_id", "step", F.coalesce("src_name", F.lit("?")).alias("src_name"), F.coalesce("dst_name", F.lit("?")).alias("dst_name"), "rel", "paper_id")

@@ -24,9 +24,9 @@ def query(sql: str | None = None):
 
 _N = G._NAME
 _NORM = "left(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9À-ỹ ]+', ' ', 'g'), ' +', ' ', 'g')), 80)"
+_RAW = " UNION ALL ".join(f"SELECT id AS chunk_id, paper_id, unnest(regexp_extract_all(text, '{pattern}', {s})) AS s, unnest(regexp_extract_all(text, '{pattern}', {t})) AS t, '{rel}' AS rel FROM c WHERE level = 0 AND text IS NOT NULL" for rel, pattern, s, t in G.RELATIONS)
 EDGES = rf"""{PAPERS}, {CHUNKS},
-raw AS (SELECT id AS chunk_id, paper_id, unnest(regexp_extract_all(text, '{_N} extends {_N} with', 1)) AS s, unnest(regexp_extract_all(text, '{_N} extends {_N} with', 2)) AS t, 'extends' AS rel FROM c WHERE level = 0 AND text IS NOT NULL
- UNION ALL SELECT id, paper_id, unnest(regexp_extract_all(text, 'Built on top of {_N}, {_N} adds', 2)), unnest(regexp_extract_all(text, 'Built on top of {_N}, {_N} adds', 1)), 'builds_on' FROM c WHERE level = 0 AND text IS NOT NULL),
+raw AS ({_RAW}),
 nm AS (SELECT raw.*, p.survey_id, {_NORM.format("s")} AS sn, {_NORM.format("t")} AS tn FROM raw JOIN p ON p.id = raw.paper_id WHERE p.survey_id IS NOT NULL),
 e AS (SELECT survey_id, 'e' || left(sha256(survey_id || '|' || sn), 14) AS src, 'e' || left(sha256(survey_id || '|' || tn), 14) AS dst, rel, paper_id, min(chunk_id) AS chunk_id, min(s) AS src_name, min(t) AS dst_name
  FROM nm WHERE sn <> tn AND length(sn) > 2 AND length(tn) > 2 GROUP BY ALL),
@@ -104,7 +104,7 @@ def graph_overview(spark, d):
 
 
 @query(f"""WITH {EDGES} SELECT survey_id, row_number() OVER (PARTITION BY survey_id ORDER BY coalesce(y, 0), src, dst, rel, paper_id) AS step, src_name, dst_name, rel, paper_id
-FROM (SELECT e.*, p.year AS y FROM e LEFT JOIN p ON p.id = e.paper_id)""")
+FROM (SELECT e.*, p.year AS y FROM e LEFT JOIN p ON p.id = e.paper_id WHERE rel IN ({", ".join(f"'{r}'" for r in G.LINEAGE)}))""")
 def lineage(spark, d):
-    """JOIN-08, GRF-06: which system came from which, by year."""
+    """JOIN-08, GRF-06: which system came from which, by year; four of the relations say so."""
     return G.lineage(_edges(spark, d), papers(spark, d))
