@@ -116,3 +116,41 @@ def same_characters(a: Column, b: Column) -> Column:
 def hides_gap(answer: Column, open_questions: Column) -> Column:
     """Open questions and no word of it."""
     return (open_questions > 0) & ~answer.rlike(GAP)
+
+
+def read_gate(findings: DataFrame, batch: DataFrame) -> DataFrame:
+    """Findings (.., chunk, finding) that rest on a passage of the batch (chunk) and are not blank."""
+    return findings.filter(F.trim("finding") != "").join(batch, "chunk", "left_semi")
+
+
+def synthesis_warnings(approaches: DataFrame, evidence: DataFrame, passages: DataFrame, papers: DataFrame) -> DataFrame:
+    """(survey_id, kind, ref) of a synthesis: approaches (survey_id, name, id, falsify), evidence (survey_id, cite, claim),
+    passages (survey_id, cite, body), papers (survey_id, id, carded).
+
+    Cited passages must be the corpus' own, figures of a claim stand in its passage, papers exist, carded
+    papers are placed, an approach says what would refute it, and three approaches of one paper each are none.
+    """
+    out = lambda df, kind, ref: df.select("survey_id", F.lit(kind).alias("kind"), ref.cast("string").alias("ref")).distinct()
+    unknown = out(evidence.join(passages, ["survey_id", "cite"], "left_anti"), "unknown_chunk", F.col("cite"))
+    cited = evidence.join(passages, ["survey_id", "cite"]).withColumn("id", F.struct("survey_id", "cite"))
+    wrong = ungrounded_numbers(cited.select("id", F.col("claim").alias("text")), cited.select("id", F.col("body").alias("source")))
+    wrong = wrong.select("id.survey_id", F.lit("fabricated_number").alias("kind"), F.concat_ws(" ", "id.cite", "num").alias("ref")).distinct()
+    strange = out(approaches.join(papers, ["survey_id", "id"], "left_anti"), "unknown_paper", F.col("id"))
+    forgotten = out(papers.filter("carded").join(approaches, ["survey_id", "id"], "left_anti"), "forgotten_paper", F.col("id"))
+    bold = out(approaches.filter("falsify is null"), "no_falsifier", F.col("name"))
+    size = approaches.groupBy("survey_id", "name").agg(F.count_distinct("id").alias("n")).groupBy("survey_id").agg(F.count("*").alias("k"), F.max("n").alias("most"))
+    alone = out(size.filter("k >= 3 and most <= 1"), "not_grouped", F.lit(""))
+    every = unknown
+    for x in (wrong, strange, forgotten, bold, alone):
+        every = every.unionByName(x)
+    return every
+
+
+def year_conflicts(answers: DataFrame, papers: DataFrame, near: int = 60) -> DataFrame:
+    """(aid, id, year, said): papers (aid, id, title, year) whose title's start stands in their answer with other years around it only."""
+    p = papers.filter((F.length(F.trim("title")) >= 12) & (F.coalesce("year", F.lit(0)) != 0)).withColumn("head", F.left(F.trim("title"), F.lit(40)))
+    j = p.join(answers, "aid").withColumn("at", F.expr("instr(answer, head)"))
+    start = F.greatest(F.col("at") - near, F.lit(1))
+    around = F.substr("answer", start, F.length("head") + F.col("at") - start + near)
+    years = F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int")))
+    return j.filter("at > 0").withColumn("said", F.array_sort(years)).filter((F.size("said") > 0) & ~F.array_contains("said", F.col("year"))).select("aid", "id", "year", "said")

@@ -75,18 +75,6 @@ def script_leak(spark, d):
     return a.unionByName(b).filter(F.size("leak") > 0)
 
 
-@query(rf"""WITH {PAPERS}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\. ([^.\n]+)\. [^.\n]+, ((?:19|20)[0-9]{{2}})\.', 1)) AS t, unnest(regexp_extract_all(text, '\. ([^.\n]+)\. [^.\n]+, ((?:19|20)[0-9]{{2}})\.', 2)) AS y FROM documents WHERE text LIKE '%[1]%'),
-k AS (SELECT id, year, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS t FROM p WHERE length(title) >= 12 AND year IS NOT NULL)
-SELECT DISTINCT r.doc_id, k.id, CAST(r.y AS INTEGER) AS said, k.year FROM r JOIN k ON k.t = trim(regexp_replace(regexp_replace(lower(r.t), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) WHERE CAST(r.y AS INTEGER) <> k.year""")
-def year_mismatch(spark, d):
-    """VER-06: years printed with a paper's title that are not the stored one (equi-join on the title, no contains-join)."""
-    pat = F.lit(r"\. ([^.\n]+)\. [^.\n]+, ((?:19|20)[0-9]{2})\.")
-    m = F.arrays_zip(F.regexp_extract_all("text", pat, F.lit(1)).alias("t"), F.regexp_extract_all("text", pat, F.lit(2)).alias("y"))
-    r = table(spark, d, "documents").filter("text like '%[1]%'").select("doc_id", F.explode(m).alias("m")).select("doc_id", T.norm_title(F.col("m.t")).alias("t"), F.col("m.y").cast("int").alias("said"))
-    k = papers(spark, d).filter("length(title) >= 12 and year is not null").select("id", "year", T.norm_title(F.col("title")).alias("t"))
-    return r.join(k, "t").filter("said <> year").select("doc_id", "id", "said", "year").distinct()
-
-
 def _list(x) -> str:
     return "[" + ", ".join(f"'{i}'" for i in x) + "]"
 

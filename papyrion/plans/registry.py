@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "ranking", "graphs", "structure", "checks", "editing", "layout", "storing")
+MODULES = ("relational", "ranking", "graphs", "structure", "checks", "editing", "layout", "storing", "decks")
 
 
 def _all(attr: str) -> dict:
