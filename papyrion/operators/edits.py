@@ -64,18 +64,21 @@ def stale(outputs: DataFrame, changed: DataFrame) -> DataFrame:
     return outputs.join(c, "doc").filter(F.arrays_overlap("sources", "_ids")).drop("_ids")
 
 
-def first_mentions(blocks: DataFrame, terms: DataFrame, most_words: int = 3) -> DataFrame:
+def first_mentions(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, term, pos): each term at its first block, the longest term of a block; by equi-joins on word n-grams.
 
-    Terms of more than ``most_words`` words are not looked for.
+    Only n-grams of the lengths that terms have are made; a term's key has at most 80 characters, so at most 40 lengths.
     """
     w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9À-ỹ ]+", " "), " +"), lambda x: x != "")
     b = blocks.select("doc", "pos", w.alias("w"))
+    t = terms.withColumn("k", norm_name(F.col("term"))).filter("k <> ''")
+    lengths = sorted(r.n for r in t.select(F.size(F.split("k", " ")).alias("n")).distinct().collect())
     grams = None
-    for n in range(1, most_words + 1):
+    for n in lengths:
         g = b.filter(F.size("w") >= n).select("doc", "pos", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), _gram(n)))).alias("k"))
         grams = g if grams is None else grams.unionByName(g)
-    t = terms.withColumn("k", norm_name(F.col("term"))).filter("k <> ''")
+    if grams is None:
+        return b.select("doc", F.lit("").alias("term"), "pos").limit(0)
     hit = grams.join(t, "k").groupBy("doc", "term").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("doc", "pos").orderBy(F.desc(F.length("term")), "term")
     return hit.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

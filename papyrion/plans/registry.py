@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "ranking", "graphs", "structure", "checks", "editing", "layout", "storing", "decks", "exchanging")
+MODULES = ("relational", "ranking", "graphs", "structure", "checks", "editing", "layout", "storing", "decks", "exchanging", "shaped")
 
 
 def _all(attr: str) -> dict:
