@@ -19,6 +19,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from papyrion.llm.fold import latin
 from papyrion.session import spread
@@ -234,6 +235,37 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     return reduce(DataFrame.unionAll, parts).distinct()
 
 
+#: A stretch is taken out of a text if it has so many words, or is such a share of its item.
+REMOVED_WORDS, REMOVED_SHARE = 18, 0.5
+
+
+def cleaned(docs: DataFrame, items: DataFrame, hits: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, words: int = REMOVED_WORDS, share: float = REMOVED_SHARE) -> DataFrame:
+    """(document id, text, removed, coverage): documents with leaked stretches taken out.
+
+    A stretch goes if it has ``words`` words or is ``share`` of its item's words. ``removed`` counts the
+    stretches, ``coverage`` is the largest share of an item that the document held. Documents without a
+    leak give no row; overlapping stretches are taken out once. Of the documents only those with hits are
+    joined, and their stretches are at most one an item.
+    """
+    hits = leaked(docs, items, doc_id, text, item_id, item_text) if hits is None else hits
+    size = items.filter(items[item_text].isNotNull()).select(item_id, item_text).distinct().mapInArrow(_sizes, f"`{item_id}` {dict(items.dtypes)[item_id]}, size int").groupBy(item_id).agg(F.min("size").alias("size"))
+    h = hits.join(size, item_id).withColumn("_share", F.col("n_words") / F.greatest("size", F.lit(1))).filter((F.col("n_words") >= words) | (F.col("_share") >= share))
+    g = h.groupBy(doc_id).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("_spans"), F.count("*").alias("removed"), F.round(F.least(F.max("_share"), F.lit(1.0)), 4).alias("coverage"))
+    j = docs.select(doc_id, text).distinct().join(g, doc_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [without_spans(t, [(s["first_word"], s["n_words"]) for s in spans]) for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(3), b.column(4)], names=[doc_id, text, "removed", "coverage"])
+
+    return j.select(doc_id, text, "_spans", "removed", "coverage").mapInArrow(run, f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, `{text}` string, removed long, coverage double")
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(words_of(t)) for t in b.column(1).to_pylist()], pa.int32())], names=[b.schema.names[0], "size"])
+
+
 def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     """The text without the given (first word, words) stretches."""
     if not text or not spans:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrion.llm.align import sentence_pairs
-from papyrion.llm.leak import leaked
+from papyrion.llm.leak import cleaned, leaked
 from papyrion.llm.lookalike import look_classes, same_looking
 from papyrion.llm.pairs import broken_answers
 from papyrion.llm.scan import repaired, scan_noise
@@ -73,6 +73,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id").distinct()
 
 
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 9: leaking documents without the leaked stretches, beyond the limits of length or coverage."""
+    return cleaned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 10: keyword, link and tag pages."""
     return spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
@@ -86,6 +91,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_text": p7_text,
     "p9_found": p9_found,
+    "p9_clean": p9_clean,
     "p10_found": p10_found,
     "p8_ids": p8_ids,
 }

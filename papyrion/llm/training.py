@@ -17,6 +17,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_pieces(leaves).withColumnRenamed("item_id", "chunk_id")
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 3: the pieces of a passage without their overlaps are its text again, none beyond the limit."""
+    p = p3_pieces(spark, sf_dir).distinct()
+    own = F.substr("text", F.col("overlap") + 1)
+    g = p.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("t")))).alias("l"), F.max(F.length("text")).alias("longest"), F.max("overlap").alias("overlap"))
+    return g.select("chunk_id", F.sha2(F.array_join(F.transform("l", lambda x: x.t), ""), 256).alias("sha"), ((F.col("longest") <= 2200) & (F.col("overlap") <= 180)).alias("within"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 3: leaf passages that had to be cut."""
     return p3_pieces(spark, sf_dir).filter("n_pieces > 1").select("chunk_id").distinct()
@@ -44,6 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_rejoined": p3_rejoined,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
@@ -56,6 +65,7 @@ u AS (SELECT DISTINCT chunk_id, model, vec FROM emb
 
 SQL: dict[str, str] = {
     "p3_found": "SELECT DISTINCT id AS chunk_id FROM chunk WHERE level = 0 AND length(text) > 2200",
+    "p3_rejoined": "SELECT DISTINCT id AS chunk_id, sha256(text) AS sha, true AS within FROM chunk WHERE level = 0 AND text IS NOT NULL",
     "p5_found": f"""
 WITH {_USABLE},
 c AS (SELECT a.model, a.chunk_id AS a, b.chunk_id AS b,

@@ -80,3 +80,16 @@ def test_blocks_of_items(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = spark.createDataFrame([(i, t) for i, t in ITEMS], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in L.leaked(docs, items).collect()} >= {(i, i) for i, _ in ITEMS}
+
+
+def test_leaks_are_taken_out_by_length_or_coverage(spark):
+    from papyrion.llm.leak import cleaned
+
+    long, other = " ".join(VOC[:40]), " ".join(VOC[20:60])
+    items = spark.createDataFrame([(1, long), (2, other), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {long} after"), (1, f"before {long} after"), (2, "clean text"), (3, None), (4, "head " + " ".join(VOC[:20]) + " tail")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.removed, r.coverage) for r in cleaned(docs, items).collect()}
+    assert set(got) == {1, 4} and got[1][0].split() == ["before", "after"] and got[1][2] == 1.0 and got[1][1] == 2
+    assert got[4][0].split() == ["head", "tail"] and got[4][2] == 0.5
+    assert {r.doc_id for r in cleaned(docs, items, words=30, share=0.9).collect()} == {1}
+    assert cleaned(docs.limit(0), items).count() == 0
