@@ -90,7 +90,7 @@ def line_gaps(spark, d):
 
 @query(f"""WITH {BLOCKS} SELECT doc, id, CASE WHEN pos % 6 = 1 THEN false WHEN pos % 6 = 4 THEN true ELSE translate END AS translate, CASE WHEN pos % 10 = 3 THEN true ELSE coalesce(hidden, false) END AS hidden FROM bl WHERE pos % 7 <> 5""")
 def block_edits(spark, d):
-    """MUT-05, FLT-06: drop, skip, keep and hide blocks by a table of edits."""
+    """MUT-05: drop, skip, keep and hide blocks by a table of edits."""
     b = blocks(spark, d)
     rules = (("drop", 7, 5), ("skip", 6, 1), ("keep", 6, 4), ("hide", 10, 3))
     e = None
@@ -100,9 +100,12 @@ def block_edits(spark, d):
     return Ed.apply_flags(b, e).select("doc", "id", "translate", "hidden")
 
 
-@query()
+@query(rf"""WITH {BLOCKS}, m AS (SELECT *, CASE WHEN regexp_matches(ltrim(text), '^[a-zà-ỹ]') AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM bl WHERE type = 'para' WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+i AS (SELECT *, sum(1 - c) OVER (PARTITION BY doc ORDER BY pos) AS isle, lead(c, 1, 0) OVER (PARTITION BY doc ORDER BY pos) AS more, lead(text) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM m),
+t AS (SELECT *, CASE WHEN c = 1 THEN ltrim(text) ELSE text END AS own FROM i)
+SELECT doc, arg_min(id, pos) AS id, min(pos) AS pos, string_agg(CASE WHEN more = 0 THEN own WHEN regexp_matches(rtrim(own), '[A-Za-zÀ-ỹ]-$') AND regexp_matches(ltrim(nxt), '^[a-zà-ỹ]') THEN regexp_replace(rtrim(own), '-$', '') ELSE rtrim(own) || ' ' END, '' ORDER BY pos) AS text, count(*) AS n FROM t GROUP BY doc, isle""")
 def block_merge(spark, d):
-    """MUT-06, MUT-09: lower-case paragraphs joined to the block before."""
+    """MUT-06: lower-case paragraphs joined to the block before."""
     b = blocks(spark, d).filter("type = 'para'")
     return Ed.merge_into_previous(b, F.ltrim("text").rlike("^[a-zà-ỹ]"))
 
@@ -168,7 +171,7 @@ def slim_hits(spark, d):
     return chunks(spark, d).join(ids, "id", "left_semi").select("id", F.left("text", F.lit(600)).alias("hit"), F.left("text", F.lit(400)).alias("short"))
 
 
-@query()
+@query(f"WITH {CHUNKS}, l AS (SELECT id, paper_id, list_transform(children, lambda x: left(x, length(x) - 1)) AS l FROM c WHERE level > 0) SELECT paper_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS kept, id FROM l")
 def plan_repair(spark, d):
     """FLT-14, SET-03: lists without repeats in first order, cut to a cap."""
     return chunks(spark, d).filter("level > 0").select("paper_id", F.slice(F.array_distinct(F.transform("children", lambda x: F.left(x, F.length(x) - 1))), 1, 5).alias("kept"), "id")
@@ -177,7 +180,7 @@ def plan_repair(spark, d):
 
 @query(f"""WITH {CHUNKS}, k AS (SELECT kind, coalesce(section, '') AS section, count(*) AS n FROM c GROUP BY ALL) SELECT kind, section, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, section) AS r FROM k) WHERE r <= 24""")
 def top_by_kind(spark, d):
-    """AGG-20: the most frequent 24 of each kind."""
+    """The 24 most frequent sections of each kind of passage (AGG-20 itself: entities_by_kind)."""
     k = chunks(spark, d).groupBy("kind", F.coalesce("section", F.lit("")).alias("section")).agg(F.count("*").alias("n"))
     return k.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "section"))).filter("r <= 24").drop("r")
 
@@ -185,7 +188,7 @@ def top_by_kind(spark, d):
 @query(f"""WITH {CHUNKS}, o AS (SELECT * FROM c WHERE level = 0 AND ord <= 3), n AS (SELECT id, 'new' AS text FROM c WHERE level = 0 AND ord = 2 UNION ALL SELECT id, 'new' FROM c WHERE level = 0 AND ord = 4)
 SELECT id, text FROM n UNION ALL SELECT id, text FROM o WHERE id NOT IN (SELECT id FROM n)""")
 def keyed_replace(spark, d):
-    """SNK-01, SNK-10, UPS-04, SRC-14: rows replaced by key, others kept, new ones added."""
+    """SNK-01: rows replaced by key, others kept, new ones added."""
     c = chunks(spark, d, 0)
     new = c.filter("ord = 2 or ord = 4").select("id", F.lit("new").alias("text"))
     return C.replace_by_key(c.filter("ord <= 3").select("id", "text"), new, "id")
@@ -208,16 +211,16 @@ def section_figures(spark, d):
     return h.join(fig, ["doc", "sec"], "left").select("doc", "sec", "fig", "total")
 
 
-@query(f"WITH {BLOCKS} SELECT doc, pos FROM (SELECT doc, pos, row_number() OVER (PARTITION BY doc, lower(trim(text)) ORDER BY pos) AS r FROM bl WHERE type = 'caption') WHERE r > 1")
+@query(f"WITH {BLOCKS} SELECT doc, pos FROM (SELECT doc, pos, row_number() OVER (PARTITION BY doc, lower(regexp_extract(text, '^(\\w+ \\d+|.{{0,12}})', 1)) ORDER BY pos) AS r FROM bl WHERE type IN ('caption', 'heading')) WHERE r > 1")
 def repeated_figures(spark, d):
-    """WIN-11: captions that came earlier in the document."""
-    w = Window.partitionBy("doc", F.lower(F.trim("text"))).orderBy("pos")
-    return blocks(spark, d).filter("type = 'caption'").withColumn("r", F.row_number().over(w)).filter("r > 1").select("doc", "pos")
+    """WIN-11: figures and headings whose label came earlier in the document."""
+    w = Window.partitionBy("doc", F.lower(F.regexp_extract("text", r"^(\w+ \d+|.{0,12})", 1))).orderBy("pos")
+    return blocks(spark, d).filter("type in ('caption', 'heading')").withColumn("r", F.row_number().over(w)).filter("r > 1").select("doc", "pos")
 
 
 @query(rf"""WITH {BLOCKS}, n AS (SELECT doc, pos, TRY_CAST(regexp_extract(text, '^(\d+)\.?\s+[A-Z]', 1) AS INTEGER) AS k FROM bl WHERE type = 'heading'), l AS (SELECT *, lag(k) OVER (PARTITION BY doc ORDER BY pos) AS p FROM n WHERE k IS NOT NULL) SELECT doc, pos, k, coalesce(k = p + 1, false) AS follows FROM l""")
 def heading_numbers(spark, d):
-    """WIN-12: numbered headings that follow the one before."""
+    """Numbered headings that follow the one before (WIN-12 itself: list_items)."""
     n = blocks(spark, d).filter("type = 'heading'").select("doc", "pos", F.expr(r"try_cast(regexp_extract(text, '^(\\d+)\\.?\\s+[A-Z]', 1) AS int)").alias("k")).filter("k is not null")
     return n.select("doc", "pos", "k", F.coalesce(F.col("k") == F.lag("k").over(Window.partitionBy("doc").orderBy("pos")) + 1, F.lit(False)).alias("follows"))
 

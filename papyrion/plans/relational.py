@@ -138,10 +138,13 @@ def vectors_of_model(spark, d):
     return e.join(chunks(spark, d), "id").join(p, "paper_id").select(F.col("id").alias("chunk_id"), "paper_id", "survey_id")
 
 
-@query(f"WITH {PAPERS} SELECT survey_id, sha256, min(id) AS first_id, count(*) AS n FROM p WHERE sha256 IS NOT NULL GROUP BY survey_id, sha256 HAVING count(*) > 1")
+@query(f"""WITH {PAPERS}, f AS (SELECT survey_id, id, sha256 FROM p UNION ALL SELECT survey_id, id || 'b', sha256 FROM p WHERE id LIKE '%9' OR id LIKE '%4')
+SELECT survey_id, sha256, min(id) AS first_id, count(*) AS n FROM f WHERE sha256 IS NOT NULL GROUP BY survey_id, sha256 HAVING count(*) > 1""")
 def dup_by_sha(spark, d):
-    """REL-31: the same file under several papers of a corpus."""
-    return papers(spark, d).filter("sha256 is not null").groupBy("survey_id", "sha256").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    """REL-31: the same file under several papers of a corpus (some are put in again here under a new id)."""
+    p = papers(spark, d).select("survey_id", "id", "sha256")
+    f = p.unionByName(p.filter("id like '%9' or id like '%4'").withColumn("id", F.concat("id", F.lit("b"))))
+    return f.filter("sha256 is not null").groupBy("survey_id", "sha256").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
 
 
 @query(r"""WITH w AS (SELECT DISTINCT sha256(trim(regexp_replace(src, '[ \t\n\r\f]+', ' ', 'g'))) || '|' || 'lingua-mini' AS key FROM tm WHERE src IS NOT NULL),
@@ -230,7 +233,7 @@ def integrity(spark, d):
 @query(f"""WITH {PAPERS}, {CHUNKS}, gone AS (SELECT id FROM p WHERE status = 'failed'), left_c AS (SELECT * FROM c WHERE paper_id NOT IN (SELECT id FROM gone))
 SELECT (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM gone)) AS papers, (SELECT count(*) FROM left_c) AS chunks, (SELECT count(*) FROM (SELECT DISTINCT chunk_id, model FROM emb) e WHERE EXISTS (SELECT 1 FROM left_c l WHERE l.id = e.chunk_id)) AS vectors""")
 def drop_cascade(spark, d):
-    """MUT-01: dropping papers takes their passages and vectors along."""
+    """MUT-01: dropping papers takes their passages and vectors along (their entities: graph_after_drop)."""
     p = papers(spark, d)
     gone = p.filter("status = 'failed'").select(F.col("id").alias("paper_id"))
     kept = p.join(gone, p.id == gone.paper_id, "left_anti")
@@ -242,7 +245,7 @@ def drop_cascade(spark, d):
 
 @query(f"""WITH {PAPERS} SELECT id, substr(sha256('sv001' || '|' || id), 1, 14) AS new_id FROM p WHERE survey_id = 'sv002' AND (sha256 IS NULL OR sha256 NOT IN (SELECT sha256 FROM p WHERE survey_id = 'sv001' AND sha256 IS NOT NULL))""")
 def move_rekey(spark, d):
-    """MUT-02: papers moved to another corpus get new ids; the same file there stops a move."""
+    """Ids for papers of another corpus; the same file there stops a move (MUT-02 itself: graph_after_move, edges_after_move)."""
     p = papers(spark, d)
     there = p.filter("survey_id = 'sv001' and sha256 is not null").select("sha256")
     moved = p.filter("survey_id = 'sv002'").join(there, "sha256", "left_anti")

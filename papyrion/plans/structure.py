@@ -135,11 +135,14 @@ def stitch_runs(spark, d):
     return B.stitch_hyphenated(blocks(spark, d))
 
 
-@query(rf"""WITH {BLOCKS}, x AS (SELECT *, lag(type) OVER (PARTITION BY doc ORDER BY pos) AS before, max(CASE WHEN type <> 'equation' THEN pos END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pp FROM bl)
-SELECT x.doc, x.pos FROM x JOIN bl q ON q.doc = x.doc AND q.pos = x.pp WHERE x.type = 'para' AND regexp_matches(ltrim(x.text), '^[a-zà-ỹ]') AND x.before = 'equation' AND q.type = 'para' AND trim(q.text) <> '' AND NOT regexp_matches(rtrim(q.text), '[.!?:;)\]"''’”]\s*$')""")
+@query(rf"""WITH {BLOCKS}, q0 AS (SELECT doc, pos, CASE WHEN pos % 5 = 2 THEN 'equation' ELSE type END AS type, CASE WHEN pos % 5 = 1 THEN regexp_replace(text, '[.!?]+\s*$', '') WHEN pos % 5 = 3 THEN lower(text) ELSE text END AS text FROM bl), x AS (SELECT *, lag(type) OVER (PARTITION BY doc ORDER BY pos) AS before, max(CASE WHEN type <> 'equation' THEN pos END) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pp FROM q0)
+SELECT x.doc, x.pos FROM x JOIN q0 q ON q.doc = x.doc AND q.pos = x.pp WHERE x.type = 'para' AND regexp_matches(ltrim(x.text), '^[a-zà-ỹ]') AND x.before = 'equation' AND q.type = 'para' AND trim(q.text) <> '' AND NOT regexp_matches(rtrim(q.text), '[.!?:;)\]"''’”]\s*$')""")
 def mark_continuations(spark, d):
-    """WIN-14: paragraphs that go on after an equation."""
-    return B.continuations(blocks(spark, d))
+    """WIN-14: paragraphs that go on after an equation (equations are put between paragraphs here)."""
+    pos = F.col("pos") % 5
+    text = F.when(pos == 1, F.regexp_replace("text", r"[.!?]+\s*$", "")).when(pos == 3, F.lower("text")).otherwise(F.col("text"))
+    b = blocks(spark, d)
+    return B.continuations(b.withColumn("type", F.when(pos == 2, "equation").otherwise(F.col("type"))).withColumn("text", text))
 
 
 @query(f"""WITH {BLOCKS} SELECT doc, pos, last_value(CASE WHEN type IN ('para', 'caption') THEN id END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before,
