@@ -21,6 +21,10 @@ BUCKETS = 64
 LISTED_TERMS = 10_000
 
 
+#: What is stored; given when it is read, since an empty table leaves no file to tell.
+POSTINGS, TERMS = "id string, term string, f double, len int, bucket int", "bucket int, term string, df long"
+
+
 def folder(spark: SparkSession, table_path: str, weights: dict[str, float] = WEIGHTS) -> str:
     """Where the index of a table's present state lies."""
     state = path_state(spark, table_path) + repr(sorted(weights.items()))
@@ -34,9 +38,9 @@ def bucket(term):
 def build(chunk: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) -> None:
     """Writes (bucket, term, id, f, len), (bucket, term, df) and the totals; the totals last, as a sign that all is there."""
     terms = doc_terms(chunk, weights)
-    post = postings(terms).withColumn("bucket", bucket(F.col("term")))
+    post = postings(terms).select(F.col("id").cast("string").alias("id"), "term", F.col("f").cast("double").alias("f"), F.col("len").cast("int").alias("len"), bucket(F.col("term")).alias("bucket"))
     post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stored = chunk.sparkSession.read.parquet(f"{path}/postings")
+    stored = chunk.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
     stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
     terms.agg(F.count("*").alias("docs"), F.avg("len").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
 
@@ -54,7 +58,7 @@ def scored(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
     q = query_terms(questions)
     terms = q.select("term", bucket(F.col("term")).alias("bucket")).distinct()
     listed = [(r.term, r.bucket) for r in terms.limit(LISTED_TERMS + 1).collect()]
-    post, df = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    post, df = spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(TERMS).parquet(f"{path}/terms")
     if len(listed) <= LISTED_TERMS:
         names, where = [t for t, _ in listed], sorted({b for _, b in listed})
         post = post.filter(F.col("bucket").isin(where) & F.col("term").isin(names))

@@ -91,7 +91,7 @@ def term_counts(spark, d):
 def index_terms(spark, d):
     """MEM-05, JOIN-02: document frequencies as the stored index has them."""
     path = Ix.ready(spark, f"{d}/chunk.parquet", chunks(spark, d))
-    return spark.read.parquet(f"{path}/terms").select("term", "df")
+    return spark.read.schema(Ix.TERMS).parquet(f"{path}/terms").select("term", "df")
 
 
 @query(f"WITH {CHUNKS} SELECT (SELECT count(*) FROM c) AS passages, (SELECT count(*) FROM c) - (SELECT count(*) FROM c WHERE {' + '.join(f'len({_terms(x)})' for x in _W)} > 0) AS without_terms, 0 AS orphans")
@@ -99,7 +99,7 @@ def reindex_audit(spark, d):
     """MEM-05: passages the index does not hold (those without a term) and postings of no passage, by anti-joins both ways."""
     c = chunks(spark, d)
     path = Ix.ready(spark, f"{d}/chunk.parquet", c)
-    held = spark.read.parquet(f"{path}/postings").select("id").distinct()
+    held = spark.read.schema(Ix.POSTINGS).parquet(f"{path}/postings").select("id").distinct()
     one = [x.withColumn("_1", F.lit(1)) for x in (c.agg(F.count("*").alias("passages")), c.join(held, "id", "left_anti").agg(F.count("*").alias("without_terms")), held.join(c, "id", "left_anti").agg(F.count("*").cast("int").alias("orphans")))]
     return one[0].join(one[1], "_1").join(one[2], "_1").drop("_1")
 
