@@ -154,3 +154,15 @@ def year_conflicts(answers: DataFrame, papers: DataFrame, near: int = 60) -> Dat
     around = F.substr("answer", start, F.length("head") + F.col("at") - start + near)
     years = F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int")))
     return j.filter("at > 0").withColumn("said", F.array_sort(years)).filter((F.size("said") > 0) & ~F.array_contains("said", F.col("year"))).select("aid", "id", "year", "said")
+
+
+#: Times of day and lengths of time, whose digits are no figures (fixed value).
+TIMES = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?"
+
+
+def lecture_warnings(claims: DataFrame, sources: DataFrame, cited: DataFrame) -> DataFrame:
+    """(doc, kind, ref): figures of claims (id, text) that their source (id, source) does not hold, and citations (doc, cite) of no source."""
+    wrong = ungrounded_numbers(claims.select("id", F.regexp_replace("text", TIMES, " ").alias("text")), sources)
+    a = wrong.select(F.col("id").alias("doc"), F.lit("fabricated_number").alias("kind"), F.col("num").alias("ref")).distinct()
+    b = cited.join(sources.select(F.col("id").alias("cite")), "cite", "left_anti").select("doc", F.lit("unknown_source").alias("kind"), F.col("cite").alias("ref"))
+    return a.unionByName(b)

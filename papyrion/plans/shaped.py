@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from papyrion.operators import blocks as B
 from papyrion.operators import shaping as Sh
 from papyrion.operators import verify as V
-from papyrion.plans.checks import _lints
+from papyrion.plans.checks import _lints, _norm, _nums
 from papyrion.plans.decks import DECK, _deck
 from papyrion.plans.editing import BOXES, _boxes
 from papyrion.plans.relational import CHUNKS, PAPERS, chunks, papers
@@ -149,3 +149,33 @@ def table_scans(spark, d):
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
+
+
+@query(rf"""WITH {_LECT}, tx AS (SELECT doc, name, CASE name WHEN 'compare' THEN x || ' ' || upper(left(x, 3)) ELSE x END AS text FROM le WHERE name IN ('prereq', 'compare', 'limits') UNION ALL SELECT doc, name, text FROM ls WHERE name = 'evidence'),
+sp AS (SELECT tx.doc AS id, tx.name, regexp_replace(tx.text || CASE WHEN ls.ord % 5 = 0 THEN ' at 00:12:30 we saw 4321.5 of it' ELSE '' END, '\d{{1,3}}:\d{{2}}(?::\d{{2}})?(?:[.,]\d+)?', ' ', 'g') AS text FROM tx JOIN ls ON ls.doc = tx.doc),
+cl AS (SELECT DISTINCT id, {_norm("num")} AS num FROM ({_nums("sp", "text")}) WHERE num <> ''), own AS (SELECT id, coalesce(text, '') || ' ' || coalesce(vi, '') AS body FROM c), sz AS (SELECT id, regexp_extract(tok, '^[0-9]+([.,][0-9]+)*', 0) AS num FROM (SELECT id, unnest(regexp_extract_all(body, '[\p{{L}}\p{{M}}\p{{N}}_.,]+')) AS tok FROM own) WHERE regexp_matches(tok, '^[0-9]')),
+s1 AS (SELECT id, {_norm("num")} AS num FROM sz UNION SELECT id, regexp_replace(num, '[.,]', '', 'g') FROM sz WHERE contains(num, '.') OR contains(num, ','))
+SELECT id AS doc, 'fabricated_number' AS kind, num AS ref FROM cl WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.id = cl.id AND s1.num = cl.num)
+UNION ALL SELECT doc, 'unknown_source', doc || 'zz' FROM ls WHERE ord % 6 = 0""")
+def lecture_checks(spark, d):
+    """VER-11: a lecture's claims against its paper: figures it does not hold (times of day are none), sources that do not exist (some of both are put in)."""
+    c = chunks(spark, d, 0).filter("text is not null")
+    lec = _lecture(spark, d)
+    claims = Sh.lecture_texts(lec).filter(F.col("name").isin("evidence", "compare", "limits", "prereq", "check")).join(c.select(F.col("id").alias("doc"), "ord"), "doc")
+    spoilt = F.concat("text", F.when(F.col("ord") % 5 == 0, F.lit(" at 00:12:30 we saw 4321.5 of it")).otherwise(""))
+    sources = chunks(spark, d).select("id", F.concat_ws(" ", F.coalesce("text", F.lit("")), F.coalesce("vi", F.lit(""))).alias("source"))
+    cited = c.select(F.col("id").alias("doc"), F.when(F.col("ord") % 6 == 0, F.concat("id", F.lit("zz"))).otherwise(F.col("id")).alias("cite"))
+    return V.lecture_warnings(claims.select(F.col("doc").alias("id"), spoilt.alias("text")), sources, cited)
+
+
+@query(f"""WITH {PAPERS}, {CHUNKS}, r AS (SELECT item_id, item_id % 24 AS k FROM eval_item WHERE item_id % 3 <> 0) SELECT s.id AS survey_id, (SELECT count(*) FROM p WHERE p.survey_id = s.id) AS papers, (SELECT count(*) FROM c JOIN p ON p.id = c.paper_id WHERE p.survey_id = s.id) AS chunks,
+(SELECT count(*) FROM r WHERE r.k = CAST(substr(s.id, 3) AS BIGINT) % 24) AS runs, CAST(substr(s.id, 3) AS BIGINT) % 3 = 0 AS has_synth FROM survey s""")
+def corpus_overview(spark, d):
+    """AGG-02, AGG-03: papers, passages, runs and whether there is a synthesis, corpus by corpus (runs and syntheses are drawn from the test items)."""
+    p = papers(spark, d).select(F.col("id").alias("paper_id"), "survey_id")
+    n = chunks(spark, d).groupBy("paper_id").agg(F.count("*").alias("n"))
+    per = p.join(n, "paper_id", "left").groupBy("survey_id").agg(F.count("*").alias("papers"), F.sum(F.coalesce("n", F.lit(0))).alias("chunks"))
+    runs = table(spark, d, "eval_item").filter("item_id % 3 <> 0").groupBy((F.col("item_id") % 24).alias("k")).agg(F.count("*").alias("runs"))
+    k = F.substring("survey_id", 3, 10).cast("long")
+    s = table(spark, d, "survey").select(F.col("id").alias("survey_id")).withColumn("k", k % 24)
+    return s.join(per, "survey_id", "left").join(runs, "k", "left").select("survey_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("papers", "chunks", "runs")), (k % 3 == 0).alias("has_synth"))
