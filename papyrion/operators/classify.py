@@ -196,3 +196,46 @@ def page_furniture(items: DataFrame, edge: float = 0.09) -> DataFrame:
     often = x.filter(F.col("_edge") & ~F.col("text").rlike(JOURNAL) & (F.length("_key") > 3)).groupBy("doc", "_key").agg(F.count_distinct("page").alias("n")).filter("n >= 2").select("doc", "_key")
     by_key = x.join(often, ["doc", "_key"], "left_semi").select("doc", "id")
     return by_key.unionByName(x.filter(F.col("_edge") & F.col("text").rlike(JOURNAL)).select("doc", "id")).distinct()
+
+
+#: What begins a footnote, what only the head of a first page says, levels of appendices, ends and beginnings within a sentence (fixed values).
+FOOTNOTE = r"^\s*(?:[*†‡§¶]|\d{1,2}[A-Z])"
+AUTHORY = r"(?i)@|\b(university|universit[ée]|institute|research|labs?|inc\.|corp\.|google|microsoft|meta|openai|deepmind|college|school of|department)\b"
+APPENDIX_LEVEL = r"^\s*(\d+(?:\.\d+)*)"
+CLOSED = r"[.!?:;]['\")\]]?$"
+GOES_ON = r"^[a-z0-9(\[)\]]"
+
+
+def blocks_of_items(items: DataFrame) -> DataFrame:
+    """(doc, pos, type, text, section, level, translate) of laid-out items (doc, pos, page, page_h, y0, size, modal, bold, body, marker, text).
+
+    What is no text goes (page numbers, stamps, short labels of pictures); footnotes and the head of the
+    first page are meta; a references heading opens the list that an appendix closes; then captions,
+    formulas and headings. A paragraph that goes on within a sentence is joined to the one before, unless
+    either is an item of a list. Rules are one CASE, latches and joins windows over a document.
+    """
+    t = F.col("text")
+    w = Window.partitionBy("doc").orderBy("pos")
+    h = F.coalesce("page_h", F.lit(792.0))
+    x = items.filter((F.trim(F.coalesce(t, F.lit(""))) != "") & (F.col("body") | (words_in(t) > 12)) & ~t.rlike(PAGE_ONLY) & ~t.rlike(STAMP))
+    x = x.withColumn("rel", F.when(F.col("modal") > 0, F.col("size") / F.col("modal")).otherwise(1.0))
+    seen = F.max(F.startswith(F.ltrim(F.lower(t)), F.lit("abstract")).cast("int")).over(w) == 1
+    note = (F.col("y0") > h * 0.80) & t.rlike(FOOTNOTE) & (F.length(t) < 400)
+    front = ~seen & (F.col("page") == 0) & (t.rlike(AUTHORY) | ((F.length(t) < 60) & (words_in(t) <= 6)))
+    x = x.withColumn("_meta", note | front).withColumn("_start", ~F.col("_meta") & t.rlike(REFERENCES)).withColumn("_app", ~F.col("_meta") & ~F.col("_start") & (F.col("rel") >= 1.02) & appendix_head(t))
+    event = F.when(F.col("_start"), 1).when(F.col("_app"), 0)
+    inside = F.coalesce(F.last(event, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    x = x.withColumn("_in", inside).withColumn("_app", F.col("_app") & F.col("_in"))
+    level = heading_level(t, F.col("rel"), F.col("bold"))
+    kind = F.when(F.col("_meta"), "meta").when(F.col("_start") | F.col("_app"), "heading").when(F.col("_in"), "reference").when(t.rlike(CAPTION), "caption").when(mathy(t), "equation").when(level > 0, "heading").otherwise("para")
+    dots = F.length(F.regexp_replace(F.regexp_extract(t, APPENDIX_LEVEL, 1), r"[^.]", ""))
+    x = x.withColumn("type", kind).withColumn("level", F.when(F.col("type") != "heading", 0).when(F.col("_start"), 1).when(F.col("_app"), F.least(dots + 1, F.lit(3))).otherwise(level))
+    head = F.coalesce(F.last(F.when(F.col("type") == "heading", t), True).over(w), F.lit(""))
+    x = x.withColumn("section", F.when(F.col("type") == "reference", "References").when(F.col("_meta") & (F.col("page") == 0), "").otherwise(head))
+    before = lambda c: F.lag(c).over(w)
+    joins = (F.col("type") == "para") & (before("type") == "para") & (before("section") == F.col("section")) & (F.col("marker") == "") & (before("marker") == "") & ~before("text").rlike(CLOSED) & t.rlike(GOES_ON)
+    x = x.withColumn("_c", F.coalesce(joins, F.lit(False)).cast("int")).withColumn("_i", F.sum(1 - F.col("_c")).over(w))
+    translate = F.col("type").isin("para", "caption") | ((F.col("type") == "heading") & ~F.col("_start"))
+    g = x.groupBy("doc", "_i").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "type", "section", "level", translate.alias("translate")))).alias("l"))
+    one = F.element_at("l", 1)
+    return g.select("doc", one["pos"].alias("pos"), one["type"].alias("type"), F.array_join(F.transform("l", lambda i: i.text), " ").alias("text"), one["section"].alias("section"), one["level"].alias("level"), one["translate"].alias("translate")).filter(F.length("text") > 1)

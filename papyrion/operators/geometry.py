@@ -80,3 +80,30 @@ def page_stats(boxes: DataFrame) -> DataFrame:
     g = boxes.withColumn("gap", F.round(F.col("y0") - F.lag("y1").over(Window.partitionBy("doc", "page").orderBy("y0", "box_id")), 6)).filter("gap > 0")
     g = g.groupBy("doc").agg(F.array_sort(F.collect_list("gap")).alias("l")).select("doc", F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("gap"))
     return w.join(m, "doc", "left").join(g, "doc", "left").withColumn("margins", F.coalesce("margins", F.array().cast("array<double>")))
+
+
+#: Share of a page's width around its middle, share of runs that may cross it, line gaps within a paragraph (fixed values).
+SLACK, CROSSING, WITHIN = 0.02, 0.10, 1.6
+
+
+def loose_paragraphs(spans: DataFrame) -> DataFrame:
+    """(doc, page, col, para, y0, text, lines): runs that no box holds as paragraphs, of (doc, page, page_w, span_id, x0, y0, x1, y1, text).
+
+    A page has two columns where hardly any run crosses its middle and both sides hold some; then runs of one
+    height are lines, and lines closer than 1.6 heights one paragraph.
+    """
+    mid, slack = F.col("page_w") / 2, F.col("page_w") * SLACK
+    w = Window.partitionBy("doc", "page")
+    cross = F.count_if((F.col("x0") < mid - slack) & (F.col("x1") > mid + slack)).over(w)
+    left, right = F.count_if(F.col("x1") <= mid).over(w), F.count_if(F.col("x0") >= mid).over(w)
+    two = (cross <= F.greatest(F.lit(2.0), F.count("*").over(w) * CROSSING)) & (left > 0) & (right > 0)
+    s = spans.withColumn("_two", two).withColumn("col", F.when(F.col("_two") & ((F.col("x0") + F.col("x1")) / 2 >= mid), 1).otherwise(0))
+    rows = s.groupBy("doc", "page", "col", F.round("y0", 0).alias("line")).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.array_sort(F.collect_list(F.struct("x0", "span_id", "text"))).alias("l"))
+    rows = rows.withColumn("text", F.array_join(F.transform("l", lambda x: x.text), " "))
+    v = Window.partitionBy("doc", "page", "col").orderBy("y0", "line")
+    h = F.col("y1") - F.col("y0")
+    gap = F.col("y0") - F.lag("y1").over(v)
+    near = (gap >= 0) & (gap <= F.greatest(h, F.lag(h).over(v)) * WITHIN)
+    rows = rows.withColumn("_n", (~F.coalesce(near, F.lit(False))).cast("int")).withColumn("para", F.sum("_n").over(v))
+    g = rows.groupBy("doc", "page", "col", "para").agg(F.array_sort(F.collect_list(F.struct("y0", "line", "text"))).alias("l"), F.min("y0").alias("y0"))
+    return g.select("doc", "page", "col", "para", "y0", F.array_join(F.transform("l", lambda x: x.text), " ").alias("text"), F.size("l").alias("lines"))

@@ -202,3 +202,55 @@ def page_stats(spark, d):
     from papyrion.plans.editing import _boxes
 
     return G.page_stats(_boxes(spark, d))
+
+
+_AUTHORY = K.AUTHORY.replace("'", "''")
+
+
+@query(rf"""WITH {LINES}, i0 AS (SELECT doc_id AS doc, pos, pos // 12 AS page, (pos % 12) * 66.0 AS y0, 9.0 + (pos % 5) * 0.5 AS size, pos % 3 = 0 AS bold, pos % 10 <> 9 AS body, CASE WHEN pos % 13 = 5 THEN '•' ELSE '' END AS marker, text FROM ln),
+i1 AS (SELECT *, size / 10.0 AS rel FROM i0 WHERE trim(text) <> '' AND (body OR {_words('text')} > 12) AND NOT regexp_matches(text, '{K.PAGE_ONLY}') AND NOT regexp_matches(text, '{K.STAMP}')),
+i2 AS (SELECT *, (y0 > 792.0 * 0.80 AND regexp_matches(text, '{K.FOOTNOTE}') AND length(text) < 400) OR (NOT (max(CASE WHEN starts_with(ltrim(lower(text)), 'abstract') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) = 1) AND page = 0 AND (regexp_matches(text, '{_AUTHORY}') OR (length(text) < 60 AND {_words('text')} <= 6))) AS me FROM i1),
+i3 AS (SELECT *, NOT me AND regexp_matches(text, '{K.REFERENCES}') AS st FROM i2), i4 AS (SELECT *, NOT me AND NOT st AND rel >= 1.02 AND {_appendix('text')} AS ap FROM i3),
+i5 AS (SELECT *, coalesce(last_value(CASE WHEN st THEN 1 WHEN ap THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS inr FROM i4), i6 AS (SELECT * REPLACE (ap AND inr AS ap), {_level('text', 'rel', 'bold')} AS lv FROM i5),
+i7 AS (SELECT *, CASE WHEN me THEN 'meta' WHEN st OR ap THEN 'heading' WHEN inr THEN 'reference' WHEN regexp_matches(text, '(?i)^\s*(figure|fig\.?|table|algorithm|listing)\s*\d+\s*([:.)\-–—]|$)') THEN 'caption' WHEN {_mathy('text')} THEN 'equation' WHEN lv > 0 THEN 'heading' ELSE 'para' END AS type FROM i6),
+i8 AS (SELECT *, CASE WHEN type <> 'heading' THEN 0 WHEN st THEN 1 WHEN ap THEN least(length(regexp_replace(regexp_extract(text, '{K.APPENDIX_LEVEL}', 1), '[^.]', '', 'g')) + 1, 3) ELSE lv END AS level,
+ CASE WHEN type = 'reference' THEN 'References' WHEN me AND page = 0 THEN '' ELSE coalesce(last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos), '') END AS section FROM i7),
+i9 AS (SELECT *, CASE WHEN type = 'para' AND lag(type) OVER w = 'para' AND lag(section) OVER w = section AND marker = '' AND lag(marker) OVER w = '' AND NOT regexp_matches(lag(text) OVER w, '[.!?:;][''")\]]?$') AND regexp_matches(text, '{K.GOES_ON}') THEN 1 ELSE 0 END AS c FROM i8 WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+ia AS (SELECT *, sum(1 - c) OVER (PARTITION BY doc ORDER BY pos) AS isle FROM i9)
+SELECT doc, min(pos) AS pos, arg_min(type, pos) AS type, string_agg(text, ' ' ORDER BY pos) AS text, arg_min(section, pos) AS section, arg_min(level, pos) AS level, arg_min(type IN ('para', 'caption') OR (type = 'heading' AND NOT st), pos) AS translate FROM ia GROUP BY doc, isle HAVING length(string_agg(text, ' ' ORDER BY pos)) > 1""")
+def blocks_of_items(spark, d):
+    """DOC-16: laid-out items as typed blocks, broken paragraphs joined (places and type sizes are drawn from the lines' numbers)."""
+    p = F.col("pos")
+    it = lines(spark, d).select(F.col("doc_id").alias("doc"), "pos", F.floor(p / 12).cast("int").alias("page"), F.lit(None).cast("double").alias("page_h"), ((p % 12) * 66.0).alias("y0"), (9.0 + (p % 5) * 0.5).alias("size"), F.lit(10.0).alias("modal"), (p % 3 == 0).alias("bold"), (p % 10 != 9).alias("body"), F.when(p % 13 == 5, "•").otherwise("").alias("marker"), "text")
+    return K.blocks_of_items(it)
+
+
+#: Runs drawn from the lines: two columns on every other page, a wide gap after each seventh line; every third line lies in a box.
+_RUNS = f"""{LINES}, sp AS (SELECT doc_id AS doc, pos // 40 AS page, pos AS span_id, 600.0 AS page_w, CASE WHEN (pos // 40) % 2 = 0 AND pos % 2 = 1 THEN 320.0 ELSE 40.0 END AS x0, CASE WHEN (pos // 40) % 2 = 0 THEN CASE WHEN pos % 2 = 1 THEN 560.0 ELSE 280.0 END ELSE 560.0 END AS x1, ((pos % 40) // 2) * 14.0 + ((pos % 40) // 14) * 60.0 AS y0, text FROM ln WHERE pos % 3 <> 0 AND trim(text) <> ''),
+lp0 AS (SELECT *, count(*) FILTER (WHERE x0 < page_w / 2 - page_w * 0.02 AND x1 > page_w / 2 + page_w * 0.02) OVER w <= greatest(2.0, count(*) OVER w * 0.10) AND count(*) FILTER (WHERE x1 <= page_w / 2) OVER w > 0 AND count(*) FILTER (WHERE x0 >= page_w / 2) OVER w > 0 AS two FROM sp WINDOW w AS (PARTITION BY doc, page)),
+lp1 AS (SELECT *, CASE WHEN two AND (x0 + x1) / 2 >= page_w / 2 THEN 1 ELSE 0 END AS col FROM lp0), lp2 AS (SELECT doc, page, col, round(y0, 0) AS line, min(y0) AS y0, max(y0 + 10) AS y1, string_agg(text, ' ' ORDER BY x0, span_id) AS text FROM lp1 GROUP BY doc, page, col, round(y0, 0)),
+lp3 AS (SELECT *, CASE WHEN coalesce(y0 - lag(y1) OVER v >= 0 AND y0 - lag(y1) OVER v <= greatest(y1 - y0, lag(y1 - y0) OVER v) * 1.6, false) THEN 0 ELSE 1 END AS n FROM lp2 WINDOW v AS (PARTITION BY doc, page, col ORDER BY y0, line)), lp4 AS (SELECT *, sum(n) OVER (PARTITION BY doc, page, col ORDER BY y0, line) AS para FROM lp3),
+lp AS (SELECT doc, page, col, para, min(y0) AS y0, string_agg(text, ' ' ORDER BY y0, line) AS text, count(*) AS lines FROM lp4 GROUP BY doc, page, col, para)"""
+
+
+def _runs(spark, d):
+    p = F.col("pos")
+    two = F.floor(p / 40) % 2 == 0
+    x = lines(spark, d).filter("pos % 3 <> 0 and trim(text) <> ''")
+    y = F.floor((p % 40) / 2) * 14.0 + F.floor((p % 40) / 14) * 60.0
+    return x.select(F.col("doc_id").alias("doc"), F.floor(p / 40).cast("int").alias("page"), p.alias("span_id"), F.lit(600.0).alias("page_w"), F.when(two & (p % 2 == 1), 320.0).otherwise(40.0).alias("x0"), F.when(two, F.when(p % 2 == 1, 560.0).otherwise(280.0)).otherwise(560.0).alias("x1"), y.alias("y0"), (y + 10).alias("y1"), "text")
+
+
+@query(f"WITH {_RUNS} SELECT doc, page, col, para, text, lines FROM lp")
+def loose_paragraphs(spark, d):
+    """DOC-19: runs outside all boxes as columns, lines and paragraphs."""
+    return G.loose_paragraphs(_runs(spark, d)).drop("y0")
+
+
+@query(f"WITH {_RUNS}, t AS (SELECT *, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM lp) SELECT doc, page, col, para, t AS text FROM t WHERE length(t) >= 60 AND length(t) > 180 AND length(regexp_replace(t, '[^0-9]', '', 'g')) <= 0.10 * length(t) AND (contains(t, '. ') OR suffix(t, '.'))")
+def paragraphs_recovered(spark, d):
+    """DOC-20: of what no box holds, the paragraphs that read like prose."""
+    from papyrion.functions.text import collapse
+
+    p = G.loose_paragraphs(_runs(spark, d)).withColumn("text", collapse(F.col("text")))
+    return p.filter((F.length("text") >= 60) & K.prose(F.col("text"))).select("doc", "page", "col", "para", "text")

@@ -167,3 +167,46 @@ def test_stored_index_answers_like_a_fresh_one_and_follows_the_table(spark, tmp_
     assert two != one and {r.id for r in Ix.scored(spark, two, q).collect()} <= {f"c{i}" for i in range(20)}
     spark.createDataFrame([], cols).write.mode("overwrite").parquet(path)
     assert Ix.scored(spark, Ix.ready(spark, path, spark.read.parquet(path)), q).count() == 0
+
+
+def test_many_terms_are_joined_with_the_same_result(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "chunk.parquet")
+    cols = "id string, text string, ctx string, vi string, title string, section string"
+    spark.createDataFrame([(f"c{i}", f"alpha beta gamma{i % 4} {i}", None, None, "a title", "s") for i in range(30)], cols).write.parquet(path)
+    chunk, q = spark.read.parquet(path), spark.createDataFrame([(1, "gamma1 title"), (2, "beta 7 alpha")], "qid int, q string")
+    of = lambda df: {(r.qid, r.id): round(r.score, 9) for r in df.collect()}
+    listed = of(Ix.scored(spark, Ix.ready(spark, path, chunk), q))
+    fresh = of(S.bm25(chunk, q))
+    monkeypatch.setattr(Ix, "LISTED_TERMS", 1)
+    monkeypatch.setattr(S, "LISTED_TERMS", 1)
+    assert of(Ix.scored(spark, Ix.ready(spark, path, chunk), q)) == listed == fresh == of(S.bm25(chunk, q)) and listed
+
+
+def test_small_inputs_are_spread_without_loss(spark):
+    from papyrion.session import spread
+
+    one = spark.range(1000).coalesce(1)
+    many = spark.range(1000).repartition(16)
+    assert spread(one).rdd.getNumPartitions() > 1 and spread(one).count() == 1000 and spread(many).rdd.getNumPartitions() == 16 and spread(many).count() == 1000
+
+
+def test_items_to_blocks(spark):
+    rows = [
+        ("A Person", 0, 100.0, 10.0, True), ("Abstract", 0, 120.0, 12.0, True), ("We say that", 0, 140.0, 10.0, True), ("it goes on here.", 0, 160.0, 10.0, True), ("17", 0, 780.0, 10.0, True),
+        ("* Corresponding author of it", 0, 700.0, 9.0, True), ("Axis label", 1, 50.0, 8.0, False), ("References", 1, 100.0, 12.0, True), ("Bebek, A. A work. 2020.", 1, 120.0, 10.0, True), ("Appendix A", 2, 50.0, 12.0, True), ("Its text stands here.", 2, 70.0, 10.0, True),
+    ]
+    from papyrion.operators.classify import blocks_of_items
+
+    schema = "doc string, pos int, text string, page int, y0 double, size double, body boolean, page_h double, modal double, bold boolean, marker string"
+    it = spark.createDataFrame([("d", i, *r, None, 10.0, False, "") for i, r in enumerate(rows)] + [("e", 0, None, 0, 1.0, 1.0, True, None, 10.0, False, "")], schema)
+    got = [(r.type, r.text, r.section) for r in blocks_of_items(it).orderBy("pos").collect()]
+    assert got == [("meta", "A Person", ""), ("heading", "Abstract", "Abstract"), ("para", "We say that it goes on here.", "Abstract"), ("meta", "* Corresponding author of it", ""), ("heading", "References", "References"), ("reference", "Bebek, A. A work. 2020.", "References"), ("heading", "Appendix A", "Appendix A"), ("para", "Its text stands here.", "Appendix A")]
+
+
+def test_loose_paragraphs_keep_columns_apart(spark):
+    from papyrion.operators.geometry import loose_paragraphs
+
+    spans = [(f"{c}{i}", 40.0 if c == "l" else 320.0, 14.0 * i + (80 if i > 2 else 0), f"{c}{i}") for i in range(5) for c in "lr"] + [("mid", 280.0, 700.0, "17")]
+    df = spark.createDataFrame([("d", 0, 600.0, s, x, y, x + (240 if s != "mid" else 40), y + 10, t) for s, x, y, t in spans], "doc string, page int, page_w double, span_id string, x0 double, y0 double, x1 double, y1 double, text string")
+    got = {(r.col, r.text) for r in loose_paragraphs(df).collect()}
+    assert {(0, "l0 l1 l2"), (0, "l3 l4"), (1, "r0 r1 r2"), (1, "r3 r4")} <= got
