@@ -175,6 +175,7 @@ def test_many_terms_are_joined_with_the_same_result(spark, tmp_path, monkeypatch
     spark.createDataFrame([(f"c{i}", f"alpha beta gamma{i % 4} {i}", None, None, "a title", "s") for i in range(30)], cols).write.parquet(path)
     chunk, q = spark.read.parquet(path), spark.createDataFrame([(1, "gamma1 title"), (2, "beta 7 alpha")], "qid int, q string")
     of = lambda df: {(r.qid, r.id): round(r.score, 9) for r in df.collect()}
+    monkeypatch.setattr(Ix, "PER_BUCKET", 4)  # several buckets
     listed = of(Ix.scored(spark, Ix.ready(spark, path, chunk), q))
     fresh = of(S.bm25(chunk, q))
     monkeypatch.setattr(Ix, "LISTED_TERMS", 1)
