@@ -166,6 +166,8 @@ class Editor:
         self.surfaces = frozenset(vocab) | every | {w.capitalize() for w in every} | {w.upper() for w in every}
         #: Words outside the vocabulary that are too frequent for the misreading they look like.
         self.kept = kept
+        #: Printed tokens looked at before.
+        self.looked: dict[str, tuple[str | None, tuple[str, ...]]] = {}
         #: Corrections to words outside the vocabulary, of the record at hand.
         self.rare: dict[str, str] = {}
 
@@ -431,12 +433,18 @@ def fit_editor(vocab: dict[str, int], rare: list[str], seed: int = 11) -> Editor
 
 
 _BROKEN = re.compile(r"\S+-[ \t]*\n[ \t]*\S+")
+_HYPHEN_BLANKS = re.compile(r"-[ \t]+\n")
+
+
+def _breaks(text: str) -> bool:
+    """Whether a hyphen ends a line; far cheaper than to look for the words around it."""
+    return "-\n" in text or _HYPHEN_BLANKS.search(text) is not None
 
 
 def text_words(text: str) -> set[str]:
     """The printed tokens of a text; parts of words broken at line ends are left out."""
     t = latin(text)
-    if "\n" in t and "-" in t:
+    if _breaks(t):
         t = _BROKEN.sub(" ", t)
     return set(_TOKEN.findall(t))
 
@@ -461,13 +469,27 @@ def find_words(text: str, editor: Editor, unknown: set[str] | None = None) -> tu
     """
     fixes = {}
     for w in set(_TOKEN.findall(text)) - editor.surfaces:
-        if new := _fix_token(w, w.lower(), editor, unknown):
+        new, strange = (None if editor.rare else editor.looked.get(w)) or _look(w, editor)
+        if new:
             fixes[w] = new
+        if unknown is not None and strange:
+            unknown.update(strange)
     if not fixes:
         return text, False
     return _TOKEN.sub(lambda m: fixes.get(m[0], m[0]), text), True
 
 
+def _look(w: str, editor: Editor) -> tuple[str | None, tuple[str, ...]]:
+    """What a printed token is corrected to, and the words in it that nothing is known of; kept where no record's own corrections count."""
+    strange: set[str] = set()
+    out = _fix_token(w, w.lower(), editor, strange), tuple(strange)
+    if not editor.rare:
+        if len(editor.looked) > 400_000:
+            editor.looked.clear()
+        editor.looked[w] = out
+    return out
+
+
 def _fix_token(w: str, low: str, editor: Editor, unknown: set[str] | None) -> str | None:
     if low in editor.surfaces or w.isdigit() or not any(map(str.isalpha, w)):
         return None
@@ -515,10 +537,11 @@ def interrupts(before: str, line: str, after: str, vocab: dict[str, int]) -> boo
     return (left[1] + right[1]).lower() in vocab and not (own and (left[1] + own[1]).lower() in vocab)
 
 
-def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor, repeated: frozenset[str] = frozenset(), unknown: set[str] | None = None) -> tuple[str, set[str]]:
+def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor, repeated: frozenset[str] = frozenset(), unknown: set[str] | None = None, shown: bool = True) -> tuple[str, set[str]]:
     """One text as continuous paragraphs, and the kinds of noise it held.
 
-    ``repeated``: masked lines that stand on other pages of the same document, too.
+    ``repeated``: masked lines that stand on other pages of the same document, too. Where the text is not
+    to be ``shown``, it is empty.
     """
     noise: set[str] = set()
     t = latin(text)
@@ -557,7 +580,7 @@ def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor,
             return left + right
         return left + "-" + right
 
-    if len(lines) > 1 and "-" in body:
+    if len(lines) > 1 and _breaks(body):
         prev = None
         while prev != body:  # a word may run over more than two lines
             prev = body
@@ -566,6 +589,8 @@ def repair_lines(text: str, title: list[str], kind: str | None, editor: Editor,
         body, hit = find_words(body, editor, unknown)
         if hit:
             noise.add("ocr")
+    if not shown:
+        return "", noise
     if kind in _PROSE_KINDS and "\n" in body:
         body = re.sub(r"[ \t]*\n[ \t]*(?!\n)", " ", re.sub(r"\n{2,}", "\n\n", body)).replace("  ", " ")
     return restore(body.strip(), t, text), noise
@@ -630,7 +655,7 @@ def block_furniture(rows: list[tuple[str, str, str, int | None]], words: list[st
     return out
 
 
-def repair_blocks(blocks: list[dict], title: str | None, editor: Editor, unknown: dict[str, set[str]] | None = None) -> list[tuple[str, str, set[str]]]:
+def repair_blocks(blocks: list[dict], title: str | None, editor: Editor, unknown: dict[str, set[str]] | None = None, shown: bool = True) -> list[tuple[str, str, set[str]]]:
     """(block id, text, noise) of the blocks of one document in reading order; empty text for furniture.
 
     A word broken at a block's end goes on in the next paragraph, over furniture, captions and
@@ -671,7 +696,7 @@ def repair_blocks(blocks: list[dict], title: str | None, editor: Editor, unknown
             break
     for row in out:
         if not row[4] and row[1] not in ("equation", "reference"):
-            row[2], noise = repair_lines(row[2], words, row[1], editor, unknown=unknown.setdefault(row[0], set()) if unknown is not None else None)
+            row[2], noise = repair_lines(row[2], words, row[1], editor, unknown=unknown.setdefault(row[0], set()) if unknown is not None else None, shown=shown)
             row[3] = row[3] | noise
     return [(bid, text, noise) for bid, _, text, noise, _ in out]
 
@@ -822,7 +847,7 @@ def _pass(recs: DataFrame, shared, with_text: bool) -> DataFrame:
                 e.rare = dict(fixes or ())
                 if tbl == "chunk":
                     unknown: set[str] = set()
-                    t, noise = repair_lines(text, _words(latin(title or "")), kind, e, frozenset(lines or ()), unknown)
+                    t, noise = repair_lines(text, _words(latin(title or "")), kind, e, frozenset(lines or ()), unknown, with_text)
                     if with_text or noise or unknown:
                         rows.append((tbl, rec, "", t if with_text else None, sorted(noise), list(unknown)))
                     continue
@@ -832,7 +857,7 @@ def _pass(recs: DataFrame, shared, with_text: bool) -> DataFrame:
                     continue
                 if isinstance(blocks, list):
                     by: dict[str, set[str]] = {}
-                    rows.extend((tbl, rec, bid, t if with_text else None, sorted(noise), list(by.get(bid, ()))) for bid, t, noise in repair_blocks(blocks, title, e, by))
+                    rows.extend((tbl, rec, bid, t if with_text else None, sorted(noise), list(by.get(bid, ()))) for bid, t, noise in repair_blocks(blocks, title, e, by, with_text))
             if rows:
                 c = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in c[:4]] + [pa.array(x, pa.list_(pa.string())) for x in c[4:]], names=["tbl", "rec_id", "block_id", "text", "noise", "unknown"])
