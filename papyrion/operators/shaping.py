@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,84 @@ def accepted_title(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (title_overlap(x, y) >= 0.6))
 
 
+#: Titles of a side that meet at once, and words that are counted at once.
+TITLE_ROWS, TITLE_WORDS = 2000, 2048
+
+
+def accepted_pairs(a: DataFrame, b: DataFrame, rows: int = TITLE_ROWS) -> DataFrame:
+    """(id, doc_id) of (id, title) and (doc_id, title) that begin with the same two words and are the same work by ``accepted_title``.
+
+    Titles are put in form once. Those of a frequent beginning meet in blocks of ``rows`` on either side, each two
+    blocks once; rarer beginnings share a block. Common words of all pairs of a block are one matrix product.
+    """
+    form = lambda x, i: x.select(i, norm_title(F.col("title")).alias("t")).filter("t <> ''").distinct().withColumn("k", F.array_join(F.slice(F.split("t", " "), 1, 2), " "))
+    a, b = form(a, "id"), form(b, "doc_id")
+    sizes = a.groupBy("k").agg(F.count("*").alias("n")).join(b.groupBy("k").agg(F.count("*").alias("m")), "k")
+    parts = max(1, math.ceil((sizes.agg(F.sum(F.col("n") + F.col("m")).alias("n")).first().n or 0) / rows))
+    sizes = sizes.select("k", F.ceil(F.col("n") / rows).alias("xs"), F.ceil(F.col("m") / rows).alias("ys"))
+
+    def blocks(t: DataFrame, i: str, own: str, other: str) -> DataFrame:
+        j = t.join(sizes, "k").withColumn(own, F.pmod(F.xxhash64(i, "t"), F.col(own + "s")))
+        return j.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other + "s") - 1))).select(F.pmod(F.xxhash64("k"), F.lit(parts)).alias("part"), "x", "y", "k", i, "t")
+
+    left, right = blocks(a, "id", "x", "y"), blocks(b, "doc_id", "y", "x")
+
+    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
+        mine, yours = _by_beginning(p), _by_beginning(q)
+        at, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in mine.keys() & yours.keys():
+            (s, si), (t, ti) = mine[k], yours[k]
+            i, j = np.nonzero(_same_works(s, t))
+            # copies of a title: every row of one with every row of the other
+            ni, nj = np.array([len(r) for r in si]), np.array([len(r) for r in ti])
+            if ni.max() == nj.max() == 1:
+                at.append(np.concatenate(si)[i])
+                to.append(np.concatenate(ti)[j])
+                continue
+            for u, v in zip(i, j):
+                at.append(np.repeat(si[u], nj[v]))
+                to.append(np.tile(ti[v], ni[u]))
+        return pa.table({"id": p.column("id").take(pa.array(np.concatenate(at))), "doc_id": q.column("doc_id").take(pa.array(np.concatenate(to)))})
+
+    cell = ["part", "x", "y"]
+    types = f"id {a.schema['id'].dataType.simpleString()}, doc_id {b.schema['doc_id'].dataType.simpleString()}"
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(meet, types).distinct()
+
+
+def _by_beginning(t: pa.Table) -> dict[str, tuple[list[str], list[np.ndarray]]]:
+    """Titles by their beginning, each once with its rows."""
+    found: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for i, (k, x) in enumerate(zip(t.column("k").to_pylist(), t.column("t").to_pylist())):
+        found[k][x].append(i)
+    return {k: (list(v), [np.array(r, np.int64) for r in v.values()]) for k, v in found.items()}
+
+
+def _same_works(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether titles of one beginning are the same work, all a by all b.
+
+    A title within another shares all its words but the last one with it, as the beginning is the same; with three
+    words or more that is six tenths, so only titles of two different words are looked up as strings.
+    """
+    x, y = [set(t.split(" ")) for t in a], [set(t.split(" ")) for t in b]
+    words = {w: i for i, w in enumerate(set().union(*x) & set().union(*y))}
+    own = [np.array([(i, words[w]) for i, s in enumerate(z) for w in s if w in words], np.int64).reshape(-1, 2) for z in (x, y)]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(words), TITLE_WORDS):
+        m = []
+        for at, n in zip(own, common.shape):
+            at = at[(at[:, 1] >= lo) & (at[:, 1] < lo + TITLE_WORDS)]
+            m.append(np.zeros((n, min(TITLE_WORDS, len(words) - lo)), np.float32))
+            m[-1][at[:, 0], at[:, 1] - lo] = 1
+        common += m[0] @ m[1].T
+    nx, ny = np.array([len(s) for s in x], np.float32), np.array([len(s) for s in y], np.float32)
+    ok = 5 * common >= 3 * np.minimum(nx[:, None], ny[None, :])
+    for i in np.flatnonzero(nx < 3):
+        ok[i] |= [a[i] in t for t in b]
+    for j in np.flatnonzero(ny < 3):
+        ok[:, j] |= [b[j] in t for t in a]
+    return ok
+
+
 def to_top_left(boxes: DataFrame) -> DataFrame:
     """Boxes of (.., page, page_h, x0, y0, x1, y1) with the origin at the bottom left, counted from page 1, as boxes from the top left and page 0."""
     h = F.coalesce("page_h", F.lit(792.0))

@@ -46,12 +46,7 @@ _NT = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 ]+
 SELECT DISTINCT id, doc_id FROM j WHERE contains(x, y) OR contains(y, x) OR len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(y, ' ')))) / greatest(1, least(len(list_distinct(string_split(x, ' '))), len(list_distinct(string_split(y, ' '))))) >= 0.6""")
 def accepted_titles(spark, d):
     """SRC-18: hits of a fuzzy title search (here those that begin alike) that are the same work."""
-    from papyrion.functions.text import norm_title
-
-    key = lambda c: F.slice(F.split(norm_title(F.col(c)), " "), 1, 2)
-    a = papers(spark, d).select("id", F.col("title").alias("a")).withColumn("k", key("a"))
-    b = table(spark, d, "documents").select("doc_id", F.col("title").alias("b")).withColumn("k", key("b"))
-    return a.join(b, "k").filter(Sh.accepted_title(F.col("a"), F.col("b"))).select("id", "doc_id").distinct()
+    return Sh.accepted_pairs(papers(spark, d).select("id", "title"), table(spark, d, "documents").select("doc_id", "title"))
 
 
 @query(f"WITH {BOXES} SELECT doc, box_id, page - 1 AS page, x0, 800.0 - y1 AS y0, x1, 800.0 - y0 AS y1 FROM box")

@@ -211,3 +211,23 @@ def test_loose_paragraphs_keep_columns_apart(spark):
     df = spark.createDataFrame([("d", 0, 600.0, s, x, y, x + (240 if s != "mid" else 40), y + 10, t) for s, x, y, t in spans], "doc string, page int, page_w double, span_id string, x0 double, y0 double, x1 double, y1 double, text string")
     got = {(r.col, r.text) for r in loose_paragraphs(df).collect()}
     assert {(0, "l0 l1 l2"), (0, "l3 l4"), (1, "r0 r1 r2"), (1, "r3 r4")} <= got
+
+
+def test_accepted_pairs_equal_the_rule(spark, rows):
+    words = "does a an help on the learning sparse learn s na ve x".split()
+    r = random.Random(4)
+    make = lambda n: [(i if r.random() < 0.9 else i - 1, " ".join(r.choice(words) for _ in range(r.choice((0, 1, 2, 2, 3, 4, 7))))) for i in range(n)]
+    a = spark.createDataFrame([(f"p{i}", t) for i, t in make(150)] + [(None, "Does a"), ("p0", None), ("h1", "on the x-ray of"), ("h2", "on the x!"), ("h3", "a a bc")], "id string, title string")
+    b = spark.createDataFrame(make(200) + [(None, "does A"), (1, None), (900, "On the xs"), (901, "on the x"), (902, "a a b")] + [(950 + i, "does a help") for i in range(9)], "doc_id long, title string")
+    key = lambda c: F.slice(F.split(Sh.norm_title(F.col(c)), " "), 1, 2)
+    plain = a.withColumn("k", key("title")).alias("a").join(b.withColumn("k", key("title")).alias("b"), "k").filter(Sh.accepted_title(F.col("a.title"), F.col("b.title"))).select("id", "doc_id").distinct()
+    wanted = rows(plain)
+    assert len(wanted) > 100 and ("h3", 902) in wanted
+    for block in (3, 2000):
+        assert rows(Sh.accepted_pairs(a, b, rows=block)) == wanted
+
+
+def test_accepted_pairs_of_one_beginning_in_many_titles(spark):
+    a = spark.range(2500).select(F.col("id").cast("string"), F.format_string("Does a w%d help u%d v%d", F.col("id") % 97, F.col("id") % 89, "id").alias("title"))
+    b = spark.range(12000).select(F.col("id").alias("doc_id"), F.format_string("does a w%d aid u%d t%d", F.col("id") % 97, F.col("id") % 89, "id").alias("title"))
+    assert Sh.accepted_pairs(a, b).count() == sum(1 for i in range(2500) for j in range(i % 8633, 12000, 8633))
