@@ -106,7 +106,7 @@ def _lecture(spark, d):
 SELECT doc, section, msg FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pos) AS r FROM g) WHERE r <= 4""")
 def first_shallow(spark, d):
     """AGG-15: the first warning of depth of each section, four sections a paper."""
-    c = chunks(spark, d, 0).filter("vi is not null").select(F.col("paper_id").alias("doc"), F.coalesce("section", F.lit("")).alias("section"), F.struct((F.col("ord") * 1000 + F.length("id")).alias("a"), F.col("id").alias("b")).alias("pos"), F.col("id").alias("msg"), F.explode(V.lints(F.col("vi"))).alias("kind"))
+    c = chunks(spark, d, 0).filter("vi is not null").select(F.col("paper_id").alias("doc"), F.coalesce("section", F.lit("")).alias("section"), F.struct((F.col("ord").cast("long") * 1000 + F.length("id")).alias("a"), F.col("id").alias("b")).alias("pos"), F.col("id").alias("msg"), F.explode(V.lints(F.col("vi"))).alias("kind"))
     return Sh.first_warnings(c, ["filler", "vague", "no_mechanism"])
 
 

@@ -231,3 +231,11 @@ def test_accepted_pairs_of_one_beginning_in_many_titles(spark):
     a = spark.range(2500).select(F.col("id").cast("string"), F.format_string("Does a w%d help u%d v%d", F.col("id") % 97, F.col("id") % 89, "id").alias("title"))
     b = spark.range(12000).select(F.col("id").alias("doc_id"), F.format_string("does a w%d aid u%d t%d", F.col("id") % 97, F.col("id") % 89, "id").alias("title"))
     assert Sh.accepted_pairs(a, b).count() == sum(1 for i in range(2500) for j in range(i % 8633, 12000, 8633))
+
+
+def test_first_shallow_of_places_beyond_two_million(spark, tmp_path):
+    from papyrion.plans.shaped import first_shallow
+
+    schema = "id string, paper_id string, ord int, section string, vi string, level int"
+    spark.createDataFrame([("a", "p", 2_147_484, "s", "rất " * 15, 0), ("b", "p", 3_000_000, "s", "rất " * 15, 0), ("c", "p", 2_147_483_647, "t", "rất " * 15, 0)], schema).write.parquet(f"{tmp_path}/chunk.parquet")
+    assert sorted(map(tuple, first_shallow(spark, str(tmp_path)).collect())) == [("p", "s", "a"), ("p", "t", "c")]
