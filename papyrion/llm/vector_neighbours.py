@@ -13,6 +13,10 @@ is searched in blocks of bases and turns of queries. Equal vectors are searched
 copies is one entry of the index, its members are each other's first neighbours and are put back by
 equi-joins afterwards. So no task sees more than ``SLACK * PART_ROWS`` bases and ``TURN * PART_ROWS`` queries.
 
+Where only close neighbours are wanted, vectors travel to the partitions as codes of four bits a
+dimension. A code comes with its distance from the vector, so what two codes say bounds the cosine
+from above: no close pair is lost. Whole vectors are sent only where the codes leave a pair possible.
+
 How far queries look is measured: for a bounded set of queries the true neighbours among all vectors
 are found exactly, and the least probability that still meets ``recall`` of them is taken.
 """
@@ -254,24 +258,59 @@ def _unit(col: pa.Array, n: int) -> np.ndarray:
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
 
+def encode(x: np.ndarray) -> pa.Array:
+    """Unit rows as codes: step and distance from the row (half precision), then four bits a dimension."""
+    if x.shape[1] % 2:
+        x = np.concatenate([x, np.zeros((len(x), 1), np.float32)], 1)
+    step = (np.abs(x).max(1, initial=0) / 8).astype(np.float16)
+    s = np.maximum(step.astype(np.float32), 1e-7)[:, None]
+    q = np.clip(np.floor(x / s) + 8, 0, 15).astype(np.uint8)
+    gap = np.linalg.norm(((q - np.float32(7.5)) * step.astype(np.float32)[:, None] - x).astype(np.float64), axis=1) * 1.0001
+    half = gap.astype(np.float16)
+    half = np.where(half < gap, np.nextafter(half, np.float16(np.inf)), half)
+    out = np.concatenate([np.stack([step, half], 1).view(np.uint8).reshape(len(x), 4), q[:, ::2] << 4 | q[:, 1::2]], 1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(out.shape[1]), len(out), [None, pa.py_buffer(np.ascontiguousarray(out))]).cast(pa.binary())
+
+
+def decode(codes: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows as their codes say, distance of each from the true row)."""
+    raw = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
+    head = np.ascontiguousarray(raw[:, :4]).view(np.float16).astype(np.float32)
+    q = np.stack([raw[:, 4:] >> 4, raw[:, 4:] & 15], 2).reshape(len(raw), -1)
+    return (q - np.float32(7.5)) * head[:, :1], head[:, 1]
+
+
+def _rows(col: pa.Array | pa.ChunkedArray, n: int) -> tuple[np.ndarray, float]:
+    """(unit rows, mean distance from the true ones) of vectors or of their codes."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if not pa.types.is_binary(col.type):
+        return _unit(col, n), 0.0
+    x, gap = decode(col)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), float(gap.mean()) if n else 0.0
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str, group_col: str, dim_col: str | None) -> DataFrame:
-    """(id, grp, vec): distinct rows whose vector is whole, finite and not zero."""
+    """(id, grp, vec): rows whose vector is whole, finite and not zero."""
     v = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), F.col(vec_col).cast("array<float>").alias("vec"), (F.col(dim_col) if dim_col else F.lit(None)).cast("int").alias("dim"))
     v = v.filter("id is not null and vec is not null and size(vec) > 0")
     v = v.filter(F.col("dim").isNull() | (F.size("vec") == F.col("dim")))
     v = v.filter(F.exists("vec", lambda x: x != 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return v.select("id", F.coalesce("grp", F.lit("")).alias("grp"), "vec").distinct()
+    return v.select("id", F.coalesce("grp", F.lit("")).alias("grp"), "vec")
 
 
-_PLACED = "grp string, node long, key long, vec array<float>, base boolean"
+def _schema(coded: bool) -> str:
+    return f"grp string, node long, key long, vec {'binary' if coded else 'array<float>'}, base boolean"
 
 
-def _placed(grp: pa.Array, node: np.ndarray, key: pa.Array, x: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
-    vec = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x, np.float32).ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
+def _listed(x: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x, np.float32).ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
+
+
+def _placed(grp: pa.Array, node: np.ndarray, key: pa.Array, vec: pa.Array, base: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([grp, pa.array(node, pa.int64()), key, vec, pa.array(base)], names=["grp", "node", "key", "vec", "base"])
 
 
-def first_level(entries: DataFrame, routers: dict[str, tuple]) -> DataFrame:
+def first_level(entries: DataFrame, routers: dict[str, tuple], coded: bool = False) -> DataFrame:
     """Each entry once as a base of its partition and as a query of the partitions it looks into; node 0 in small groups."""
     shared = entries.sparkSession.sparkContext.broadcast(routers)
 
@@ -281,15 +320,16 @@ def first_level(entries: DataFrame, routers: dict[str, tuple]) -> DataFrame:
             for g in dict.fromkeys(groups):
                 part = b.take(pa.array(np.flatnonzero(groups == g)))
                 x = _unit(part.column(2), part.num_rows)
+                vec = encode(x) if coded else _listed(x)
                 base = np.ones(len(x), bool)
                 if g not in shared.value:
-                    yield _placed(part.column(0), np.zeros(len(x), np.int64), part.column(1), x, base)
+                    yield _placed(part.column(0), np.zeros(len(x), np.int64), part.column(1), vec, base)
                     continue
                 for rows, node, is_base in routed_rows(x, shared.value[g], base):
                     at = pa.array(rows)
-                    yield _placed(part.column(0).take(at), node + 1, part.column(1).take(at), x[rows], is_base)
+                    yield _placed(part.column(0).take(at), node + 1, part.column(1).take(at), vec.take(at), is_base)
 
-    return entries.mapInArrow(route, _PLACED)
+    return entries.mapInArrow(route, _schema(coded))
 
 
 def next_level(placed: DataFrame, large: DataFrame, cosines: dict[str, np.ndarray], k: int, recall: float, least: float | None, sample: int, part_rows: int) -> DataFrame:
@@ -298,14 +338,16 @@ def next_level(placed: DataFrame, large: DataFrame, cosines: dict[str, np.ndarra
     A node's router is fitted on an executor, on a sample of its bases of at most ``sample`` rows, and
     meets the node's rows in salted parts: neither the routers nor a node's rows are ever in one place.
     """
+    coded = dict(placed.dtypes)["vec"] == "binary"
     rate = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1_000_000)) < F.least(F.lit(1_000_000.0), F.lit(1.1e6 * sample) / F.col("nb"))
 
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by("key").slice(0, sample)
-        x = _unit(t.column("vec").combine_chunks(), t.num_rows)
+        x, gap = _rows(t.column("vec"), t.num_rows)
+        near = 1 - gap * gap  # codes of close vectors are so much less close
         n = t.column("nb")[0].as_py()
         depth = max(1, depth_for(n, part_rows, min(sample, len(x))))
-        w, b, tail = learn(x, min(depth, int(math.log2(max(2, len(x))))), k, recall, least, cosines=cosines[t.column("grp")[0].as_py()])
+        w, b, tail = learn(x, min(depth, int(math.log2(max(2, len(x))))), k, recall, least and least * near, cosines=cosines[t.column("grp")[0].as_py()] * near)
         return pa.table({"grp": t.column("grp").slice(0, 1), "node": t.column("node").slice(0, 1), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([b.astype(np.float32).tobytes()], pa.binary()), "tail": pa.array([tail], pa.float64())})
 
     learned = cut(placed.filter("base").join(large.select("grp", "node", "nb"), ["grp", "node"]).filter(rate).groupBy("grp", "node").applyInArrow(fit, "grp string, node long, w binary, b binary, tail double"))
@@ -314,15 +356,15 @@ def next_level(placed: DataFrame, large: DataFrame, cosines: dict[str, np.ndarra
     models = learned.join(salts, ["grp", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def route(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = _unit(left.column("vec").combine_chunks(), left.num_rows)
+        x, _ = _rows(left.column("vec"), left.num_rows)
         b = np.frombuffer(right.column("b")[0].as_py(), np.float32)
         router = np.frombuffer(right.column("w")[0].as_py(), np.float32).reshape(x.shape[1], len(b)), b, right.column("tail")[0].as_py()
         base = np.asarray(left.column("base").to_numpy(zero_copy_only=False), bool)
-        grp, key, old = left.column("grp").combine_chunks(), left.column("key").combine_chunks(), left.column("node").to_numpy()
-        out = [_placed(grp.take(pa.array(r)), old[r] * NODE_STEP + node + 1, key.take(pa.array(r)), x[r], is_base) for r, node, is_base in routed_rows(x, router, base)]
+        grp, key, vec, old = left.column("grp").combine_chunks(), left.column("key").combine_chunks(), left.column("vec").combine_chunks(), left.column("node").to_numpy()
+        out = [_placed(grp.take(pa.array(r)), old[r] * NODE_STEP + node + 1, key.take(pa.array(r)), vec.take(pa.array(r)), is_base) for r, node, is_base in routed_rows(x, router, base)]
         return pa.Table.from_batches(out)
 
-    deeper = rows.groupBy("grp", "node", "salt").cogroup(models.groupBy("grp", "node", "salt")).applyInArrow(route, _PLACED)
+    deeper = rows.groupBy("grp", "node", "salt").cogroup(models.groupBy("grp", "node", "salt")).applyInArrow(route, _schema(coded))
     return placed.join(large.select("grp", "node"), ["grp", "node"], "left_anti").select("grp", "node", "key", "vec", "base").unionByName(deeper)
 
 
@@ -345,6 +387,43 @@ def in_cells(placed: DataFrame, sizes: DataFrame | None, part_rows: int) -> Data
     return j.filter("base or asks").select("grp", "node", "key", "vec", "base", "block", "turn", "asks")
 
 
+def possible(placed: DataFrame, floor: float) -> DataFrame:
+    """(grp, node, key, base): the rows of coded cells that may have a neighbour of at least ``floor`` there."""
+
+    def look(table: pa.Table) -> pa.Table:
+        base = np.flatnonzero(np.asarray(table.column("base").to_numpy(zero_copy_only=False), bool))
+        asks = np.flatnonzero(np.asarray(table.column("asks").to_numpy(zero_copy_only=False), bool))
+        x, gap = decode(table.column("vec"))
+        size = np.linalg.norm(x, axis=1)
+        # x.y + |x| gap y + gap x |y| + gap x gap y, as one product
+        ask, own = np.column_stack([x, size + gap, -size]), np.column_stack([x, size + gap, size])[base]
+        place = np.full(len(x), -1)
+        place[base] = np.arange(len(base))
+        hit = np.zeros(len(x), bool)
+        for a in range(0, len(asks) if len(base) else 0, QUERY_BLOCK):
+            at = asks[a : a + QUERY_BLOCK]
+            on = ask[at] @ own.T >= floor - 1e-4
+            same = np.flatnonzero(place[at] >= 0)
+            on[same, place[at[same]]] = False
+            hit[at] |= on.any(1)
+            hit[base] |= on.any(0)
+        return table.select(["grp", "node", "key", "base"]).take(pa.array(np.flatnonzero(hit)))
+
+    found = placed.groupBy("grp", "node", "block", "turn").applyInArrow(look, "grp string, node long, key long, base boolean")
+    return found.groupBy("grp", "node", "key").agg(F.max("base").alias("base"))
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """(grp, id, key): the vector of each id by its key, the smallest of several; vectors move only for ids that have several."""
+    ids = cut(rows.groupBy("grp", "id").agg(F.min(F.struct("key", "dims")).alias("a"), F.max(F.struct("key", "dims")).alias("b")), release=True)
+    one = ids.filter("a.key = b.key").select("grp", "id", F.col("a.key").alias("key"), F.col("a.dims").alias("dims"))
+    several = ids.filter("a.key <> b.key").select("grp", "id")
+    if not several.isEmpty():
+        own = rows.join(several, ["grp", "id"]).groupBy("grp", "id").agg(F.min(F.struct("vec", "key", "dims")).alias("v"))
+        one = cut(one.unionByName(own.select("grp", "id", "v.key", "v.dims")), release=True)
+    return one.select(F.concat_ws("\t", "grp", "dims").alias("grp"), "id", "key")
+
+
 def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vec", group_col: str = "model", dim_col: str | None = "dim", *, k: int = 5, least: float | None = None, recall: float | None = None, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """(grp, id, neighbour, rank, cosine): the k most similar other ids of the same group for every usable vector.
 
@@ -357,19 +436,21 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
     one partition a neighbour outside the partitions looked into is missed; their number is set so that
     they hold ``recall`` of the sample's neighbours, and README has the recall measured by brute force.
     """
-    u = usable(vectors, id_col, vec_col, group_col, dim_col)
-    u = cut(u.groupBy("grp", "id").agg(F.min("vec").alias("vec")).withColumn("key", F.xxhash64("grp", F.size("vec").cast("string"), "vec")))
+    rows = usable(vectors, id_col, vec_col, group_col, dim_col).withColumn("dims", F.size("vec"))
+    rows = rows.withColumn("key", F.xxhash64("grp", F.col("dims").cast("string"), "vec"))
+    members = members_of(rows)
     # one entry for equal vectors: the group's size and its first k + 1 ids, never the whole group
-    members = u.withColumn("grp", F.concat_ws("\t", "grp", F.size("vec"))).select("grp", "key", "id", "vec")
-    entries = cut(members.groupBy("grp", "key").agg(F.any_value("vec").alias("vec"), F.min("id").alias("first"), F.count("*").alias("n")))
+    whole = rows.select(F.concat_ws("\t", "grp", "dims").alias("grp"), "key", "vec").groupBy("grp", "key").agg(F.any_value("vec").alias("vec"))
+    entries = cut(members.groupBy("grp", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).join(whole, ["grp", "key"]), release=True)
     counts = {r.grp: r.n for r in entries.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > part_rows).collect()}
     routers = fit_groups(entries, counts, k=k, recall=recall, least=least, sample=sample, part_rows=part_rows)
     recall = recall or (RECALL if least is None else CLOSE_RECALL)
-    placed = first_level(entries.select("grp", "key", "vec"), routers)
+    coded = least is not None and bool(routers)
+    placed = first_level(entries.select("grp", "key", "vec"), routers, coded)
     sizes = None
     for level in range(LEVELS if routers else 0):
         if level:  # what is read twice is written once
-            placed = cut(placed)
+            placed = cut(placed, release=True)
         sizes = cut(placed.groupBy("grp", "node").agg(F.count_if("base").alias("nb"), F.count("*").alias("nq")))
         if level == LEVELS - 1 or not sizes.filter(F.col("nb") > SLACK * part_rows).limit(1).count():
             break
@@ -378,6 +459,10 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
     placed = in_cells(placed, sizes, part_rows)
 
     floor = None if least is None else least - 1e-5
+    if coded:
+        live = cut(possible(placed, floor), release=True)
+        sizes = live.groupBy("grp", "node").agg(F.count_if("base").alias("nb"), F.count("*").alias("nq"))
+        placed = in_cells(live.join(entries.select("grp", "key", "vec"), ["grp", "key"]), sizes, part_rows)
 
     def search(table: pa.Table) -> pa.Table:
         base = np.asarray(table.column("base").to_numpy(zero_copy_only=False), bool)
@@ -385,7 +470,7 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
         keys = table.column("key").to_numpy()
         vec = table.column("vec").combine_chunks()
         vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
-        x = np.asarray(vec.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(table.num_rows, -1)
+        x = _unit(vec, table.num_rows) if coded else np.asarray(vec.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(table.num_rows, -1)
         bx, bk = x[base], keys[base]
         out_q, out_n, out_c = [], [], []
         m = min(k + 1, len(bk))

@@ -101,3 +101,43 @@ def test_cells_meet_every_pair_once(spark):
     rows = in_cells(df, sizes, 5).collect()
     met = [(q.key, b.key) for q in rows if q.asks for b in rows if b.base and (b.block, b.turn) == (q.block, q.turn)]
     assert len(met) == len(set(met)) == 300 * 50
+
+
+def test_codes_bound_the_cosine():
+    from papyrion.llm.vector_neighbours import decode, encode
+
+    rng = np.random.default_rng(2)
+    for d in (1, 7, 64):
+        x = rng.standard_normal((200, d)).astype(np.float32)
+        x[0] = np.eye(d)[0]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y, gap = decode(encode(x))
+        assert (np.linalg.norm(y[:, :d] - x, axis=1) <= gap).all() and np.median(gap) < 0.2
+
+
+def test_close_neighbours_need_few_whole_vectors(spark, tmp_path):
+    """Rows sent to the partitions are codes, over two levels, and vectors follow only where a pair is possible."""
+    from papyrion.llm import vector_neighbours as V
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 32))
+    x[2000:2400] = x[:400] + 0.15 * rng.standard_normal((400, 32))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(u @ u.T, 1)
+    want = {(f"c{i:05d}", f"c{j:05d}") for i, j in zip(*np.nonzero(s >= 0.9))}
+    sent = []
+    was = V.in_cells
+    try:
+        V.in_cells = lambda placed, s, n: (sent.append((dict(placed.dtypes)["vec"], placed.count())), was(placed, s, n))[1]
+        got = {(r.id_a, r.id_b) for r in mutual(most_similar(frame(spark, x), least=0.9, part_rows=100, sample=400)).collect()}
+    finally:
+        V.in_cells = was
+    assert len(want) > 350 and len(got & want) >= 0.98 * len(want) and got <= want
+    (first, n), (second, few) = sent
+    assert (first, second) == ("binary", "array<float>") and n > 4000 and few < 1500
+
+
+def test_an_id_with_several_vectors_keeps_the_smallest(spark):
+    rows = [("a", "m", 2, [1.0, 0.0]), ("a", "m", 2, [0.0, 1.0]), ("b", "m", 2, [1.0, 0.0]), ("c", "m", 2, [0.0, 1.0]), ("d", "m", None, [5.0]), ("d", "m", None, [1.0, 0.1])]
+    got = {(r.id, r.neighbour): r.cosine for r in most_similar(spark.createDataFrame(rows, SCHEMA), least=0.5).collect()}
+    assert set(got) == {("a", "c"), ("c", "a"), ("b", "d"), ("d", "b")}
