@@ -16,6 +16,7 @@ equi-joins afterwards. So no task sees more than ``SLACK * PART_ROWS`` bases and
 Where only close neighbours are wanted, vectors travel to the partitions as codes of four bits a
 dimension. A code comes with its distance from the vector, so what two codes say bounds the cosine
 from above: no close pair is lost. Whole vectors are sent only where the codes leave a pair possible.
+There each pair of partitions is looked into from one side, and what meets is a neighbour of each other.
 
 How far queries look is measured: for a bounded set of queries the true neighbours among all vectors
 are found exactly, and the least probability that still meets ``recall`` of them is taken.
@@ -239,8 +240,11 @@ def fit_groups(entries: DataFrame, counts: dict[str, int], *, k: int = 5, recall
     return out
 
 
-def routed_rows(x: np.ndarray, router: tuple, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, partitions, whether as a base): each row in its likeliest partition, then in those worth a look."""
+def routed_rows(x: np.ndarray, router: tuple, base: np.ndarray, upward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, partitions, whether as a base): each row in its likeliest partition, then in those worth a look.
+
+    ``upward``: bases look only into partitions of higher numbers than their own.
+    """
     w, b, tail = router[:3]
     for a in range(0, len(x), 4096):
         order, left = tails(probabilities(x[a : a + 4096], w, b))
@@ -250,7 +254,10 @@ def routed_rows(x: np.ndarray, router: tuple, base: np.ndarray) -> Iterator[tupl
             on = np.flatnonzero((left[:, c] >= tail) | (c < PROBES))
             if not len(on):
                 break
-            yield rows[on], order[on, c], np.zeros(len(on), bool)
+            if upward:
+                on = on[~base[rows[on]] | (order[on, c] > order[on, 0])]
+            if len(on):
+                yield rows[on], order[on, c], np.zeros(len(on), bool)
 
 
 def _unit(col: pa.Array, n: int) -> np.ndarray:
@@ -325,7 +332,7 @@ def first_level(entries: DataFrame, routers: dict[str, tuple], coded: bool = Fal
                 if g not in shared.value:
                     yield _placed(part.column(0), np.zeros(len(x), np.int64), part.column(1), vec, base)
                     continue
-                for rows, node, is_base in routed_rows(x, shared.value[g], base):
+                for rows, node, is_base in routed_rows(x, shared.value[g], base, coded):
                     at = pa.array(rows)
                     yield _placed(part.column(0).take(at), node + 1, part.column(1).take(at), vec.take(at), is_base)
 
@@ -361,7 +368,7 @@ def next_level(placed: DataFrame, large: DataFrame, cosines: dict[str, np.ndarra
         router = np.frombuffer(right.column("w")[0].as_py(), np.float32).reshape(x.shape[1], len(b)), b, right.column("tail")[0].as_py()
         base = np.asarray(left.column("base").to_numpy(zero_copy_only=False), bool)
         grp, key, vec, old = left.column("grp").combine_chunks(), left.column("key").combine_chunks(), left.column("vec").combine_chunks(), left.column("node").to_numpy()
-        out = [_placed(grp.take(pa.array(r)), old[r] * NODE_STEP + node + 1, key.take(pa.array(r)), vec.take(pa.array(r)), is_base) for r, node, is_base in routed_rows(x, router, base)]
+        out = [_placed(grp.take(pa.array(r)), old[r] * NODE_STEP + node + 1, key.take(pa.array(r)), vec.take(pa.array(r)), is_base) for r, node, is_base in routed_rows(x, router, base, coded)]
         return pa.Table.from_batches(out)
 
     deeper = rows.groupBy("grp", "node", "salt").cogroup(models.groupBy("grp", "node", "salt")).applyInArrow(route, _schema(coded))
@@ -369,22 +376,22 @@ def next_level(placed: DataFrame, large: DataFrame, cosines: dict[str, np.ndarra
 
 
 def in_cells(placed: DataFrame, sizes: DataFrame | None, part_rows: int) -> DataFrame:
-    """Adds (block, turn, asks): the rows of nodes that stayed too large meet in blocks of bases and turns of queries.
+    """Adds (block, turn, asks, home): the rows of nodes that stayed too large meet in blocks of bases and turns of queries.
 
     A base stands in its block for every turn, a query in its turn for every block; so each pair meets
-    once, and no cell is larger than a block and a turn.
+    once, and no cell is larger than a block and a turn. ``home``: a base of the node, in whichever block.
     """
-    plain = placed.withColumn("block", F.lit(0)).withColumn("turn", F.lit(0)).withColumn("asks", F.lit(True))
+    plain = placed.withColumn("block", F.lit(0)).withColumn("turn", F.lit(0)).withColumn("asks", F.lit(True)).withColumn("home", F.col("base"))
     if sizes is None:
         return plain
     cells = sizes.select("grp", "node", *(F.greatest(F.lit(1), F.ceil(F.col(c) / (m * part_rows)).cast("int")).alias(a) for c, m, a in (("nb", SLACK, "blocks"), ("nq", TURN, "turns")))).filter("blocks > 1 or turns > 1")
     if not cells.limit(1).count():
         return plain
-    j = placed.join(cells, ["grp", "node"], "left").fillna(1, ["blocks", "turns"])
+    j = placed.withColumn("home", F.col("base")).join(cells, ["grp", "node"], "left").fillna(1, ["blocks", "turns"])
     j = j.withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks").cast("long")).cast("int")).withColumn("mine", F.pmod(F.xxhash64("key", F.lit(1)), F.col("turns").cast("long")).cast("int"))
     j = j.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     j = j.withColumn("base", F.col("base") & (F.col("block") == F.col("own"))).withColumn("asks", F.col("turn") == F.col("mine"))
-    return j.filter("base or asks").select("grp", "node", "key", "vec", "base", "block", "turn", "asks")
+    return j.filter("base or asks").select("grp", "node", "key", "vec", "base", "block", "turn", "asks", "home")
 
 
 def possible(placed: DataFrame, floor: float) -> DataFrame:
@@ -471,12 +478,13 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
         vec = table.column("vec").combine_chunks()
         vec = vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec
         x = _unit(vec, table.num_rows) if coded else np.asarray(vec.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(table.num_rows, -1)
-        bx, bk = x[base], keys[base]
         out_q, out_n, out_c = [], [], []
-        m = min(k + 1, len(bk))
-        if m:
-            for a in range(0, len(asks), QUERY_BLOCK):
-                at = asks[a : a + QUERY_BLOCK]
+
+        def meet(asking: np.ndarray, asked: np.ndarray) -> None:
+            bx, bk = x[asked], keys[asked]
+            m = min(k + 1, len(bk))
+            for a in range(0, len(asking) if m else 0, QUERY_BLOCK):
+                at = asking[a : a + QUERY_BLOCK]
                 s = x[at] @ bx.T
                 top = np.argpartition(-s, m - 1, 1)[:, :m]
                 if floor is not None:  # few are close: only those are measured exactly
@@ -490,6 +498,11 @@ def most_similar(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "v
                 out_q.append(q[ok])
                 out_n.append(n[ok])
                 out_c.append(c[ok])
+
+        own = np.flatnonzero(base)
+        meet(asks, own)
+        if coded:  # bases didn't look into the partitions of those that look in here
+            meet(own, asks[~np.asarray(table.column("home").to_numpy(zero_copy_only=False), bool)[asks]])
         g = table.column("grp")[0].as_py() if table.num_rows else ""
         q = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
         return pa.table({"grp": pa.array([g] * len(q), pa.string()), "key": pa.array(q, pa.int64()), "near": pa.array(np.concatenate(out_n) if out_n else np.empty(0, np.int64), pa.int64()), "cosine": pa.array(np.round(np.concatenate(out_c), DIGITS) if out_c else np.empty(0), pa.float64())})

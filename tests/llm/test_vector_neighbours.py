@@ -141,3 +141,18 @@ def test_an_id_with_several_vectors_keeps_the_smallest(spark):
     rows = [("a", "m", 2, [1.0, 0.0]), ("a", "m", 2, [0.0, 1.0]), ("b", "m", 2, [1.0, 0.0]), ("c", "m", 2, [0.0, 1.0]), ("d", "m", None, [5.0]), ("d", "m", None, [1.0, 0.1])]
     got = {(r.id, r.neighbour): r.cosine for r in most_similar(spark.createDataFrame(rows, SCHEMA), least=0.5).collect()}
     assert set(got) == {("a", "c"), ("c", "a"), ("b", "d"), ("d", "b")}
+
+
+def test_bases_look_upward_only():
+    from papyrion.llm.vector_neighbours import routed_rows
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 8)).astype(np.float32)
+    router = rng.standard_normal((8, 16)).astype(np.float32), np.zeros(16, np.float32), 0.01
+    base = np.arange(500) < 400
+
+    def looks(upward):
+        return {(int(r), int(n), bool(b)) for rows, node, own in routed_rows(x, router, base, upward) for r, n, b in zip(rows, node, own)}
+
+    home = {r: n for rows, node, _ in [next(routed_rows(x, router, base))] for r, n in zip(rows.tolist(), node.tolist())}
+    assert looks(True) == {(r, n, b) for r, n, b in looks(False) if r >= 400 or n >= home[r]} != looks(False)
